@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import dedup, mixing, sharding
+from evspark.llm import bpe, dedup, langid, mixing, quality, secret_scan, sharding
 from evspark.llm.shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.row_class(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocab)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "links")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -68,5 +91,13 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_pareto_mixing": op6_pareto_mixing, "op10_interleaved_shards": op10_interleaved_shards}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_interleaved_shards": op10_interleaved_shards,
+}
 ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6}
