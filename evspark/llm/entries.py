@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import bpe, dedup, langid, mixing, quality, secret_scan, sharding
+from evspark.llm import bpe, dedup, langid, mixing, neardup, quality, secret_scan, sharding
 from evspark.llm.shared import table
 
 
@@ -86,6 +88,34 @@ FROM c
 """
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"), words=3, least=Fraction(85, 100))
+
+
+SQL_9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+      ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS sh FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS least_ FROM r GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least_, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(c.least_, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+"""
+
+
 def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -98,6 +128,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_minhash_neardup": op9_minhash_neardup,
     "op10_interleaved_shards": op10_interleaved_shards,
 }
-ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6}
+ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op9_minhash_neardup": SQL_9}

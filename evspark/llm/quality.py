@@ -5,8 +5,8 @@ labelled good, and the raw text, from all documents. A document's log importance
 of the log ratio of the two. Gumbel noise, drawn from the id, is added, and the k documents with the largest sums
 stay: an exact sample without replacement in proportion to the weights.
 
-k is not a share fixed beforehand: it is the number of documents whose weight is at least 1 (more like the target
-than the raw text). The k-th value is located by histograms that Spark sums, so nothing is sorted in one place.
+k is not a share fixed beforehand: it is the number of documents whose log weight is at least `floor`, so that only
+those go which the raw model explains far better than the target's. The k-th value is located by histograms that Spark sums, so nothing is sorted in one place.
 
 `max_target` bounds the labelled sample (the rows with the smallest hash of the id). Null and empty texts have
 weight 1. Without labelled rows all weights are 1 and everything stays. Rows whose noisy weights tie with the k-th
@@ -30,6 +30,7 @@ from evspark.llm.shared import IdCache, fresh, uniform52, written
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEP = np.uint64(0x9E3779B1)
 PART = 200_000
+FLOOR = -8.0  # log weight: short clean texts lie near 0 and junk far below
 
 
 class Buckets:
@@ -132,23 +133,23 @@ def kth_largest(values: DataFrame, col: str, k: int, bins: int = 2048) -> float:
     return hi if lo == hi else lo
 
 
-def noisy_cut(docs: DataFrame, model: Model, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+def noisy_cut(docs: DataFrame, model: Model, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR) -> tuple[DataFrame, float]:
     """doc_id, log_weight and noisy weight of every row (a written table), and the k-th largest noisy weight."""
     scored = docs.select(F.col(id_col).alias("doc_id"), log_weight(docs, model, text_col).alias("log_weight")).withColumn("noisy", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
     scored = written(scored)
-    k = scored.filter("log_weight >= 0").count()
+    k = scored.filter(F.col("log_weight") >= floor).count()
     return scored, kth_largest(scored, "noisy", k) if k else float("inf")
 
 
-def judge(docs: DataFrame, good: DataFrame, seed: int = 5, **more) -> DataFrame:
+def judge(docs: DataFrame, good: DataFrame, seed: int = 5, floor: float = FLOOR, **more) -> DataFrame:
     """doc_id, log_weight, noisy, kept for every row of docs."""
-    scored, cut = noisy_cut(docs, train(docs, good, **more), seed)
+    scored, cut = noisy_cut(docs, train(docs, good, **more), seed, floor=floor)
     return scored.withColumn("kept", F.col("noisy") >= F.lit(cut))
 
 
-def keep_good(docs: DataFrame, good: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+def keep_good(docs: DataFrame, good: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, **more) -> DataFrame:
     """The rows that stay, all columns kept. Texts are scored again instead of being shuffled to their decision."""
     model = train(docs, good, id_col=id_col, text_col=text_col, **more)
-    _, cut = noisy_cut(docs, model, seed, id_col, text_col)
+    _, cut = noisy_cut(docs, model, seed, id_col, text_col, floor)
     noisy = fresh(docs, "noisy")
     return docs.withColumn(noisy, log_weight(docs, model, text_col) + gumbel(F.col(id_col), seed)).filter(F.col(noisy) >= F.lit(cut)).drop(noisy)

@@ -114,11 +114,11 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class Repeats:
-    """A two-hash Bloom filter of the hashes that occur at least twice, with a fixed bound on its size.
+    """A two-hash Bloom filter of the keys that occur at least `least` times, with a fixed bound on its size.
 
-    Its bits are counted in Spark: each row adds one to a cell of either half, and the cells with two or more make
-    the bitmap. No repeated hash is missed. A hash that occurs once passes for repeated with a chance that depends
-    on the load only; when the table outgrows the bound, more rows are tested exactly and results stay the same.
+    Its bits are counted in Spark: each row adds one to a cell of either half, and the cells with enough make the
+    bitmap. No such key is missed. Another key passes with a chance that depends on the load only; when the table
+    outgrows the bound, more rows are tested exactly afterwards and results stay the same. least=1 is membership.
     """
 
     def __init__(self, bits: np.ndarray, half: int):
@@ -129,11 +129,11 @@ class Repeats:
         return [F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(half)), F.lit(half) + F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.lit(half))]
 
     @classmethod
-    def count(cls, keys: DataFrame, key: str, rows: int, max_bits: int = 1 << 27) -> Repeats:
+    def count(cls, keys: DataFrame, key: str, rows: int, max_bits: int = 1 << 27, least: int = 2) -> Repeats:
         half = 1 << 15
         while half < min(max_bits // 2, 8 * rows):
             half *= 2
-        cells = keys.select(F.explode(F.array(*cls.cells(key, half))).alias("cell")).groupBy("cell").count().filter("count > 1")
+        cells = keys.select(F.explode(F.array(*cls.cells(key, half))).alias("cell")).groupBy("cell").count().filter(F.col("count") >= least)
 
         def block(pdf):
             bits = np.zeros(1 << 15, np.uint8)
