@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import bpe, dedup, langid, mixing, neardup, quality, secret_scan, sharding
+from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding
 from evspark.llm.shared import table
 
 
@@ -47,6 +47,13 @@ FROM k WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.row_class(F.col("doc_id"), 10) == 0
+    model, counts = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model, counts, keep=[F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -126,6 +133,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_maxent_lm": op5_maxent_lm,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_neardup": op9_minhash_neardup,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, written
+from evspark.llm.shared import IdCache, count_floor, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -89,14 +89,7 @@ def _add_grams(c: Counter, word: str, n: int) -> None:
 def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
     """key -> {lang: n} of all keys from the least total on that leaves at most `most` keys; at most that many are collected."""
     totals = counts.groupBy("key").agg(F.sum("n").alias("total"))
-    level = F.least("total", F.lit(20_000))
-    hist = {r["level"]: r["count"] for r in totals.groupBy(level.alias("level")).count().collect()}
-    least, kept = 20_001, 0
-    for k in sorted(hist, reverse=True):
-        if kept + hist[k] > most:
-            break
-        least, kept = k, kept + hist[k]
-    keys = totals.filter(F.col("total") >= least).select("key")
+    keys = totals.filter(F.col("total") >= count_floor(totals, "total", most)).select("key")
     out: dict[str, dict[str, int]] = defaultdict(dict)
     t = counts.join(keys, "key", "left_semi").select("key", "lang", "n").toArrow()
     for k, lang, n in zip(*(t.column(c).to_pylist() for c in ("key", "lang", "n")), strict=True):

@@ -63,6 +63,17 @@ def uniform52(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
+def count_floor(totals: DataFrame, n: str, most: int, levels: int = 20_000) -> int:
+    """The least count from which on at most `most` rows of totals have it; found from a histogram of counts."""
+    hist = {r["level"]: r["count"] for r in totals.groupBy(F.least(F.col(n), F.lit(levels)).alias("level")).count().collect()}
+    least, kept = levels + 1, 0
+    for k in sorted(hist, reverse=True):
+        if kept + hist[k] > most:
+            break
+        least, kept = k, kept + hist[k]
+    return least
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that the table doesn't have (names compare without case)."""
     have = {c.lower() for c in df.columns}
