@@ -7,7 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding
+import corpus_pipeline
+from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding, topk
 from evspark.llm.shared import table
 
 
@@ -29,6 +30,24 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocab)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.best(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL_7 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "links")
@@ -135,8 +154,12 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_maxent_lm": op5_maxent_lm,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_exact_topk": op7_exact_topk,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_interleaved_shards": op10_interleaved_shards,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op9_minhash_neardup": SQL_9}
+ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op7_exact_topk": SQL_7, "op9_minhash_neardup": SQL_9}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
