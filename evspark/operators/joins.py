@@ -22,7 +22,8 @@ def band_join(anchors: DataFrame, rows: DataFrame, seconds: int, anchor_ts: str,
     (and `on`), checked exactly afterwards. No pair is met twice, since a row lies in one bucket.
     """
     width = seconds * US
-    a = anchors.withColumn("__bucket", F.explode(F.expr("array(-1L, 0L, 1L)")) + F.floor(us(anchor_ts) / width))
+    at = F.floor(us(anchor_ts) / width)
+    a = anchors.withColumn("__bucket", F.explode(F.array(at - 1, at, at + 1)))
     b = rows.withColumn("__bucket", F.floor(us(row_ts) / width))
     j = a.join(b, ["__bucket", *(on or [])])
     gap = us(row_ts) - us(anchor_ts)

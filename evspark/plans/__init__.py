@@ -1 +1 @@
-"""evspark subpackage."""
+"""Registered queries."""

@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def _load() -> None:
+    """Importing a module of queries registers them."""
+    from evspark.plans import q_aggs, q_correlate  # noqa: F401
+
+
+_load()
