@@ -28,7 +28,7 @@ def _first_layout(text: Column, layouts: tuple[str, ...]) -> Column:
 
 def filetime_to_ts(x: Column) -> Column:
     """TS-01: 100 ns since 1601."""
-    return F.timestamp_micros(F.floor(x.cast("long") / 10).cast("long") - F.lit(FILETIME_SHIFT_S * 1_000_000))
+    return F.timestamp_micros(F.floor(x.cast("decimal(20,0)") / 10).cast("long") - F.lit(FILETIME_SHIFT_S * 1_000_000))
 
 
 def ts_to_filetime(ts: Column) -> Column:
@@ -82,7 +82,7 @@ def numeric_to_ts(x: Column, profile: str = "timeline") -> Column:
     ole = micros((v - OLE_EPOCH_DAYS) * 86_400_000_000)
     ladder = (
         F.when(v > 1e15, micros(since_1601))
-        .when(v > 1e13, micros(v * 1000))
+        .when(v > 1e12, micros(v * 1000))
         .when((v > 946_684_800) & (v < 2_524_608_000), micros(v * 1_000_000))
         .when((v > 0) & (v < 1_500_000_000), F.coalesce(cocoa, F.when((v > 36_526) & (v < 60_000) & (v != F.floor(v)), ole)))
     )

@@ -88,11 +88,13 @@ def type_by_suffix(name: Column, rules: Sequence[tuple[str, str]], other: str =
 
 def combined_type(metadata: Column, by_table: Column, by_file: Column, by_columns: Column) -> Column:
     """INF-10: struct(type, confidence): metadata 1.0; table name 0.9 or 0.7; file name 0.8; columns 0.7 x share from a
-    share of 0.5; the surest wins."""
-    pick = lambda c, t, p: F.struct(F.when(c, p).otherwise(0.0).alias("confidence"), F.when(c, t).otherwise("Unknown").alias("type"))
+    share of 0.5; the surest wins, at a
+    tie the one named first."""
+    pick = lambda c, t, p, order: F.struct(F.when(c, p).otherwise(0.0).alias("confidence"), F.lit(order).alias("order"), F.when(c, t).otherwise("Unknown").alias("type"))
     known = lambda t: F.coalesce(t != "Unknown", F.lit(False))
     options = F.array(
-        pick(metadata.isNotNull(), metadata, F.lit(1.0)), pick(known(by_table["type"]), by_table["type"], F.when(by_table["confidence"] == "high", 0.9).otherwise(0.7)),
-        pick(known(by_file), by_file, F.lit(0.8)), pick(F.coalesce(by_columns["share"] >= 0.5, F.lit(False)), by_columns["type"], by_columns["share"] * 0.7),
+        pick(metadata.isNotNull(), metadata, F.lit(1.0), 4), pick(known(by_table["type"]), by_table["type"], F.when(by_table["confidence"] == "high", 0.9).otherwise(0.7), 3),
+        pick(known(by_file), by_file, F.lit(0.8), 2), pick(F.coalesce(by_columns["share"] >= 0.5, F.lit(False)), by_columns["type"], by_columns["share"] * 0.7, 1),
     )
-    return F.array_max(options)
+    best = F.array_max(options)
+    return F.struct(best["type"].alias("type"), best["confidence"].alias("confidence"))
