@@ -43,7 +43,7 @@ def tagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def open_close_sessions(df: DataFrame, ts: str, key: str, is_open: Column, is_close: Column, late: str = "10 minutes") -> DataFrame:
     """SS-06: key, start_ts, end_ts, end_kind of sessions: the first opener starts one, the next closer ends it. What is
     open when the watermark passes its last event by a day is emitted as `ongoing`. State: one instant a key."""
-    rows = df.withWatermark(ts, late).filter(is_open | is_close).select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), is_open.alias("opens"))
+    rows = df.filter(is_open | is_close).select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), is_open.alias("opens")).withWatermark("ts", late)
 
     def step(k, batches, state: GroupState):
         started = state.get[0] if state.exists else None
