@@ -6,9 +6,9 @@ densification). Rows of bins make band keys; documents that share a key are cand
 
 Documents with equal sets are one class, whose smallest id stands for it. Within a bucket the smallest id is the
 centre and every other member is one edge from it, so a bucket of m members gives m - 1 candidate pairs. Links are
-confirmed on the full sets. Where the members of a bucket still belong to several components, the pairs between
-different components are confirmed too, so that no link inside a bucket is lost to the star shape; components settle
-by passing on the least label and jumping along labels.
+confirmed on the full sets. Where the members of a bucket still belong to several components, documents of different
+components are compared in blocks, so that no link inside a bucket is lost to the star shape, and only links that
+join components leave a block. Components settle by passing on the least label and jumping along labels.
 
 Texts are lower-cased in A-Z and cut at ASCII white space. Fewer words than a shingle: the whole sequence is the one
 shingle. Null texts and texts without words have empty sets and are linked with nothing. Rows with a null id are
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -152,48 +153,89 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def _confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, least: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Pairs that sizes alone rule out go first; then only the
-    texts of documents in a pair are read for their sets, and a pair's second set travels to its first."""
+def _sets_of(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hashes of the documents in ids (distinct). Other texts are kept out by a bounded filter before the join."""
+    member = Repeats.count(ids, "doc_id", ids.count(), least=1).test(docs.sparkSession, "doc_id")
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").filter(member)
+    return written(shingle_sets(some, words, "doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _confirmed(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Pairs that sizes alone rule out go first; a pair's second
+    set then travels to its first."""
     up, down = least.numerator, least.denominator
     n = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
     pairs = pairs.join(n("a"), "a").join(n("b"), "b").filter(F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up).select("a", "b")
-    pairs = written(pairs)
-    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    count = ids.count()
-    if not count:
-        return pairs
-    member = Repeats.count(ids, "doc_id", count, least=1).test(docs.sparkSession, "doc_id")
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").filter(member)
-    sets = written(shingle_sets(some, words, "doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     set_of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}"))
-    return written(pairs.join(set_of("b"), "b").join(set_of("a"), "a").filter(similar("set_a", "set_b", least)).select("a", "b"))
+    return written(written(pairs).join(set_of("b"), "b").join(set_of("a"), "a").filter(similar("set_a", "set_b", least)).select("a", "b"))
 
 
-def near_classes(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joining_links(pdf: pd.DataFrame, least: Fraction) -> pd.DataFrame:
+    """Links between documents of one or two blocks that share a band key but belong to different components: as many
+    as join the components, no more."""
+    up, down = least.numerator, least.denominator
+    ids, side = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
+    bands = np.stack([np.asarray(x, np.int64) for x in pdf["bands"]])
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+    size = np.array([len(x) for x in sets])
+    _, root = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+    one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    a, b = [], []
+    for x in range(len(ids)):
+        others = np.arange(x + 1, len(ids)) if one_block else np.flatnonzero(side == 1) if side[x] == 0 else ()
+        if not len(others):
+            continue
+        others = others[(root[others] != root[x]) & (np.minimum(size[others], size[x]) * down >= np.maximum(size[others], size[x]) * up)]
+        others = others[(bands[others] == bands[x]).any(axis=1)] if len(others) else others
+        if not len(others):
+            continue
+        flat = np.concatenate([sets[y] for y in others])
+        at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+        both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.r_[0, np.cumsum(size[others])[:-1]])
+        for y in others[down * both >= up * (size[x] + size[others] - both)]:
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _rest_of_links(placed: DataFrame, reps: DataFrame, sets: DataFrame, least: Fraction, block: int) -> DataFrame:
+    """Links that the stars missed, from buckets (band, doc_id, centre, label) which hold several components.
+
+    Documents that such buckets connect form a neighbourhood. Its documents are dealt into blocks, and each pair of
+    blocks meets in a task of bounded size, where sets are compared in place; pairs are not made into rows.
+    """
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    near = components(placed.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    member = written(placed.select("doc_id", "label").distinct().join(near.select(F.col("node").alias("doc_id"), F.col("label").alias("near")), "doc_id"))
+    blocks = member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    member = join_group_facts(member, written(blocks), "near", "n", member.count())
+    full = member.join(reps.select("doc_id", "bands"), "doc_id").join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "label", "bands", "hashes")
+    return written(dealt.groupBy("near", "i", "j").applyInPandas(lambda pdf: _joining_links(pdf, least), f"a {kind}, b {kind}"))
+
+
+def near_classes(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sig = written(signatures(docs, words, id_col, text_col))
     total = sig.count()
     whole = sig.filter("digest is not null and doc_id is not null")
     classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = whole.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    reps = written(whole.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
     shared_keys = keyed.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = written(keyed.join(shared_keys.select("band", "centre"), "band"))
     sizes = whole.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    more = (docs, words, least, id_col, text_col)
+    sets = _sets_of(written(buckets.select("doc_id").distinct()), docs, words, id_col, text_col)
     star = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(star, sizes, *more)
+    links = _confirmed(star, sizes, sets, least)
     labels = components(links)
     placed = buckets.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     torn = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
     placed = written(placed.join(torn, "band", "left_semi"))
-    if placed.limit(1).count():
-        x = placed.filter("doc_id <> centre").select("band", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-        y = placed.filter("doc_id <> centre").select("band", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-        across = x.join(y, "band").filter("la <> lb and a < b").select("a", "b").distinct()
-        links = written(links.unionByName(_confirmed(across, sizes, *more)))
-        labels = components(links)
+    labels = components(written(links.unionByName(_rest_of_links(placed, reps, sets, least, block))))
     classes = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "copies", F.coalesce("label", "rep").alias("component_id")))
     found = join_group_facts(whole.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", total).select("doc_id", "n_shingles", "component_id")
     rest = sig.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
