@@ -160,7 +160,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """The kept columns with lang_pred and score, for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("text"), *(keep or []))
+    rows = docs.select(F.col(text_col).alias("__text"), *(keep or []))
     names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
