@@ -91,7 +91,7 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
         return Model(np.zeros(buckets))
     # the target's estimate leans on the raw model where it has seen little
     raw = (sums[1] + 0.5) / (sums[1].sum() + 0.5 * buckets)
-    lean = 0.05 * sums[0].sum() / max(1.0, buckets) + 1.0
+    lean = (0.05 * sums[0].sum() + 1000.0) / buckets
     target = (sums[0] + lean * raw * buckets) / (sums[0].sum() + lean * buckets)
     return Model(np.log(target / raw))
 
