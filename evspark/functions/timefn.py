@@ -73,12 +73,20 @@ def in_years(ts: Column, least: int = 2000, most: int | None = None) -> Column:
     return F.when(F.year(ts).between(F.lit(least), top), ts)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once: long ladders would repeat its expression in every rung."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def numeric_to_ts(x: Column, profile: str = "timeline") -> Column:
     """The ladder for numbers: 100 ns or microseconds since 1601, ms and s since 1970, s since 2001, days since 1899."""
-    v = x.cast("double")
+    return _bound(x.cast("double"), lambda v: _number_ladder(v, *PROFILES[profile]))
+
+
+def _number_ladder(v: Column, least: int, most: int | None) -> Column:
     micros = lambda c: F.timestamp_micros(c.cast("long"))
     since_1601 = F.when(v > 1e17, v / 10).otherwise(v) - F.lit(FILETIME_SHIFT_S * 1_000_000)
-    cocoa = in_years(micros((v + COCOA_EPOCH_S) * 1_000_000), *PROFILES[profile])
+    cocoa = _bound(micros((v + COCOA_EPOCH_S) * 1_000_000), lambda t: in_years(t, least, most))
     ole = micros((v - OLE_EPOCH_DAYS) * 86_400_000_000)
     ladder = (
         F.when(v > 1e15, micros(since_1601))
@@ -86,27 +94,32 @@ def numeric_to_ts(x: Column, profile: str = "timeline") -> Column:
         .when((v > 946_684_800) & (v < 2_524_608_000), micros(v * 1_000_000))
         .when((v > 0) & (v < 1_500_000_000), F.coalesce(cocoa, F.when((v > 36_526) & (v < 60_000) & (v != F.floor(v)), ole)))
     )
-    return in_years(ladder, *PROFILES[profile])
+    return _bound(ladder, lambda t: in_years(t, least, most))
 
 
 def parse_any(x: Column, profile: str = "timeline") -> Column:
     """TS-04: strings in ISO layouts, then anything the engine's own parser takes, then numbers in strings."""
-    text = F.trim(x.cast("string"))
-    text = F.when((text != "") & (text != "N/A"), text)
-    number = F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), text.try_cast("double"))
-    said = F.when(number.isNull(), F.coalesce(_first_layout(text, ISO_LAYOUTS), F.try_to_timestamp(text)))
-    return F.coalesce(in_years(said, *PROFILES[profile]), numeric_to_ts(number, profile))
+    gate = PROFILES[profile]
+
+    def parsed(text: Column) -> Column:
+        number = F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), text.try_cast("double"))
+        said = F.when(number.isNull(), F.coalesce(_first_layout(text, ISO_LAYOUTS), F.try_to_timestamp(text)))
+        return F.coalesce(_bound(said, lambda t: in_years(t, *gate)), _bound(number, lambda v: _number_ladder(v, *gate)))
+
+    return _bound(F.trim(x.cast("string")), lambda t: F.when((t != "") & (t != "N/A"), parsed(t)))
 
 
 def parse_slash(x: Column) -> Column:
     """TS-06: slash dates, US order before EU order."""
-    return _first_layout(F.trim(x.cast("string")), SLASH_LAYOUTS)
+    return _bound(F.trim(x.cast("string")), lambda t: _first_layout(t, SLASH_LAYOUTS))
 
 
 def detect_format(x: Column) -> Column:
     """TS-09: the name of a raw value's time format, `unknown` if none."""
-    text = F.trim(x.cast("string"))
-    v = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
+    return _bound(F.trim(x.cast("string")), lambda text: _bound(F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double")), lambda v: _format_of(text, v)))
+
+
+def _format_of(text: Column, v: Column) -> Column:
     return (
         F.when(text.isNull() | (text == ""), F.lit("empty"))
         .when(v > 1e17, "filetime").when(v > 1e15, "webkit_us").when(v.between(946_684_800e6, 4_102_444_800e6), "unix_us")
@@ -123,11 +136,14 @@ def parse_resilient(x: Column, hint: str | None = None, profile: str = "evidence
     """TS-05: struct(ts, format, confidence). A layout given as hint is tried first and trusted most."""
     text = F.trim(x.cast("string"))
     hinted = F.try_to_timestamp(text, F.lit(hint)) if hint else F.lit(None).cast("timestamp")
-    found = F.coalesce(parse_any(x, profile), in_years(parse_slash(x), *PROFILES[profile]))
-    ts = F.coalesce(hinted, found)
-    kind = detect_format(x)
-    sure = F.when(hinted.isNotNull(), 1.0).when(ts.isNull(), 0.0).when(kind.isin("slash_us", "slash_eu", "unknown"), 0.7).otherwise(0.95)
-    return F.struct(ts.alias("ts"), F.when(hinted.isNotNull(), F.lit("hint")).otherwise(kind).alias("format"), sure.alias("confidence"))
+    found = F.coalesce(parse_any(x, profile), _bound(parse_slash(x), lambda t: in_years(t, *PROFILES[profile])))
+    parts = F.struct(hinted.alias("hinted"), F.coalesce(hinted, found).alias("ts"), detect_format(x).alias("kind"))
+
+    def told(p: Column) -> Column:
+        sure = F.when(p["hinted"].isNotNull(), 1.0).when(p["ts"].isNull(), 0.0).when(p["kind"].isin("slash_us", "slash_eu", "unknown"), 0.7).otherwise(0.95)
+        return F.struct(p["ts"].alias("ts"), F.when(p["hinted"].isNotNull(), F.lit("hint")).otherwise(p["kind"]).alias("format"), sure.alias("confidence"))
+
+    return _bound(parts, told)
 
 
 def to_utc(ts: Column, zone: str) -> Column:

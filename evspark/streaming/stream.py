@@ -63,6 +63,7 @@ def open_close_sessions(df: DataFrame, ts: str, key: str, is_open: Column, is_cl
             state.update((started,))
             last = int(seen["ts"].max().value // 1_000_000)
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 86_400_000)
-        yield pd.DataFrame(out, columns=["key", "start_ts", "end_ts", "end_kind"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "start_ts", "end_ts", "end_kind"])
 
     return rows.groupBy("key").applyInPandasWithState(step, "key string, start_ts timestamp, end_ts timestamp, end_kind string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
