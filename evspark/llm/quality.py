@@ -2,7 +2,9 @@
 
 Two generative models over hashed word n-grams (one and two tokens): the target, from a bounded sample of rows
 labelled good, and the raw text, from all documents. A document's log importance weight is the sum over its n-grams
-of the log ratio of the two. Gumbel noise, drawn from the id, is added, and the k documents with the largest sums
+of the log ratio of the two; texts of more than `span` n-grams count by their average over `span`, so that small errors
+of the models don't add up with length. The number of buckets follows the sample: at least 32 target n-grams a bucket
+on average, 2^16 buckets at most. Gumbel noise, drawn from the id, is added, and the k documents with the largest sums
 stay: an exact sample without replacement in proportion to the weights.
 
 k is not a share fixed beforehand: it is the number of documents whose log weight is at least `floor`, so that only
@@ -30,7 +32,8 @@ from evspark.llm.shared import IdCache, fresh, uniform52, written
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEP = np.uint64(0x9E3779B1)
 PART = 200_000
-FLOOR = -8.0  # log weight: short clean texts lie near 0 and junk far below
+SPAN = 100
+FLOOR = -8.0  # log weight: clean texts lie near 0 and junk far below
 
 
 class Buckets:
@@ -89,6 +92,9 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
     sums[0][at], sums[1][at] = t.column("target").to_numpy(), t.column("raw").to_numpy()
     if not sums[0].sum():
         return Model(np.zeros(buckets))
+    while buckets > 256 and sums[0].sum() < 32 * buckets:  # halves fold onto each other, as hashes do
+        buckets //= 2
+        sums = sums[:, :buckets] + sums[:, buckets:]
     # the target's estimate leans on the raw model where it has seen little
     raw = (sums[1] + 0.5) / (sums[1].sum() + 0.5 * buckets)
     lean = (0.05 * sums[0].sum() + 1000.0) / buckets
@@ -96,7 +102,7 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
     return Model(np.log(target / raw))
 
 
-def log_weight(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+def log_weight(docs: DataFrame, model: Model, text_col: str = "text", span: int = SPAN) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
     state: dict = {}
 
@@ -104,7 +110,14 @@ def log_weight(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         if "of" not in state:
             state["of"], state["table"] = Buckets(len(held.value)), held.value
         of, table = state["of"], state["table"]
-        return pa.array([float(sum(table[ids].sum() for ids in of(t))) if t else 0.0 for t in texts.to_pylist()], pa.float64())
+
+        def one(text: str | None) -> float:
+            total, n = 0.0, 0
+            for ids in of(text or ""):
+                total, n = total + float(table[ids].sum()), n + len(ids)
+            return total * min(1.0, span / n) if n else 0.0
+
+        return pa.array([one(t) for t in texts.to_pylist()], pa.float64())
 
     return F.arrow_udf(weigh, "double")(F.col(text_col))
 
