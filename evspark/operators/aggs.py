@@ -234,10 +234,11 @@ def both_ends(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
 
 def dense_days(heat_rows: DataFrame, day: str = "day", source: str = "source", n: str = "n", years: int = 5) -> DataFrame:
     """AG-39: every UTC day from first to last (the last 5 years at most) with each source's count, 0 included."""
-    lo = F.greatest(F.min(day), F.add_months(F.max(day), -12 * years))
-    days = heat_rows.agg(F.sequence(lo, F.max(day)).alias("d")).select(F.explode("d").alias(day))
+    every = Window.partitionBy()  # over one row a source
+    span = heat_rows.groupBy(source).agg(F.min(day).alias("__lo"), F.max(day).alias("__hi"))
+    span = span.withColumn("__hi", F.max("__hi").over(every)).withColumn("__lo", F.greatest(F.min("__lo").over(every), F.add_months(F.col("__hi"), -12 * years)))
+    grid = span.select(source, F.explode(F.sequence("__lo", "__hi")).alias(day))
     per = heat_rows.groupBy(day, source).agg(F.sum(n).alias(n))
-    grid = days.withColumn("__k", F.lit(1)).join(heat_rows.select(source).distinct().withColumn("__k", F.lit(1)), "__k").drop("__k")
     return grid.join(per, [day, source], "left").withColumn(n, F.coalesce(F.col(n), F.lit(0)))
 
 
