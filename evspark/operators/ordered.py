@@ -65,19 +65,22 @@ def session_anchors(df: DataFrame, key: list[str], ts: str, seconds: int, extra:
 def fixed_origin(df: DataFrame, key: list[str], ts: str, id_col: str, seconds: int) -> DataFrame:
     """WN-05..WN-07: each row's cluster, where a row starts a new one when it is over `seconds` after the CLUSTER's start.
 
-    A gap over `seconds` always starts one, so rows are first cut into islands, and the fold runs over each island's
-    sorted array: key, cluster_start, id, ts.
+    A gap over `seconds` always starts one, so rows are first cut into islands. The fold runs over an island's sorted
+    distinct instants and yields cluster starts only; rows then take the last start at or before them. What one task
+    holds is eight bytes for each distinct instant of an island, however many rows share it.
     """
-    cut = islands(df, key, ts, seconds, [id_col])
-    rows = cut.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct(us(ts).alias("t"), F.col(id_col).alias("id")))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("long").alias("origin"), F.expr(f"cast(array() as array<struct<origin:bigint,t:bigint,id:{df.schema[id_col].dataType.simpleString()}>>)").alias("out"))
-
-    def step(acc, row):
-        origin = F.when(acc["origin"].isNull() | (row["t"] - acc["origin"] > seconds * US), row["t"]).otherwise(acc["origin"])
-        return F.struct(origin.alias("origin"), F.concat(acc["out"], F.array(F.struct(origin.alias("origin"), row["t"].alias("t"), row["id"].alias("id")))).alias("out"))
-
-    folded = rows.select(*key, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r"))
-    return folded.select(*key, F.timestamp_micros("r.origin").alias("cluster_start"), F.col("r.id").alias(id_col), F.timestamp_micros("r.t").alias(ts))
+    cut = islands(df.filter(F.col(ts).isNotNull()), key, ts, seconds, [id_col]).withColumn("__t", us(ts))
+    instants = cut.select(*key, "island", "__t").distinct().groupBy(*key, "island").agg(F.array_sort(F.collect_list("__t")).alias("__ts"))
+    zero = F.struct(F.lit(None).cast("long").alias("origin"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+
+    def step(acc, t):
+        new = acc["origin"].isNull() | (t - acc["origin"] > seconds * US)
+        return F.struct(F.when(new, t).otherwise(acc["origin"]).alias("origin"), F.when(new, F.concat(acc["starts"], F.array(t))).otherwise(acc["starts"]).alias("starts"))
+
+    starts = instants.select(*key, F.explode(F.aggregate("__ts", zero, step)["starts"]).alias("__t")).withColumn("__start", F.col("__t"))
+    w = Window.partitionBy(*key).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    placed = cut.join(starts, [*key, "__t"], "left").withColumn("__start", F.max("__start").over(w))
+    return placed.select(*key, F.timestamp_micros("__start").alias("cluster_start"), id_col, F.timestamp_micros("__t").alias(ts))
 
 
 def fixed_origin_clusters(df: DataFrame, key: list[str], ts: str, id_col: str, seconds: int, least: int = 2) -> DataFrame:
