@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.operators.joins import US, us
+from evspark.operators.joins import US, config_table, us
 
 
 @dataclass(frozen=True)
@@ -40,11 +40,14 @@ def windows(df: DataFrame, ts: str, size_s: int, step_s: int | None = None, orig
 def correlate_windows(df: DataFrame, identity: str, source: str, ts: str, min_sources: int = 2) -> DataFrame:
     """CW-02: groups of (window, identity) with enough sources, exact repeats of (identity, source, time) counted once.
 
-    One shuffle on (window, identity): repeats are removed inside a partial aggregate on the longer key first.
+    One shuffle: rows are dealt by (window, identity), and the three aggregates on longer keys - repeats, sources,
+    groups - find their rows together in the same partitions.
     """
-    once = df.filter(F.col(identity).isNotNull()).groupBy("window_start", identity, source, ts).agg(F.lit(1).alias("__one"))
-    out = once.groupBy("window_start", identity).agg(
-        F.count_distinct(source).alias("n_sources"), F.count(F.lit(1)).alias("n_records"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.array_sort(F.collect_set(source)).alias("sources")
+    rows = df.filter(F.col(identity).isNotNull()).select("window_start", identity, source, ts).repartition("window_start", identity)
+    once = rows.groupBy("window_start", identity, source, ts).agg(F.lit(1).alias("__one"))
+    per = once.groupBy("window_start", identity, source).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    out = per.groupBy("window_start", identity).agg(
+        F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_records"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"), F.array_sort(F.collect_list(source)).alias("sources")
     )
     return out.filter(F.col("n_sources") >= min_sources)
 
@@ -112,7 +115,7 @@ def effective_weights(sources: DataFrame, wing: DataFrame, case: DataFrame, worl
 
 def weighted_score(members: DataFrame, key: list[str], source: str, weights: DataFrame, labels: list[tuple[float, str]], default: float = 0.0) -> DataFrame:
     """SC-03: sum of the weights of the sources present, its breakdown, and the label with the highest least reached."""
-    j = members.select(*key, source).distinct().join(weights.withColumnRenamed("source", source), source, "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
+    j = members.select(*key, source).distinct().join(config_table(weights.withColumnRenamed("source", source)), source, "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
     out = j.groupBy(*key).agg(F.bround(F.sum("weight"), 2).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(source).alias("k"), "weight")))).alias("breakdown"))
     return out.withColumn("label", label_of(F.col("score"), labels))
 

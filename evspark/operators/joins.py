@@ -15,6 +15,13 @@ def us(c: str | Column) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
+def config_table(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of configuration, counted against a bound and broadcast; more rows than that are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a configuration table of more than {most} rows")
+    return F.broadcast(df)
+
+
 def band_join(anchors: DataFrame, rows: DataFrame, seconds: int, anchor_ts: str, row_ts: str, on: list[str] | None = None) -> DataFrame:
     """JN-01: every anchor with every row within +-seconds (both ends inclusive), `dt_s` apart.
 

@@ -48,9 +48,7 @@ def gap_clusters(df: DataFrame, key: list[str], ts: str, seconds: int, least: in
 
     Rows without a time form one island more for each key, with null times.
     """
-    timed = islands(df.filter(F.col(ts).isNotNull()), key, ts, seconds)
-    untimed = df.filter(F.col(ts).isNull()).withColumn("island", F.lit(-1).cast("long"))
-    rows = timed.withColumn("island", F.col("island").cast("long")).unionByName(untimed)
+    rows = islands(df, key, ts, seconds).withColumn("island", F.when(F.col(ts).isNotNull(), F.col("island")).otherwise(-1).cast("long"))
     out = rows.groupBy(*key, "island").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *(extra or []))
     out = out.filter(F.col("n") >= least) if least > 1 else out
     return out.withColumn("duration_s", (us("end_ts") - us("start_ts")) / F.lit(float(US)))

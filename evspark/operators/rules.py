@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.predicates import condition
+from evspark.operators.joins import config_table
 
 
 @dataclass(frozen=True)
@@ -179,7 +180,7 @@ def label_values(fields: DataFrame, mappings: DataFrame) -> DataFrame:
     m = mappings.select(F.lower("field").alias("__f"), F.lower("match_value").alias("__v"), "label", "confidence")
     w = Window.partitionBy("__f", "__v").orderBy(F.col("confidence").desc(), "label")
     m = m.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    return fields.join(m, (F.lower("field") == F.col("__f")) & (F.lower("value") == F.col("__v")), "left").drop("__f", "__v")
+    return fields.join(config_table(m), (F.lower("field") == F.col("__f")) & (F.lower("value") == F.col("__v")), "left").drop("__f", "__v")
 
 
 def label_by_pattern(value: Column, patterns: Sequence[tuple[str, str, float]]) -> Column:
@@ -192,7 +193,7 @@ def scoped_value(wanted: DataFrame, mappings: DataFrame) -> DataFrame:
     """RL-16: (source, field, value) -> label of the narrowest scope."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SCOPES]), F.col("scope"))
     w = Window.partitionBy("source", "field", "value").orderBy(rank, "label")
-    return wanted.join(mappings, ["source", "field", "value"], "left").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    return wanted.join(config_table(mappings), ["source", "field", "value"], "left").withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
 def of_identity(matches: DataFrame, identity: str, pattern: str | None = None) -> DataFrame:
