@@ -27,9 +27,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, each_batch
+from evspark.llm.shared import IdCache, as_texts, small_batches
 
 NONE, ROOT = -1, 0
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +41,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    MAX_ARCS = 1_000_000
+    MAX_ARCS, MAX_FITS = 250_000, 100_000
     COMMIT = 512
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -66,7 +68,7 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.arcs: dict[int, tuple[int, int]] = {}
+        self.arcs: dict[int, int] = {}  # state and byte -> next state and last token
         self.states: list[tuple[tuple[int, int], ...]] = [((NONE, ROOT),)]
         self.number = {self.states[0]: 0}
 
@@ -102,12 +104,12 @@ class Transducer:
                 before, x = x, px[1]  # a tie between equal ranks goes to the left merge, so the bound is strict here
             else:
                 before, y = y + 1, py[0]  # and a border merge of the same rank as y's comes first, being further left
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > self.MAX_FITS:
             self.fits.clear()
         self.fits[(a, b)] = ok
         return ok
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+    def _arc(self, state: int, byte: int) -> int:
         """Determinise one transition: next state, and the last token of the encoding up to here."""
         last, live = NONE, []
         for prev, node in self.states[state]:
@@ -119,13 +121,15 @@ class Transducer:
             t = self.token[nxt]
             if last == NONE and t != NONE and self.may_follow(prev, t):
                 last = t
+        if last == NONE:
+            raise ValueError("the vocabulary lacks a byte, or its merges are out of order")
         live.append((last, ROOT))
         key = tuple(live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        arc = self.arcs[state << 8 | byte] = (to, last)
+        arc = self.arcs[state << 8 | byte] = to << TOKEN_BITS | last
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
@@ -138,8 +142,8 @@ class Transducer:
             arc = get(state << 8 | byte)
             if arc is None:
                 arc = self._arc(state, byte)
-            state = arc[0]
-            ends.append(arc[1])
+            state = arc >> TOKEN_BITS
+            ends.append(arc & TOKEN_MASK)
             if len(ends) >= self.COMMIT and len(ends) % self.COMMIT == 0:
                 at = self._settled(state, ends)
                 if at:
@@ -237,6 +241,13 @@ class Codec:
         yield stream.close()
 
 
+    def rest(self) -> None:
+        """Keep what was compiled, forget what was met: between tasks a worker needs its memory for other stages."""
+        self.pieces = IdCache(self._piece)
+        self.fst.fits.clear()
+        self.fst._forget()
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -262,10 +273,9 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
     The digests of the decoded bytes come from decoding the ids, chunk by chunk.
     """
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(vocab)
+    def one(c: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
         n, sha, back, chars, kept = [], [], [], [], []
-        for text in b.column(1).to_pylist():
+        for text in as_texts(b.column(1)):
             ids = c.encode(text) if text else b""
             digest, stream, count = hashlib.sha256(), Utf8Stream(), 0
             for chunk in c.decode_chunks(ids):
@@ -283,6 +293,12 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
             cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
         return pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocab)
+        for b in batches:
+            yield one(c, b)
+        c.rest()
+
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each_batch(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long" + ", ids binary" * with_ids)

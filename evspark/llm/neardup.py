@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, Repeats, as_bytes, fresh, join_group_facts, mix64, written
+from evspark.llm.shared import IdCache, Repeats, as_bytes, as_texts, fresh, hits, join_group_facts, mix64, small_batches, written
 
 BANDS, ROWS = 32, 5
 TRIES = 64
@@ -90,7 +90,7 @@ class OnePermutation:
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), band keys."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, permute = Shingler(words), OnePermutation()
@@ -107,13 +107,16 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and its set as bytes of sorted unsigned 64-bit integers."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def shingle_sets(docs: DataFrame, words: int, wanted: Repeats, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and its set as bytes of sorted unsigned 64-bit integers, for ids that pass the filter `wanted`."""
+    named = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    rows = named.select("doc_id", "text", *[c.alias(f"cell{i}") for i, c in enumerate(wanted.cells("doc_id", wanted.half))])
+    held = docs.sparkSession.sparkContext.broadcast(wanted.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for b in batches:
+            b = b.filter(pa.array(hits(held.value, np.asarray(b.column(2)), np.asarray(b.column(3)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["doc_id", "hashes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -126,7 +129,7 @@ def similar(a: str, b: str, least: Fraction) -> Column:
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
+        for p, q in zip(as_texts(x), as_texts(y), strict=True):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             if len(p) > len(q):
                 p, q = q, p
@@ -155,9 +158,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _sets_of(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, hashes of the documents in ids (distinct). Other texts are kept out by a bounded filter before the join."""
-    member = Repeats.count(ids, "doc_id", ids.count(), least=1).test(docs.sparkSession, "doc_id")
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").filter(member)
-    return written(shingle_sets(some, words, "doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    member = Repeats.count(ids, "doc_id", ids.count(), least=1)
+    return written(shingle_sets(docs, words, member, id_col, text_col).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def _confirmed(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, fresh, uniform52, written
+from evspark.llm.shared import IdCache, as_texts, fresh, small_batches, uniform52, written
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEP = np.uint64(0x9E3779B1)
@@ -69,13 +69,13 @@ def target_sample(labels: DataFrame, most: int, id_col: str = "doc_id") -> DataF
 def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target: int = 20_000, id_col: str = "doc_id", text_col: str = "text", good_id: str = "doc_id") -> Model:
     """`good` holds the ids of rows labelled good. Raw counts cover all documents; tasks hand on one sum a bucket."""
     sample = written(target_sample(good, max_target, good_id))
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("row_id") == F.col("target_id"), "left")
+    rows = small_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("row_id") == F.col("target_id"), "left")
     rows = rows.select(F.col("target_id").isNotNull().alias("target"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums = Buckets(buckets), np.zeros((2, buckets), np.int64)
         for b in batches:
-            for target, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for target, text in zip(b.column(0).to_pylist(), as_texts(b.column(1)), strict=True):
                 for ids in of(text or ""):
                     counts = np.bincount(ids, minlength=buckets) if len(ids) > buckets else None
                     for to in (0, 1) if target else (1,):
@@ -103,7 +103,7 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
 
 
 def log_weight(docs: DataFrame, model: Model, text_col: str = "text", span: int = SPAN) -> Column:
-    held = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model.log_ratio)
     state: dict = {}
 
     def weigh(texts: pa.Array) -> pa.Array:
@@ -117,7 +117,7 @@ def log_weight(docs: DataFrame, model: Model, text_col: str = "text", span: int
                 total, n = total + float(table[ids].sum()), n + len(ids)
             return total * min(1.0, span / n) if n else 0.0
 
-        return pa.array([one(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([one(t) for t in as_texts(texts)], pa.float64())
 
     return F.arrow_udf(weigh, "double")(F.col(text_col))
 

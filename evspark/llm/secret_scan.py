@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import each_batch
+from evspark.llm.shared import as_texts, each_batch, small_batches
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], [], []]
-        for text in b.column(1).to_pylist():
+        for text in as_texts(b.column(1)):
             base = base_spans(text) if text else []
             weak, links = linked_spans(text, base, scope) if text else ([], [])
             kinds = [k for _, _, k in base]
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "links"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(each_batch(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string, links array<string>")
 

@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batches to 1,000 rows and 16 MB for what follows: rows are whole texts, and each task
+    holds a batch in the JVM and in Python. A lower setting is left alone."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder, read back. Survives lost executors, since the files are shared."""
     spark = df.sparkSession
@@ -83,22 +93,38 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """A string column's UTF-8 bytes, null as empty, one at a time in memory of the batch."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+SLICE = 256
+
+
+def as_texts(column: pa.Array) -> Iterator[str | None]:
+    """A string column's values, a few hundred at a time, so that a batch isn't held twice."""
+    for i in range(0, len(column), SLICE):
+        yield from column.slice(i, SLICE).to_pylist()
+
+
+def as_bytes(column: pa.Array) -> Iterator[bytes]:
+    """A string column's UTF-8 bytes, null as empty, a few hundred at a time."""
+    for i in range(0, len(column), SLICE):
+        for x in column.slice(i, SLICE).cast(pa.large_binary()).to_pylist():
+            yield x or b""
 
 
 class IdCache(dict):
-    """word -> value, filled on demand by a function; emptied when it holds `limit` words, so that memory is bounded."""
+    """word -> value, filled on demand by a function, of bounded size: when it holds `limit` words they become the old
+    generation, from which words that are met again come back, and the generation before is forgotten."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 100_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value
 
 
@@ -124,6 +150,14 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hits(bits: np.ndarray, *cells: np.ndarray) -> np.ndarray:
+    """Whether all of a key's cells are set in the bitmap."""
+    out = np.ones(len(cells[0]), bool)
+    for c in cells:
+        out &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 class Repeats:
     """A two-hash Bloom filter of the keys that occur at least `least` times, with a fixed bound on its size.
 
@@ -153,8 +187,9 @@ class Repeats:
 
         blocks = cells.select("cell", F.shiftright("cell", 15).alias("block")).groupBy("block").applyInPandas(block, "block long, bits binary")
         bits = np.zeros(2 * half // 8, np.uint8)
-        for r in blocks.toLocalIterator():  # at most 2 * half / 8 bytes in all
-            bits[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+        got = blocks.toArrow()  # at most 2 * half / 8 bytes in all
+        for no, raw in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+            bits[no * 4096 : (no + 1) * 4096] = np.frombuffer(raw, np.uint8)
         return cls(bits, half)
 
     def test(self, spark: SparkSession, key: str) -> Column:
@@ -163,8 +198,6 @@ class Repeats:
 
         @F.pandas_udf("boolean")
         def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-            bits = held.value
-            hit = lambda c: bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1
-            return pd.Series((hit(a.to_numpy()) & hit(b.to_numpy())).astype(bool))
+            return pd.Series(hits(held.value, a.to_numpy(), b.to_numpy()))
 
         return maybe(*self.cells(key, self.half))
