@@ -15,6 +15,7 @@ Ties go to the language with more training words, then by name. Repeated rows ar
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, count_floor, written
+from evspark.llm.shared import IdCache, as_texts, count_floor, small_batches, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -54,7 +55,7 @@ class Model:
         for n in ORDERS:
             rows = [i for g in grams(word, n) if (i := self.grams.get(g)) is not None]
             if rows:
-                return self.gram_logp[rows].mean(axis=0)
+                return np.add.reduce(self.gram_logp.take(rows, axis=0)) / len(rows)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -68,7 +69,7 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "key", "n"])
 
     for b in batches:
-        for lang, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for lang, text, n in zip(*(as_texts(c) for c in b.columns), strict=True):
             keys_of(held[lang], text or "", n)
             if sum(map(len, held.values())) >= FLUSH:
                 yield flush()
@@ -99,7 +100,7 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 100_000, max_grams: int = 200_000) -> Model:
     """Learn from every row with a language. Words and n-grams are counted by Spark over all of them."""
-    labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.lit(1).cast("long").alias("n"))
+    labelled = small_batches(docs).filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.lit(1).cast("long").alias("n"))
     total = lambda df: df.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = written(total(labelled.mapInArrow(lambda b: _counted(b, _add_words), "lang string, key string, n long")))
     pieces = written(total(words.select("lang", F.col("key").alias("text"), "n").mapInArrow(lambda b: _counted(b, _add_grams), "lang string, key string, n long")))
@@ -131,7 +132,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 class Scorer:
     """Scores texts with a model; rows of words met before are kept in a matrix of bounded size."""
 
-    CAPACITY, CHUNK = 300_000, 50_000
+    CAPACITY, CHUNK = 400_000, 50_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -157,16 +158,27 @@ class Scorer:
         return self.model.langs[best], float(1.0 / np.exp(sums - sums[best]).sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model: Model) -> Scorer:
+    """The worker's scorer of a model: words met in one task are known in the next."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """The kept columns with lang_pred and score, for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("__text"), *(keep or []))
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    rows = small_batches(docs).select(F.col(text_col).alias("__text"), *(keep or []))
     names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = _scorer(key, held.value)
         for b in batches:
-            got = [scorer(t) for t in b.column(0).to_pylist()]
+            got = [scorer(t) for t in as_texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*names, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
