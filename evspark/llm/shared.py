@@ -74,13 +74,15 @@ def uniform52(id_col: Column, seed: int) -> Column:
 
 
 def count_floor(totals: DataFrame, n: str, most: int, levels: int = 20_000) -> int:
-    """The least count from which on at most `most` rows of totals have it; found from a histogram of counts."""
-    hist = {r["level"]: r["count"] for r in totals.groupBy(F.least(F.col(n), F.lit(levels)).alias("level")).count().collect()}
-    least, kept = levels + 1, 0
-    for k in sorted(hist, reverse=True):
-        if kept + hist[k] > most:
+    """The least count from which on at most `most` rows of totals have it; found from a histogram of counts, one bin a
+    count up to `levels` and 64 bins to each doubling beyond."""
+    bin_ = F.when(F.col(n) <= levels, F.col(n)).otherwise(F.lit(levels + 1) + F.floor(F.log2(F.col(n) / levels) * 64))
+    hist = totals.groupBy(bin_.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high")).orderBy(F.col("bin").desc()).collect()
+    least, kept = (hist[0]["high"] if hist else 0) + 1, 0
+    for r in hist:
+        if kept + r["rows"] > most:
             break
-        least, kept = k, kept + hist[k]
+        least, kept = r["low"], kept + r["rows"]
     return least
 
 

@@ -44,3 +44,22 @@ def test_row_class_is_crc32_of_text(make):
 
     got = {r["doc_id"]: r["m"] for r in make([(i, "") for i in range(50)]).select("doc_id", langid.row_class(F.col("doc_id"), 4).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 for i in range(50)}
+
+
+def test_rare_words_count_at_any_size_of_the_head(make):
+    """A word keeps its own counts however few are broadcast, also where its n-grams point to another language."""
+    rows = corpus() + [(2000 + i, "wasserstrasse gelbhaus", "fr", None) for i in range(3)] + [(3000, "x" * 60 + " the", "de", None)]
+    docs = [(1, "wasserstrasse"), (2, "gelbhaus the eau"), (3, "strassen " * 5 + "jaunes"), (4, "x" * 60), (5, "中文"), (6, "wasserstrasse"), (7, "the and")]
+    whole = predict(make, docs, langid.train(make(rows)))
+    assert whole[1][0] == "fr" and whole[4][0] == "de" and whole[1] == whole[6]
+    for most in (0, 5, 12):
+        assert predict(make, docs, langid.train(make(rows), max_words=most)) == whole
+
+
+def test_count_floor_holds_above_its_levels(spark):
+    from evspark.llm.shared import count_floor
+
+    df = spark.createDataFrame([(30_000 * (i + 1),) for i in range(50)], "n long")
+    least = count_floor(df, "n", 10)
+    assert 0 < df.filter(F.col("n") >= least).count() <= 10
+    assert count_floor(df.filter("n < 0"), "n", 10) == 1
