@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,18 +58,11 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> tup
         idents += [(m.start(), m.end(), 3) for m in IDENT.finditer(text)]
     if not idents:
         return [], []
-    secrets = {x for x in base if x[2] != 1}
-    ends: list[tuple[int, int, int]] = []
-    reach = -1
-    for s, e, _ in sorted(idents):  # only the scopes are searched, each stretch once
-        lo, hi = max(0, s - scope, reach), min(len(text), e + scope)
-        if lo < hi:
-            pad = min(len(text), hi + 256)
-            secrets |= {(m.start(), m.end(), 4) for m in WEAK.finditer(text, lo, pad) if _mixed(m[0])}
-            ends += [(m.start(), m.end(), 5) for m in ENDPOINT.finditer(text, lo, pad)]
-            reach = hi
-    secrets = sorted(x for x in secrets if x[2] != 4 or not any(b[0] < x[1] and x[0] < b[1] for b in base))
-    ends = sorted(set(ends))
+    # whole texts are searched, so that each part has its own start and end; the scopes only choose among them
+    starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
+    free = lambda m: not (n := bisect_left(starts, m.end())) or reach[n - 1] <= m.start()
+    secrets = sorted({x for x in base if x[2] != 1} | {(m.start(), m.end(), 4) for m in WEAK.finditer(text) if _mixed(m[0]) and free(m)})
+    ends = [(m.start(), m.end(), 5) for m in ENDPOINT.finditer(text)]
     s_at, e_at = [x[0] for x in secrets], [x[0] for x in ends]
     links = []
     for i in sorted(set(idents)):
