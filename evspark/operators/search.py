@@ -77,15 +77,25 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 3, least: float = 0.4, most_queries: int = 1000) -> DataFrame:
-    """SR-08: query_id, id, similarity: the k most similar vectors above a bound, for a stated set of at most
-    `most_queries` queries (checked), which is broadcast against all rows; each partition keeps k rows a query."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in several calls")
+    """SR-08: query_id, id, similarity: the k most similar vectors above a bound, for any number of queries.
+
+    Up to `most_queries` are broadcast against all rows. More are dealt into blocks of about that size and the vectors
+    into slices, and each block meets each slice; either way each partition keeps k rows a query before they are merged.
+    """
+    spark = queries.sparkSession
+    blocks = -(-queries.count() // most_queries)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"))
-    one = F.lit(1).alias("__one")
-    j = vectors.select(F.col(id_col), F.col(vec_col), one).join(F.broadcast(q.select("*", one)), "__one").filter(F.col(id_col) != F.col("query_id"))
-    s = j.withColumn("similarity", cosine(F.col(vec_col), F.col("__q"))).filter(F.col("similarity") > least)
+    v = vectors.select(F.col(id_col), F.col(vec_col))
+    if blocks <= 1:
+        one = F.lit(1).alias("__one")
+        j = v.select("*", one).join(F.broadcast(q.select("*", one)), "__one")
+    else:
+        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        q = q.select("*", dealt("query_id", blocks).alias("__block"), every(slices).alias("__slice"))
+        j = v.select("*", dealt(id_col, slices).alias("__slice"), every(blocks).alias("__block")).join(q, ["__block", "__slice"])
+    s = j.filter(F.col(id_col) != F.col("query_id")).withColumn("similarity", cosine(F.col(vec_col), F.col("__q"))).filter(F.col("similarity") > least)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_col)
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "similarity")
 

@@ -496,6 +496,16 @@ def vector_topk(spark, sf_dir):
     return search.vector_topk(v, v.filter("vec_id < 5"), "vec_id", "embedding", 3, 0.1).select("query_id", "rank", "vec_id")
 
 
+@query("vector_topk_twentieth", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], e) AS s FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s WHERE s > 0.1) SELECT query_id, rank, vec_id FROM r WHERE rank <= 3""")
+def vector_topk_twentieth(spark, sf_dir):
+    """SR-08: every twentieth row against all rows, the best three each"""
+    v = load(spark, sf_dir, "embeddings")
+    return search.vector_topk(v, v.filter("vec_id % 20 = 0"), "vec_id", "embedding", 3, 0.1).select("query_id", "rank", "vec_id")
+
+
 @query("chunks", r"WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS c, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS i FROM documents) SELECT doc_id, i::INTEGER AS chunk_no, length(trim(c))::INTEGER AS n FROM c WHERE length(trim(c)) > 50")
 def chunks(spark, sf_dir):
     """SR-09"""

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from evspark.operators import aggs, correlate, joins, ordered, rules
+from evspark.operators import aggs, correlate, joins, ordered, rules, search
 from evspark.sources import io
 
 T0 = datetime(2024, 1, 1)
@@ -141,3 +141,16 @@ def test_stream_store(spark, tmp_path):
     q = io.ResultStore(spark, f"{tmp_path}/s").append_stream("m", spark.readStream.schema("i int").parquet(f"{tmp_path}/in"), f"{tmp_path}/c")
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/s/m").count() == 2
+
+
+def test_vector_topk_has_no_bound_on_queries(spark):
+    import math
+
+    rng = random.Random(7)
+    vecs = {i: [rng.uniform(-1, 1) for _ in range(6)] for i in range(60)}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {(q, n + 1, i) for q in vecs for n, i in enumerate(sorted((i for i in vecs if i != q and cos(vecs[i], vecs[q]) > 0.1), key=lambda i: (-cos(vecs[i], vecs[q]), i))[:3])}
+    df = spark.createDataFrame(list(vecs.items()), "id long, v array<double>")
+    for most in (7, 1000):
+        got = search.vector_topk(df, df, "id", "v", 3, 0.1, most_queries=most)
+        assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == want
