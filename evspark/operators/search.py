@@ -63,12 +63,25 @@ def search_in_time(df: DataFrame, columns: list[str], term: str, times: list[Col
     return search_table(df, columns, term).filter(F.exists(F.array(*times), lambda t: F.coalesce(t.between(F.lit(lo), F.lit(hi)), F.lit(False))))
 
 
+# A word's edge, spelt out: letters, numbers and underscores of all scripts, which engines' own \\b don't agree on.
+_W = r"[\p{L}\p{N}_]"
+EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
 def find_in_text(df: DataFrame, column: str, pattern: str, mode: str = "text", id_col: str = "id") -> DataFrame:
-    """SR-07: id, place (from 1), found: every occurrence by text, whole word or regex; texts without one drop out."""
+    """SR-07: id, place (from 1), found, start, end (code points, end exclusive): every occurrence by text, whole word or
+    regex; texts without one drop out. A regex that finds empty strings has null for start and end."""
     quoted = "".join("\\" + c if not c.isalnum() and c != " " else c for c in pattern)
-    p = {"text": f"(?i){quoted}", "word": rf"(?i)\b{quoted}\b", "regex": f"(?i){pattern}"}[mode]
+    p = {"text": f"(?i){quoted}", "word": rf"(?i){EDGE}{quoted}{EDGE}", "regex": f"(?i){pattern}"}[mode]
     rows = df.filter(F.coalesce(F.col(column).rlike(p), F.lit(False)))
-    return rows.select(id_col, F.posexplode(F.regexp_extract_all(column, F.lit(p), F.lit(0)))).select(id_col, (F.col("pos") + 1).alias("place"), F.col("col").alias("found"))
+    found = F.regexp_extract_all(column, F.lit(p), F.lit(0))
+    upto = F.regexp_extract_all(column, F.lit(rf"[\s\S]*?(?:{p})"), F.lit(0))  # each with what stands before it
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("ends"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(x))).alias("ends"))
+    ends = F.when((F.size(found) == F.size(upto)) & ~F.array_contains(found, ""), F.aggregate(upto, zero, step)["ends"])
+    hits = rows.select(id_col, F.posexplode(F.arrays_zip(found.alias("found"), F.coalesce(ends, F.expr("cast(array() as array<int>)")).alias("end"))).alias("pos", "hit"))
+    end = F.col("hit.end")
+    return hits.select(id_col, (F.col("pos") + 1).alias("place"), F.col("hit.found").alias("found"), (end - F.length("hit.found")).alias("start"), end.alias("end"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -132,6 +132,12 @@ def whole_word_search(spark, sf_dir):
     return search.find_in_text(d, "text", "the", "word", "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("whole_word_search_all", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents) WHERE lower(w) = 'the' GROUP BY 1")
+def whole_word_search_all(spark, sf_dir):
+    """SR-07, whole words in all documents"""
+    return search.find_in_text(load(spark, sf_dir, "documents"), "text", "the", "word", "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stamped_evidence", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS n_view FROM events GROUP BY 1")
 def stamped_evidence(spark, sf_dir):
     """SRC-08, TL-06: evidence tables by source, united again"""

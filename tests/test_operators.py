@@ -154,3 +154,17 @@ def test_vector_topk_has_no_bound_on_queries(spark):
     for most in (7, 1000):
         got = search.vector_topk(df, df, "id", "v", 3, 0.1, most_queries=most)
         assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == want
+
+
+def test_find_in_text_gives_offsets_in_any_script(spark):
+    import re
+
+    texts = ["The the, THE", "éthe thé the", "other the_x 𝄞 the\nthe", "中the the中 «the»", "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for mode, p in (("word", r"\bthe\b"), ("text", "the"), ("regex", r"(t)(?:h)e\b")):
+        got = sorted((r["id"], r["place"], r["found"], r["start"], r["end"]) for r in search.find_in_text(df, "t", "the" if mode != "regex" else p, mode).collect())
+        flags = re.I | (re.A if mode == "regex" else 0)
+        if mode != "regex":
+            assert got == sorted((i, n + 1, m[0], m.start(), m.end()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(p, t, flags)))
+        assert all(texts[i][s:e] == f for i, _, f, s, e in got)
+    assert {r["start"] for r in search.find_in_text(df, "t", "x*", "regex").collect()} == {None}
