@@ -8,11 +8,15 @@ Documents with equal sets are one class, whose smallest id stands for it. Within
 centre and every other member is one edge from it, so a bucket of m members gives m - 1 candidate pairs. Links are
 confirmed on the full sets. Where the members of a bucket still belong to several components, documents of different
 components are compared in blocks, so that no link inside a bucket is lost to the star shape, and only links that
-join components leave a block. Components settle by passing on the least label and jumping along labels.
+join components leave a block. Before components are sought, a document's links to its centres are contracted to about
+one a document; then nodes hook onto their least neighbour, and only roots that are still linked go on.
 
 Texts are lower-cased in A-Z and cut at ASCII white space. Fewer words than a shingle: the whole sequence is the one
 shingle. Null texts and texts without words have empty sets and are linked with nothing. Rows with a null id are
-returned as they are, linked with nothing; rows that share an id are one node. Two documents of the least similarity
+returned as they are, linked with nothing; rows that share an id are one node. Repeated rows and copies of any number
+are one class. Whole texts count, however long: a long text has more shingles, not more band keys. An empty table gives
+an empty result; columns beside id and text don't matter here, and drop_near passes them through, whatever their names.
+Two documents of the least similarity
 share no bucket with a chance of (1 - similarity^rows)^bands: 7e-9 at 0.85, 3e-6 at 0.8, with 32 bands of 5.
 """
 
@@ -28,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, Repeats, as_bytes, as_texts, fresh, hits, join_group_facts, mix64, small_batches, written
+from evspark.llm.shared import HOT_ROWS, IdCache, Repeats, as_bytes, as_texts, fresh, hits, join_group_facts, mix64, small, small_batches, written
 
 BANDS, ROWS = 32, 5
 TRIES = 64
-LEVELS = 64  # rounds of label passing are expected to number a few; this only stops a defect from looping
+LEVELS = 64  # levels and jumps are expected to number a few; this only stops a defect from looping
 
 
 class Shingler:
@@ -141,18 +145,51 @@ def similar(a: str, b: str, least: Fraction) -> Column:
     return F.arrow_udf(run, "boolean")(F.col(a), F.col(b))
 
 
+def fewer_links(stars: DataFrame) -> DataFrame:
+    """Links (a, b) from centres a as about one a document, which join the same documents: b keeps its least centre, and
+    its further centres, of which there is at most one a band, are linked to that one."""
+    of = stars.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("centres"))
+    others = F.concat(F.array("b"), F.slice("centres", 2, BANDS))
+    return of.select(F.element_at("centres", 1).alias("a"), F.explode(others).alias("b")).distinct()
+
+
+def _roots(hooked: DataFrame) -> DataFrame:
+    """up, top, members: the root above each node that others (members of them) hook onto."""
+    ups = hooked.groupBy("up").agg(F.count(F.lit(1)).alias("members"))
+    tops = written(ups.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("to")), "up", "left").select("up", F.coalesce("to", "up").alias("top"), "members"))
+    n = tops.count()
+    for _ in range(LEVELS):
+        further = tops.filter("up <> top").select(F.col("up").alias("top"), F.col("top").alias("to"))
+        jumped = written(tops.join(small(further, n), "top", "left").select("up", F.coalesce("to", "top").alias("top"), "members", F.col("to").isNotNull().alias("moved")))
+        tops = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            return tops
+    raise RuntimeError("roots did not settle")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node reachable) for links (a, b); hubs' rows are summed before they shuffle."""
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    """node, label (the least node reachable) for links (a, b).
+
+    Each node hooks onto its least neighbour; that makes trees, which are flattened by jumping. What links are left
+    become links between the roots of trees, and so on until none is left. Only roots that are still linked go on, so
+    each level works on far fewer nodes than the one before.
+    """
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    labels = edges.select(F.col("b").alias("node"), F.col("a").alias("label")).limit(0)
     for _ in range(LEVELS):
-        seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("seen"))
-        passed = labels.join(seen, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = written(passed.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")))
-        labels = jumped.select("node", "label")
-        if not jumped.filter("label <> old").limit(1).count():
-            return labels
+        hooked = written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"), F.count(F.lit(1)).alias("links")))
+        nodes = hooked.count()
+        if not nodes:
+            found = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+            return written(found)
+        tops = _roots(hooked)
+        level = written(join_group_facts(hooked.select("node", "up"), tops, "up", "members", nodes).select("node", F.col("top").alias("label")))
+        over = small(level.select(F.col("node").alias("label"), F.col("label").alias("to")), nodes)
+        labels = written(labels.join(over, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(level))
+        more = edges.join(hooked.filter("links > 1").select(F.col("node").alias("b"), "up"), "b").filter("a <> up").select(F.col("up").alias("a"), F.col("a").alias("b")).distinct()
+        for side in ("a", "b"):
+            more = more.join(level.select(F.col("node").alias(side), F.col("label").alias("top")), side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
+        edges = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     raise RuntimeError("labels did not settle")
 
 
@@ -162,14 +199,17 @@ def _sets_of(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
     return written(shingle_sets(docs, words, member, id_col, text_col).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-def _confirmed(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Pairs that sizes alone rule out go first; a pair's second
-    set then travels to its first."""
-    up, down = least.numerator, least.denominator
-    n = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
-    pairs = pairs.join(n("a"), "a").join(n("b"), "b").filter(F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up).select("a", "b")
-    set_of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}"))
-    return written(written(pairs).join(set_of("b"), "b").join(set_of("a"), "a").filter(similar("set_a", "set_b", least)).select("a", "b"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. A pair's second set travels to its first; the set of a
+    centre with many pairs is copied, so that its pairs are dealt over several tasks."""
+    pairs = written(pairs)
+    hot = max(HOT_ROWS, pairs.count() // 1000)  # so at most a thousand centres are hot
+    copies = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS)).cast("int").alias("copies"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot).select("a", "copies"))
+    salted = pairs.join(F.broadcast(copies), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    firsts = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")).join(F.broadcast(copies), "a", "left")
+    firsts = firsts.select("a", "set_a", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    both = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b").join(firsts, ["a", "salt"])
+    return written(both.filter(similar("set_a", "set_b", least)).select("a", "b"))
 
 
 def _joining_links(pdf: pd.DataFrame, least: Fraction) -> pd.DataFrame:
@@ -206,17 +246,26 @@ def _rest_of_links(placed: DataFrame, reps: DataFrame, sets: DataFrame, least: F
     """Links that the stars missed, from buckets (band, doc_id, centre, label) which hold several components.
 
     Documents that such buckets connect form a neighbourhood. Its documents are dealt into blocks, and each pair of
-    blocks meets in a task of bounded size, where sets are compared in place; pairs are not made into rows.
+    blocks meets in a task of bounded size, where sets are compared in place; pairs are not made into rows. In a
+    neighbourhood of more than BANDS blocks this would copy a document more often than it has buckets, so there each
+    bucket is dealt into blocks of its own.
     """
     kind = placed.schema["doc_id"].dataType.simpleString()
-    near = components(placed.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    near = components(fewer_links(placed.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))))
     member = written(placed.select("doc_id", "label").distinct().join(near.select(F.col("node").alias("doc_id"), F.col("label").alias("near")), "doc_id"))
-    blocks = member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    member = join_group_facts(member, written(blocks), "near", "n", member.count())
-    full = member.join(reps.select("doc_id", "bands"), "doc_id").join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = written(member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")))
+    member = join_group_facts(member, blocks, "near", "n", member.count()).select("doc_id", "label", F.col("near").cast("string").alias("group"), "blocks")
+    whole = member.filter(F.col("blocks") <= BANDS).join(reps.select("doc_id", "bands"), "doc_id")
+    large = placed.join(member.filter(F.col("blocks") > BANDS).select("doc_id"), "doc_id").select("band", "doc_id", "label")
+    if not large.isEmpty():
+        large = written(large)
+        own = written(large.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")))
+        by_bucket = join_group_facts(large, own, "band", "n", large.count())
+        whole = whole.unionByName(by_bucket.select("doc_id", "label", F.concat(F.lit("band "), F.col("band")).alias("group"), "blocks", F.array("band").alias("bands")))
+    full = whole.join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "label", "bands", "hashes")
-    return written(dealt.groupBy("near", "i", "j").applyInPandas(lambda pdf: _joining_links(pdf, least), f"a {kind}, b {kind}"))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "label", "bands", "hashes")
+    return written(dealt.groupBy("group", "i", "j").applyInPandas(lambda pdf: _joining_links(pdf, least), f"a {kind}, b {kind}"))
 
 
 def near_classes(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
@@ -226,19 +275,26 @@ def near_classes(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4,
     whole = sig.filter("digest is not null and doc_id is not null")
     classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = written(whole.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
-    keyed = reps.select("doc_id", F.explode("bands").alias("band"))
+    keyed = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared_keys = keyed.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = written(keyed.join(shared_keys.select("band", "centre"), "band"))
-    sizes = whole.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
+    shared_keys = written(shared_keys.join(reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre")), "centre"))
+    buckets = written(join_group_facts(keyed, shared_keys, "band", "members", total * BANDS, "inner").drop("members"))
     sets = _sets_of(written(buckets.select("doc_id").distinct()), docs, words, id_col, text_col)
-    star = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(star, sizes, sets, least)
-    labels = components(links)
-    placed = buckets.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    torn = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    placed = written(placed.join(torn, "band", "left_semi"))
-    labels = components(written(links.unionByName(_rest_of_links(placed, reps, sets, least, block))))
-    classes = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "copies", F.coalesce("label", "rep").alias("component_id")))
+    sizes_fit = F.least("n_shingles", "n_centre") * F.lit(least.denominator) >= F.greatest("n_shingles", "n_centre") * F.lit(least.numerator)
+    star = buckets.filter("doc_id <> centre").filter(sizes_fit).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    labels = components(fewer_links(_confirmed(star, sets, least)))
+    of = labels.select(F.col("node").alias("doc_id"), "label")
+    placed = written(buckets.select("band", "doc_id", "centre").join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    torn = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
+    placed = written(join_group_facts(placed, written(torn.select("band", "members")), "band", "members", placed.count(), "inner").drop("members"))
+    rest = _rest_of_links(placed, reps, sets, least, block)
+    for side in ("a", "b"):  # further links join whole components
+        rest = rest.join(of.withColumnRenamed("doc_id", side), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    merged = components(rest).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    labels = labels.join(small(merged, merged.count()), "label", "left").select(F.col("node").alias("rep"), F.coalesce("to", "label").alias("found"))
+    alone = merged.select(F.col("label").alias("rep"), F.col("to").alias("joined"))  # representatives that no star linked
+    classes = classes.join(labels, "rep", "left").join(alone, "rep", "left")
+    classes = written(classes.select("digest", "copies", F.coalesce("found", "joined", "rep").alias("component_id")))
     found = join_group_facts(whole.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", total).select("doc_id", "n_shingles", "component_id")
     rest = sig.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -52,8 +52,8 @@ def small(dim: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(dim) if rows <= BROADCAST_ROWS else dim
 
 
-def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left-join facts (one row a key, its row count in `size`) to rows, without a hot key's rows meeting in one task.
+def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """Join facts (one row a key, its row count in `size`) to rows, without a hot key's rows meeting in one task.
 
     Keys with at least max(HOT_ROWS, total / 1000) rows number at most a thousand, so they are broadcast;
     all other keys are joined by a shuffle in which no key is large. Both inputs should be written tables.
@@ -63,7 +63,7 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, tot
     hot_keys = hot.select(key)
     return (
         rows.join(F.broadcast(hot), key, "inner")
-        .unionByName(rows.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key, "left"))
+        .unionByName(rows.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key, how))
     )
 
 

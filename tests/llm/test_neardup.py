@@ -104,3 +104,29 @@ def test_bins_estimate_similarity():
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["label"] for r in neardup.components(links).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_large_group_of_near_copies_in_buckets_of_their_own(make):
+    """More blocks than bands: the neighbourhood is taken apart by bucket."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(mutated(rng, base, rng.choice([1, 3, 6])))) for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_classes(make(rows), 3, Fraction(85, 100), block=1).collect()}
+    assert got == brute(rows, 3, Fraction(85, 100))
+
+
+def test_fewer_links_keep_components(spark):
+    rng = random.Random(8)
+    stars = [(a, b) for b in range(10, 400) for a in {rng.randrange(b // 10 * 10) for _ in range(3)} if rng.random() < 0.3]
+    links = spark.createDataFrame(stars, "a long, b long")
+    few = neardup.fewer_links(links)
+    root = {}
+    for x in sorted({v for e in stars for v in e}):
+        if x not in root:
+            todo = [x]
+            while todo:
+                v = todo.pop()
+                if v not in root:
+                    root[v] = x
+                    todo += [b if a == v else a for a, b in stars if v in (a, b)]
+    assert {r["node"]: r["label"] for r in neardup.components(few).collect()} == root
