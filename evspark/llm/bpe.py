@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, as_texts, small_batches
+from evspark.llm.shared import IdCache, as_texts, kept, small_batches
 
 NONE, ROOT = -1, 0
 TOKEN_BITS = 24
@@ -137,14 +137,15 @@ class Transducer:
             self._forget()
         out: list[int] = []
         state, ends = 0, []  # ends: last token at each byte since the boundary up to which tokens are out
-        get, length = self.arcs.get, self.length
-        for byte in piece:
-            arc = get(state << 8 | byte)
-            if arc is None:
-                arc = self._arc(state, byte)
-            state = arc >> TOKEN_BITS
-            ends.append(arc & TOKEN_MASK)
-            if len(ends) >= self.COMMIT and len(ends) % self.COMMIT == 0:
+        get = self.arcs.get
+        for i in range(0, len(piece), self.COMMIT):
+            for byte in piece[i : i + self.COMMIT]:
+                arc = get(state << 8 | byte)
+                if arc is None:
+                    arc = self._arc(state, byte)
+                state = arc >> TOKEN_BITS
+                ends.append(arc & TOKEN_MASK)
+            if i + self.COMMIT < len(piece):
                 at = self._settled(state, ends)
                 if at:
                     out += self._chain(ends, at)
@@ -241,23 +242,10 @@ class Codec:
         yield stream.close()
 
 
-    def rest(self) -> None:
-        """Keep what was compiled, forget what was met: between tasks a worker needs its memory for other stages."""
-        self.pieces = IdCache(self._piece)
-        self.fst.fits.clear()
-        self.fst._forget()
-
-
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(held: Broadcast) -> Codec:
-    """The worker's codec, compiled once for a vocabulary."""
+    """The worker's codec, compiled once for a vocabulary; what it has met stays known, up to its bounds, from task to task."""
     key, ranks, pattern = held.value
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
+    return kept(key, lambda: Codec(ranks, pattern))
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -274,9 +262,11 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
     """
 
     def one(c: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
-        n, sha, back, chars, kept = [], [], [], [], []
+        n, sha, back, chars, all_ids = [], [], [], [], []
+        before, ids = None, b""
         for text in as_texts(b.column(1)):
-            ids = c.encode(text) if text else b""
+            if text != before:  # copies that a mix takes follow each other
+                before, ids = text, c.encode(text) if text else b""
             digest, stream, count = hashlib.sha256(), Utf8Stream(), 0
             for chunk in c.decode_chunks(ids):
                 digest.update(chunk)
@@ -286,18 +276,17 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
             back.append(digest.hexdigest())
             chars.append(count + len(stream.close()))
             if with_ids:
-                kept.append(ids)
+                all_ids.append(ids)
         cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array(chars, pa.int64())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"]
         if with_ids:
-            cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
+            cols, names = [*cols, pa.array(all_ids, pa.binary())], [*names, "ids"]
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab)
         for b in batches:
             yield one(c, b)
-        c.rest()
 
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

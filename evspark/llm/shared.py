@@ -130,6 +130,18 @@ class IdCache(dict):
         return value
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """A worker's one long-lived object: kept for later tasks that ask for the same key, dropped when a task asks for
+    another, so that a worker holds the caches of one operator at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def each_batch(make_row_batch):
     """Wrap a RecordBatch -> RecordBatch function for mapInArrow."""
 
