@@ -1,11 +1,11 @@
 """Exact dedup: two-pass Bloom filtering.
 
-Pass one counts hashed cells and keeps those hit twice (shared.Repeats). Pass two tests each row: what can't be
-repeated passes straight through, only possible repeats shuffle and are compared by their SHA-256.
+Pass one marks hashed cells in bitmaps, task by task, and keeps those marked twice (shared.Repeats). Pass two tests each
+row: what can't be repeated passes straight through, only possible repeats shuffle and are compared by their SHA-256.
 
 Texts are equal when identical after each run of ASCII white space became one space; null counts as empty.
 Of equal texts the row with the smallest doc_id stays; null ids come last, and of rows that share the id too exactly
-one stays. An empty table gives an empty result. Columns beside doc_id and text are passed through untouched,
+one stays. Whole texts are hashed, however long. An empty table gives an empty result. Columns beside doc_id and text are passed through untouched,
 whatever their names.
 """
 
@@ -31,7 +31,7 @@ def _facts(suspects: DataFrame) -> DataFrame:
     return suspects.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs, dropped ones too."""
     keys = _keys(docs, id_col, text_col)
     total = keys.count()
@@ -46,7 +46,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return passed.unionByName(judged)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """The rows of docs without later copies, all columns kept.
 
     Whole rows shuffle only if they may be repeated. They meet the row that stays under (doc_id, hash), a key that is

@@ -173,13 +173,18 @@ def hits(bits: np.ndarray, *cells: np.ndarray) -> np.ndarray:
 
 
 class Repeats:
-    """A two-hash Bloom filter of the keys that occur at least `least` times, with a fixed bound on its size.
+    """A two-hash Bloom filter of the keys that occur at least `least` times.
 
-    Its bits are counted in Spark: each row adds one to a cell of either half, and the cells with enough make the
-    bitmap. No such key is missed. Another key passes with a chance that depends on the load only; when the table
-    outgrows the bound, more rows are tested exactly afterwards and results stay the same. least=1 is membership.
+    Pass one: each task marks its keys' cells, once or twice, and hands on one sparse bitmap for each block of cells it
+    touched; a block's bitmaps are merged in one small task, which keeps the cells that enough keys marked. No key that
+    is repeated is missed. Another key passes with a chance that depends on the load only. The filter grows with the
+    rows, 16 bits each, up to `max_bits`, which bounds what is sent to the driver and broadcast (128 MB); beyond some
+    10^8 rows more of them are tested exactly afterwards and results stay the same. least=1 is membership.
     """
 
+    BLOCK = 20  # bits of a cell's number within its block
+    FLUSH = 2_000_000
+
     def __init__(self, bits: np.ndarray, half: int):
         self.bits, self.half = bits, half
 
@@ -188,22 +193,44 @@ class Repeats:
         return [F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(half)), F.lit(half) + F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.lit(half))]
 
     @classmethod
-    def count(cls, keys: DataFrame, key: str, rows: int, max_bits: int = 1 << 27, least: int = 2) -> Repeats:
+    def count(cls, keys: DataFrame, key: str, rows: int, max_bits: int = 1 << 30, least: int = 2) -> Repeats:
         half = 1 << 15
         while half < min(max_bits // 2, 8 * rows):
             half *= 2
-        cells = keys.select(F.explode(F.array(*cls.cells(key, half))).alias("cell")).groupBy("cell").count().filter(F.col("count") >= least)
-
-        def block(pdf):
-            bits = np.zeros(1 << 15, np.uint8)
-            bits[pdf["cell"].to_numpy() & 0x7FFF] = 1
-            return pd.DataFrame({"block": [int(pdf["cell"].iloc[0]) >> 15], "bits": [np.packbits(bits).tobytes()]})
-
-        blocks = cells.select("cell", F.shiftright("cell", 15).alias("block")).groupBy("block").applyInPandas(block, "block long, bits binary")
+        shift, twice = cls.BLOCK, np.uint32(1 << 31)
+        size = min(1 << shift, 2 * half)
+
+        def marked(cells: list[np.ndarray]) -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            at = (cell & (size - 1)).astype(np.uint32) | np.where(n > 1, twice, np.uint32(0))
+            cut = np.flatnonzero(np.diff(cell >> shift)) + 1
+            return pa.RecordBatch.from_arrays([pa.array(cell[np.r_[0, cut]] >> shift), pa.array([x.tobytes() for x in np.split(at, cut)], pa.binary())], ["block", "marks"])
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                held += [np.asarray(c) for c in b.columns]
+                n += 2 * b.num_rows
+                if n >= cls.FLUSH:
+                    yield marked(held)
+                    held, n = [], 0
+            if n:
+                yield marked(held)
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            seen = np.zeros(size, np.uint8)
+            for raw in pdf["marks"]:
+                x = np.frombuffer(raw, np.uint32)
+                at = x & ~twice
+                seen[at] = np.minimum(seen[at] + 1 + (x >= twice), 2)
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(seen >= least).tobytes()]})
+
+        cells = keys.select(*[c.alias(f"cell{i}") for i, c in enumerate(cls.cells(key, half))])
+        blocks = cells.mapInArrow(mark, "block long, marks binary").groupBy("block").applyInPandas(merge, "block long, bits binary")
         bits = np.zeros(2 * half // 8, np.uint8)
         got = blocks.toArrow()  # at most 2 * half / 8 bytes in all
         for no, raw in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
-            bits[no * 4096 : (no + 1) * 4096] = np.frombuffer(raw, np.uint8)
+            bits[no * size // 8 : (no + 1) * size // 8] = np.frombuffer(raw, np.uint8)
         return cls(bits, half)
 
     def test(self, spark: SparkSession, key: str) -> Column:

@@ -51,3 +51,27 @@ def test_null_and_repeated_ids(make):
 def test_empty_table(make):
     assert dedup.find_copies(make([])).count() == 0
     assert dedup.drop_copies(make([])).count() == 0
+
+
+def test_clashing_columns_in_find(make):
+    got = {r["doc_id"]: r["keep_id"] for r in dedup.find_copies(make(ROWS, clash=True)).collect()}
+    assert got == {i: v[0] for i, v in brute(ROWS).items()}
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_filter_misses_no_repeat_and_passes_few_others(spark, least):
+    from evspark.llm.shared import Repeats
+
+    keys = spark.range(60_000, numPartitions=7).selectExpr("if(id % 10 < 2, id div 20, id) as k")
+    got = Repeats.count(keys, "k", 60_000, least=least)
+    more = spark.range(200_000).selectExpr("id + 1000000 as k") if least == 1 else keys
+    hit = more.select("k", got.test(spark, "k").alias("hit")).groupBy("k").count().where("count > 0")
+    tested = {r["k"]: r["hit"] for r in more.select("k", got.test(spark, "k").alias("hit")).distinct().collect()}
+    assert hit.count() == len(tested)
+    if least == 1:
+        assert sum(tested.values()) < 0.02 * len(tested)
+        assert all(r["hit"] for r in keys.select(got.test(spark, "k").alias("hit")).distinct().collect())
+    else:
+        n = {r["k"]: r["count"] for r in keys.groupBy("k").count().collect()}
+        assert all(tested[k] for k, c in n.items() if c > 1)
+        assert sum(tested[k] for k, c in n.items() if c == 1) < 0.1 * len(n)
