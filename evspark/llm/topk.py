@@ -2,18 +2,20 @@
 
 Vectors are lifted by one coordinate, sqrt(max norm^2 - norm^2), so that the nearest of them to a query (lifted by 0)
 have the largest inner products. Each vector is keyed by its nearest pivot and its distance to it; a pivot's vectors,
-sorted by distance, are cut into annuli. A query is first answered inside its own annulus, which gives a score that
-its k-th best reaches at least. Then its search expands to every annulus that can hold something as good: by the
-triangle inequality a vector is no nearer than the gap between the query's distance to the pivot and the annulus.
-All other annuli are skipped, and nothing is lost.
+sorted by distance, are cut into annuli. By the triangle inequality a vector is no nearer than the gap between the
+query's distance to the pivot and its annulus. So a query's search expands over the annuli in the order of their gaps,
+in rounds of growing width. After each round its k-th best score so far is the bound, and it stops at the first annulus
+whose gap leaves room for nothing as good: all further ones have wider gaps, and nothing is lost.
 
 Pivots are fitted to a bounded sample (`sample` rows with the smallest hashes); every row is indexed. An annulus is
 dealt out over blocks of about `block` rows, so copies of one vector spread; queries are dealt into chunks. A task
 meets one block and one chunk.
 
 Vectors that are null, or hold null or non-finite components, take no part. Shorter vectors count as padded with 0.
-Components are floor(scale * x). Ties go to the smaller id; a query's own id is no candidate. Scores are exact while
-they fit 63 bits. Empty tables give an empty result.
+Components are floor(scale * x). Ties go to the smaller id; a query's own id is no candidate. Rows with a null id take
+no part. Rows that share an id are candidates each, and one query together, with the least of their vectors. Scores are
+exact while they fit 63 bits. Vectors of any length are read whole. Empty tables give an empty result; columns beside
+id and vector don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     """vec_id and its whole-number components; rows that take no part are left out."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).filter("v is not null").filter(F.coalesce(sound, F.lit(False)))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null").filter(F.coalesce(sound, F.lit(False)))
     return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("q"))
 
 
@@ -80,8 +82,11 @@ def _least(s: np.ndarray):
     return -np.inf if s.dtype.kind == "f" else np.iinfo(np.int64).min
 
 
-def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, pivots: int = 16, rings: int = 8, sample: int = 2048, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest scores of each query. is_query is a condition on vec_id."""
+def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, pivots: int = 16, rings: int = 8, sample: int = 2048, block: int = 4096, width: int = 4, looked_at: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest scores of each query. is_query is a condition on vec_id.
+
+    The first round looks at the `width` nearest annuli, each further one at three times as many as all before.
+    looked_at, if given, gets one (annuli looked at, annuli there are) over all queries for each round."""
     spark = vectors.sparkSession
     vecs = written(quantised(vectors, id_col, vec_col, scale))
     norm = F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -97,7 +102,7 @@ def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     ids = f"vec_id {kind}"
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in filter(len, batches):
             q = dense(b.column(1), dim)
             d = _distances(_lift(q, most), points)
             near = d.argmin(axis=1)
@@ -117,41 +122,29 @@ def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     stored = keyed.select("vec_id", "ring", F.pmod(F.xxhash64("vec_id"), part_of).cast("int").alias("part"), "vec")
     asked = keyed.filter(is_query)
     chunks = max(1, -(-asked.count() // 2048))
-    asked = asked.select(F.col("vec_id").alias("query_id"), "ring", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), "vec")
-    asked = written(asked)
+    asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
+    asked = written(asked.select("query_id", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), "vec"))
 
     def unpack(pdf: pd.DataFrame) -> np.ndarray:
         return np.frombuffer(b"".join(pdf["vec"]), store).reshape(len(pdf), -1).astype(np.int64)
 
-    def reached(_, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        """The k-th best score inside one block: a lower bound on the query's k-th best of all."""
-        out = qs[["query_id", "chunk", "vec"]].copy()
-        out["least"] = -np.inf
-        if len(cs) and len(qs):
-            s = _scores(unpack(qs), unpack(cs)).astype(np.float64)
-            s[qs["query_id"].to_numpy()[:, None] == cs["vec_id"].to_numpy()[None, :]] = -np.inf
-            if s.shape[1] >= k:
-                out["least"] = np.partition(s, -k, axis=1)[:, -k]
-        return out
-
-    first = stored.filter("part = 0").join(written(asked.select("ring", "chunk").distinct()), "ring")
-    start = asked.groupBy("ring", "chunk").cogroup(first.groupBy("ring", "chunk")).applyInPandas(reached, f"query_id {kind}, chunk int, vec binary, least double")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each annulus that may hold a vector as good as the bound."""
-        for b in batches:
-            q = np.frombuffer(b"".join(b.column(2).to_pylist()), store).reshape(b.num_rows, -1).astype(np.float64)
-            least = np.asarray(b.column(3))
-            d = _distances(np.hstack((q, np.zeros((len(q), 1)))), points)[:, ring_no // rings]
-            gap = np.maximum(0.0, np.maximum(d - hi, lo - d) - 1e-6 * (1.0 + most**0.5))
-            top = ((q * q).sum(axis=1)[:, None] + most - gap * gap) / 2
-            at, to = np.nonzero(top * (1 + 1e-9) + 1e-6 * (1.0 + most) >= least[:, None])
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(ring_no[to], pa.int32())], ["query_id", "chunk", "vec", "least", "ring"])
-
-    wanted = written(start.mapInArrow(expand, f"query_id {kind}, chunk int, vec binary, least double, ring int"))
-    spread = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))))
-    others = stored.join(written(wanted.select("ring", "chunk").distinct()), "ring")
+    def expand(start: int, stop: int):
+        """One row for each annulus from the start-th to the stop-th nearest that may hold a vector as good as the bound."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in filter(len, batches):
+                q = np.frombuffer(b"".join(b.column(2).to_pylist()), store).reshape(b.num_rows, -1).astype(np.float64)
+                least = np.asarray(b.column(3))
+                d = _distances(np.hstack((q, np.zeros((len(q), 1)))), points)[:, ring_no // rings]
+                gap = np.maximum(0.0, np.maximum(d - hi, lo - d) - 1e-6 * (1.0 + most**0.5))
+                order = np.argsort(gap, axis=1, kind="stable")[:, start:stop]
+                gap = np.take_along_axis(gap, order, axis=1)
+                top = ((q * q).sum(axis=1)[:, None] + most - gap * gap) / 2
+                at, to = np.nonzero(top * (1 + 1e-9) + 1e-6 * (1.0 + most) >= least[:, None])
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(ring_no[order[at, to]], pa.int32())], ["query_id", "chunk", "vec", "least", "ring"])
+
+        return run
 
     def found(_, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -172,7 +165,23 @@ def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         top = place < k
         return pd.DataFrame({"query_id": q_ids[at[top]], "vec_id": c_ids[to[top]], "score": score[top].astype(np.int64)})
 
-    by = ["ring", "part", "chunk"]
-    hits = spread.groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(found, f"query_id {kind}, vec_id {kind}, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by, order = ["ring", "part", "chunk"], Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    top = spark.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long, rank int")
+    n_asked, came = asked.count(), 0
+    while came < len(annuli):
+        upto = min(len(annuli), came + (3 * came or width))
+        bound = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
+        bound = asked.join(bound, "query_id", "left").select("query_id", "chunk", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        wanted = written(bound.mapInArrow(expand(came, upto), f"query_id {kind}, chunk int, vec binary, least double, ring int"))
+        looks = wanted.count()
+        if looked_at is not None:
+            looked_at.append((looks, n_asked * (upto - came)))
+        if not looks:
+            break
+        spread = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))))
+        others = stored.join(written(wanted.select("ring", "chunk").distinct()), "ring")
+        hits = spread.groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(found, f"query_id {kind}, vec_id {kind}, score long")
+        every = top.select("query_id", "vec_id", "score").unionByName(hits)
+        top = written(every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+        came = upto
+    return top.select("query_id", "rank", "vec_id", "score")

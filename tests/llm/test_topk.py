@@ -42,3 +42,20 @@ def test_few_rows_and_large_values(spark):
     assert got == brute(rows)
     assert topk.best(table(spark, []), F.col("vec_id") % 5 == 0).count() == 0
     assert topk.best(table(spark, [(0, [1.0])]), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_search_stops_early_where_vectors_cluster(spark):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 4) for _ in range(8)] for _ in range(16)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 16]]) for i in range(800)]
+    looked = []
+    got = {tuple(r) for r in topk.best(table(spark, rows), F.col("vec_id") % 5 == 0, 5, looked_at=looked).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute(rows)
+    rings = 16 * 8 * 160
+    assert sum(n for n, _ in looked) < 0.5 * rings
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, [9.0]), (0, [1.0]), (0, [1.0]), (1, [3.0]), (2, [2.0]), (2, [2.0])]
+    got = sorted(tuple(r) for r in topk.best(table(spark, rows), F.col("vec_id") % 5 == 0, 3).select("query_id", "rank", "vec_id").collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2)]
