@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 A source's weight gives it a target of words; a document's expected number of copies is its source's target over
-its source's size. The whole part of that is certain. The fraction p is an inclusion probability: each document
-draws U from its id, and documents are ranked by the odds of U over the odds of p. The source takes them in that
-order until its words are as near its target as whole documents allow.
+its source's size. Where documents have an importance of their own, a document's expectation is in proportion to it
+within its source, `cap` at most. The whole part of the expectation is certain. The fraction p is an inclusion
+probability: each document draws U from its id, and documents are ranked by the odds of U over the odds of p. The source
+takes them in that order until its words are as near its target as whole documents allow.
 
 No group is sorted in one task: sums of words over bins of the rank locate the one bin in which a source's cut
 lies, and only that bin's rows are ranked.
 
-A null text has size 0; null sources are a source of their own, ranked last. Documents of size 0 take no words.
+A null text has size 0, a text of any length its full size; null sources are a source of their own, ranked last. Documents of size 0 take no words.
 Rows with the same id share a draw, and are taken or left together when they also share the source. An empty table
-gives an empty result. Reruns agree, since draws come from ids and the seed.
+gives an empty result. Reruns agree, since draws come from ids and the seed, ties in rank go by id, and importances are
+summed as whole numbers. A null or negative importance counts as 0: such a document is taken in no whole or part.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from evspark.llm.shared import WORD, fresh, small, uniform52, written
 
 BINS = 4096
+UNITS = 1 << 20  # importances count in whole 2^-20
 
 
 def n_words(text: Column) -> Column:
@@ -51,6 +54,9 @@ def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Add whole copies, the inclusion probability, and the rank q with its bin."""
     u = (uniform52(F.col("doc_id"), seed) + F.lit(0.5)) / F.lit(float(1 << 52))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    if "importance" in rows.columns:
+        share = F.col("importance") / F.col("source_importance").cast("double")
+        expected = F.when(F.col("source_importance") > 0, F.least(F.col("cap"), F.col("target") * share)).otherwise(F.lit(0.0))
     p = F.col("expected") - F.col("whole")
     odds = F.col("u") / (F.lit(1.0) - F.col("u"))
     return (
@@ -60,16 +66,23 @@ def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         .withColumn("whole", F.floor("expected"))
         .withColumn("u", u)
         .withColumn("q", F.when(p > 0, odds / (p / (F.lit(1.0) - p))))
-        .withColumn("bin", F.when(p > 0, F.floor(F.col("u") * BINS)))  # p is one for a source, so u orders as q does
+        .withColumn("bin", F.when(p > 0, F.least(F.floor(F.col("q") / (F.lit(1.0) + F.col("q")) * BINS), F.lit(BINS - 1))))  # orders as q does
     )
 
 
 def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """One row a source: its size, target, and the cut (bin, q, id) up to which documents get one copy more."""
-    targets = written(source_targets(sizes, weights, cap))
-    drawn = _drawn(sizes, small(targets, targets.count()), seed).filter("q is not null")
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    bins = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("source_size").alias("source_size"))
+    targets = source_targets(sizes, weights, cap).withColumn("cap", F.lit(float(cap)))
+    if "importance" in sizes.columns:
+        per = sizes.groupBy(F.col("source").alias("s0")).agg(F.sum((F.col("importance") * F.col("size")).cast("decimal(38,0)")).alias("source_importance"))
+        targets = targets.join(per, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+    targets = written(targets)
+    n = targets.count()
+    drawn = _drawn(sizes, small(targets, n), seed)
+    certain = written(drawn.groupBy(F.col("source").alias("s3")).agg(F.sum(F.col("whole") * F.col("size")).alias("certain")))
+    drawn = drawn.filter("q is not null").join(small(certain, n), F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
+    rest = F.col("target") - F.col("certain")
+    bins = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("certain").alias("certain"))
     up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     # at most BINS rows a source meet here
     cut_bin = (
@@ -96,18 +109,22 @@ def _copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return drawn.withColumn("copies", (F.col("whole") + more.cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _importance(importance: Column | None) -> list[Column]:
+    return [] if importance is None else [F.greatest(F.coalesce(F.round(importance.cast("double") * UNITS).cast("long"), F.lit(0)), F.lit(0)).alias("importance")]
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (words) for every row of docs."""
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *_importance(importance)))
     plan = mixing_plan(sizes, weights, cap, seed)
     return _copies(sizes, plan, seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance: Column | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns kept. Texts don't shuffle."""
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *_importance(importance)))
     plan = mixing_plan(sizes, weights, cap, seed)
     whole = fresh(docs, "row")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_importance(importance))
     copied = _copies(rows, plan, seed).filter("copies > 0").select(whole, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return copied.select(*[F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns])

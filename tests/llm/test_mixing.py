@@ -66,3 +66,30 @@ def test_nothing_to_mix(make):
     assert mixing.mix(make([])).count() == 0
     assert mixing.mixed_rows(make([])).count() == 0
     assert [(r["taken"], r["target"]) for r in mixing.mix(make([(1, None, None, "a"), (None, "", None, None)])).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+def test_inclusion_follows_importance(make):
+    """Within a source unequal probabilities: rates of inclusion over many seeds follow them, and words stay at the target."""
+    from pyspark.sql import functions as F
+
+    data = [(i, "w " * 10, None, "a" if i < 200 else "b") for i in range(400)]
+    df = make(data)
+    weight = F.when(F.col("doc_id") % 4 == 0, 4.0).when(F.col("doc_id") % 4 == 1, 0.5).when(F.col("doc_id") == 2, None).otherwise(1.0)
+    seen, seeds = {}, 12
+    for seed in range(seeds):
+        total = {}
+        for r in mixing.mix(df, weights=(1, 3), seed=seed, importance=weight).collect():
+            assert r["copies"] <= 3 and (r["doc_id"] != 2 or r["copies"] == 0)
+            seen.setdefault((r["source"], r["doc_id"] % 4), []).append(r["copies"])
+            total[r["source"]] = total.get(r["source"], 0) + r["taken"]
+        assert abs(total["a"] - 1000) <= 5.5 and abs(total["b"] - 3000) <= 5.5
+    rate = {k: sum(v) / len(v) for k, v in seen.items()}
+    unit = 1000 / 10 / (50 * 4 + 50 * 0.5 + 99 * 1.0)  # expected copies of importance 1 in source a
+    assert abs(rate["a", 0] - 4 * unit) < 0.06 and abs(rate["a", 1] - 0.5 * unit) < 0.06 and abs(rate["a", 3] - unit) < 0.06
+
+
+def test_repeated_ids_and_long_texts(make):
+    data = [(1, "w " * 200_000, None, "a"), (1, "w", None, "a"), (1, "w", None, "a"), (None, "w w", None, "b"), (2, "w", None, "b")]
+    got = mixing.mix(make(data)).collect()
+    assert sorted(r["size"] for r in got) == [1, 1, 1, 2, 200_000]
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
