@@ -27,9 +27,10 @@ def bucket_counts(df: DataFrame, ts: str, kind: str, size: str | int, id_col: st
     return per.groupBy("b").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("by_kind"), *more).withColumn("bucket_ts", F.timestamp_micros("b")).drop("b")
 
 
-def expand_bucket(buckets: DataFrame, events: DataFrame, id_col: str) -> DataFrame:
-    """AG-03: the events of buckets that carry their ids."""
-    return buckets.select("bucket_ts", F.explode("event_ids").alias(id_col)).join(events, id_col)
+def expand_bucket(buckets: DataFrame, events: DataFrame, ts: str, size: str | int) -> DataFrame:
+    """AG-03: the events of some buckets, met by the bucket each event lies in; no bucket's ids are gathered."""
+    width = (BUCKETS[size] if isinstance(size, str) else size) * US
+    return events.withColumn("bucket_ts", F.timestamp_micros((F.floor(us(ts) / width) * width).cast("long"))).join(buckets.select("bucket_ts"), "bucket_ts", "left_semi")
 
 
 def heat(df: DataFrame, source: str, ts: str, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -50,22 +51,32 @@ def bounds(df: DataFrame, columns: list[str], least: str = "2000-01-01") -> Data
     return every.agg(F.min("t").alias("first_ts"), F.max("t").alias("last_ts"))
 
 
-def robust_range(df: DataFrame, key: list[str], ts: str, low: bool = True, high: bool = True, years: int = 20, least: int = 4) -> DataFrame:
+def robust_range(df: DataFrame, key: list[str], ts: str, low: bool = True, high: bool = True, years: int = 20, least: int = 4, slice_seconds: int = 86_400) -> DataFrame:
     """AG-07: range of each source without outliers: beyond 1.5 IQR (quartiles by nearest rank, n/4 and 3n/4), or over
     20 years before the latest; groups of under 4 keep all.
 
-    Quartiles come from counts of distinct instants, so a group's rows are summed before they are ranked.
+    Counts by time slice, one row a slice, tell in which slice a quartile lies; only the rows of that slice are ranked.
+    So a source of any size is summed before it shuffles, and no task orders more than a slice of it.
     """
-    t = df.filter(F.col(ts).isNotNull()).groupBy(*key, us(ts).alias("t")).agg(F.count(F.lit(1)).alias("c"))
-    by, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("n", F.sum("c").over(by)).withColumn("upto", F.sum("c").over(upto)).withColumn("latest", F.max("t").over(by))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("t"))).over(by)
-    t = t.withColumn("q1", at(F.floor(F.col("n") / 4))).withColumn("q3", at(F.floor(F.col("n") * 3 / 4)))
+    t = df.filter(F.col(ts).isNotNull()).select(*key, us(ts).alias("t")).withColumn("slice", F.floor(F.col("t") / (slice_seconds * US)))
+    by = Window.partitionBy(*key)
+    per = t.groupBy(*key, "slice").agg(F.count(F.lit(1)).alias("c"), F.max("t").alias("hi"))
+    per = per.withColumn("upto", F.sum("c").over(by.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by)).withColumn("latest", F.max("hi").over(by))
+    per = per.withColumn("i1", F.floor(F.col("n") / 4)).withColumn("i3", F.floor(F.col("n") * 3 / 4)).withColumn("before", F.col("upto") - F.col("c"))
+    lies = lambda i: (F.col("before") <= F.col(i)) & (F.col(i) < F.col("upto"))
+    slices = per.filter(lies("i1") | lies("i3")).select(*[F.col(k).alias(f"s_{k}") for k in key], F.col("slice").alias("s_slice"), "before", "upto", "i1", "i3", "n", "latest")
+    same = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{p}{k}")) for k in key], F.lit(True))
+    inside = t.groupBy(*key, "slice", "t").agg(F.count(F.lit(1)).alias("c")).join(slices, same("s_") & (F.col("slice") == F.col("s_slice")))
+    place = F.col("before") + F.sum("c").over(Window.partitionBy(*key, "slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("place", place)
+    at = lambda i: F.min(F.when(lies(i) & (F.col("place") > F.col(i)), F.col("t")))
+    facts = inside.groupBy(*key).agg(at("i1").alias("q1"), at("i3").alias("q3"), F.max("n").alias("n"), F.max("latest").alias("latest"))
+    facts = facts.select(*[F.col(k).alias(f"f_{k}") for k in key], "q1", "q3", "n", "latest")
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     out_low = ((F.col("t") < F.col("q1") - reach) | (F.col("t") < F.col("latest") - F.lit(years * 365 * 86_400 * US))) if low else F.lit(False)
     out_high = (F.col("t") > F.col("q3") + reach) if high else F.lit(False)
-    kept = t.withColumn("out", (F.col("n") >= least) & (out_low | out_high))
-    return kept.groupBy(*key).agg(F.timestamp_micros(F.min(F.when(~F.col("out"), F.col("t")))).alias("first_ts"), F.timestamp_micros(F.max(F.when(~F.col("out"), F.col("t")))).alias("last_ts"), F.sum(F.when(F.col("out"), F.col("c")).otherwise(0)).alias("n_outliers"))
+    kept = t.join(facts, same("f_")).withColumn("out", (F.col("n") >= least) & (out_low | out_high))
+    return kept.groupBy(*key).agg(F.timestamp_micros(F.min(F.when(~F.col("out"), F.col("t")))).alias("first_ts"), F.timestamp_micros(F.max(F.when(~F.col("out"), F.col("t")))).alias("last_ts"), F.count_if("out").alias("n_outliers"))
 
 
 def breakdown(df: DataFrame, key: str, name: str = "n") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.storage import written
+
 US = 1_000_000
 
 
@@ -95,16 +95,29 @@ def overlaps(start: Column, end: Column, lo, hi) -> Column:
 
 
 def interval_join(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str, seconds: int) -> DataFrame:
-    """JN-07 between tables: closed intervals that overlap, by buckets of `seconds`.
+    """JN-07 between tables: closed intervals that overlap.
 
-    Both sides are copied to the buckets they cover; a pair is kept in the bucket where the later start lies, so it
-    comes once.
+    They do if the later start lies within the other interval, so each pair comes from one of two joins of points with
+    intervals. Buckets have widths of `seconds` times a power of 64, one level a power; an interval goes to the level
+    where it covers two buckets at most, however long it is, and a point to its one bucket of each level.
     """
-    width = seconds * US
-    span = lambda s, e: F.explode(F.sequence(F.floor(us(s) / width), F.floor(us(e) / width)))
-    x, y = a.filter(F.col(a_start) <= F.col(a_end)).withColumn("__b", span(a_start, a_end)), b.filter(F.col(b_start) <= F.col(b_end)).withColumn("__b", span(b_start, b_end))
-    j = x.join(y, "__b").filter(overlaps(F.col(a_start), F.col(a_end), F.col(b_start), F.col(b_end)))
-    return j.filter(F.col("__b") == F.floor(us(F.greatest(F.col(a_start).cast("timestamp"), F.col(b_start).cast("timestamp"))) / width)).drop("__b")
+    base, levels = seconds * US, 1
+    while base * 64 ** (levels - 1) < 1 << 56:
+        levels += 1
+    widths = [base * 64**k for k in range(levels)]
+    level_of = lambda s, e: sum([F.when(us(e) - us(s) > w, 1).otherwise(0) for w in widths[:-1]], F.lit(0))
+    slot = lambda k, t: F.floor(t / F.element_at(F.array(*[F.lit(w) for w in widths]), k + 1))
+
+    def within(points: DataFrame, start: str, spans: DataFrame, s: str, e: str, strict: bool) -> DataFrame:
+        k = F.col("__level")
+        p = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("__b", slot(k, us(start)))
+        i = spans.withColumn("__level", level_of(s, e)).withColumn("__b", F.explode(F.sequence(slot(k, us(s)), slot(k, us(e)))))
+        after = us(start) > us(s) if strict else us(start) >= us(s)
+        return p.join(i, ["__level", "__b"]).filter(after & (us(start) <= us(e))).drop("__level", "__b")
+
+    x, y = a.filter(F.col(a_start) <= F.col(a_end)), b.filter(F.col(b_start) <= F.col(b_end))
+    names = [*a.columns, *b.columns]
+    return within(y, b_start, x, a_start, a_end, False).select(*names).unionByName(within(x, a_start, y, b_start, b_end, True).select(*names))
 
 
 def evidence_at(anchors: DataFrame, evidence: DataFrame, anchor_key: str, at, start: str = "start_ts", end: str = "end_ts", offset: int = 0, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
@@ -170,8 +183,6 @@ def parent_paths(nodes: DataFrame, key: str = "id", parent: str = "parent_id", n
     A chain ends at the root (`./`), at a parent that doesn't exist (`[Unknown Parent: n]`), or, if it runs in a circle,
     at `[Unknown]`. Each round is one equi-join; nothing is collected.
     """
-    spark = nodes.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
     named = nodes.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("up"), F.col(name).alias("path"))
     is_root = (F.col("id") == root) | (F.col("up") == F.col("id"))
     named = named.withColumn("path", F.when(F.col("id") == root, F.lit(".")).otherwise(F.col("path"))).withColumn("up", F.when(is_root, None).otherwise(F.col("up"))).withColumn("done", F.col("up").isNull())
@@ -185,9 +196,7 @@ def parent_paths(nodes: DataFrame, key: str = "id", parent: str = "parent_id", n
             F.when(F.col("done"), F.col("path")).when(lost, F.concat(F.lit("[Unknown Parent: "), F.col("up").cast("string"), F.lit("]/"), F.col("path"))).otherwise(F.concat_ws("/", "a_path", "path")).alias("path"),
             (F.col("done") | lost | F.coalesce("a_done", F.lit(False))).alias("done"),
         )
-        path = f"{shared}/evspark-{uuid.uuid4().hex}"
-        step.write.parquet(path)
-        named = spark.read.schema(step.schema).parquet(path)
+        named = written(step)
         if not named.filter("not done").limit(1).count():
             break
     return named.select(F.col("id").alias(key), F.when(F.col("done"), F.col("path")).otherwise("[Unknown]").alias("path"))

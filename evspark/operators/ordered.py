@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.operators.joins import US, us
+from evspark.storage import written
 
 
 def name_changes(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -60,31 +61,64 @@ def session_anchors(df: DataFrame, key: list[str], ts: str, seconds: int, extra:
     return df.groupBy(*key, w).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *(extra or [])).drop("w")
 
 
-def fixed_origin(df: DataFrame, key: list[str], ts: str, id_col: str, seconds: int) -> DataFrame:
-    """WN-05..WN-07: each row's cluster, where a row starts a new one when it is over `seconds` after the CLUSTER's start.
+def _with_key(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
+    """The key as one column (null keys are a key), or none for one order over all rows."""
+    return (df.withColumn("__k", F.struct(*key)), ["__k"]) if key else (df, [])
+
+
+def cluster_starts(instants: DataFrame, key: list[str], width: int) -> DataFrame:
+    """key, __b, __t: where clusters start among distinct instants (key, __b, __t); __b is the instant's bucket of `width`
+    microseconds.
 
-    A gap over `seconds` always starts one, so rows are first cut into islands. The fold runs over an island's sorted
-    distinct instants and yields cluster starts only; rows then take the last start at or before them. What one task
-    holds is eight bytes for each distinct instant of an island, however many rows share it.
+    After a gap of over `width` a cluster always starts. From such a root the next start is the first instant over `width`
+    later, and so on: each instant's successor is found in the next two buckets, and the starts are what roots reach,
+    found by doubling the jumps. No window or join meets more than a bucket of one key.
     """
-    cut = islands(df.filter(F.col(ts).isNotNull()), key, ts, seconds, [id_col]).withColumn("__t", us(ts))
-    instants = cut.select(*key, "island", "__t").distinct().groupBy(*key, "island").agg(F.array_sort(F.collect_list("__t")).alias("__ts"))
-    zero = F.struct(F.lit(None).cast("long").alias("origin"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+    bucket = [*key, "__b"]
+    lows = instants.groupBy(*bucket).agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    order = Window.partitionBy(*bucket).orderBy("__t")
+    before = lows.select(*key, (F.col("__b") + 1).alias("__b"), F.col("__hi").alias("__last"))
+    gap = F.col("__t") - F.coalesce(F.lag("__t").over(order), F.col("__last"))
+    roots = instants.join(before, bucket, "left").withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") > width))
+    # each instant asks its next bucket for the first one over `width` later; else the bucket after that has it
+    asks = instants.select(*key, (F.col("__b") + 1).alias("__b"), (F.col("__t") + width).alias("__at"), F.col("__t").alias("__from"), F.lit(None).cast("long").alias("__t"))
+    both = instants.select(*bucket, F.col("__t").alias("__at"), F.lit(None).cast("long").alias("__from"), "__t").unionByName(asks)
+    later = Window.partitionBy(*bucket).orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("__next", F.min("__t").over(later)).filter("__from is not null")
+    after = lows.select(*key, (F.col("__b") - 1).alias("__b"), F.col("__lo").alias("__first"))
+    jumps = found.join(after, bucket, "left").select(*key, F.col("__from").alias("__t"), F.coalesce("__next", "__first").alias("__to")).filter(F.col("__to") - F.col("__t") <= 2 * width)
+    jumps, starts = written(jumps), written(roots.select(*key, "__t"))
+    while not jumps.isEmpty():
+        starts = written(starts.unionByName(starts.join(jumps, [*key, "__t"]).select(*key, F.col("__to").alias("__t"))))
+        second = jumps.select(*key, F.col("__t").alias("__to"), F.col("__to").alias("__further"))
+        jumps = written(jumps.join(second, [*key, "__to"]).select(*key, "__t", F.col("__further").alias("__to")))
+    return starts.distinct().withColumn("__b", F.floor(F.col("__t") / width))
 
-    def step(acc, t):
-        new = acc["origin"].isNull() | (t - acc["origin"] > seconds * US)
-        return F.struct(F.when(new, t).otherwise(acc["origin"]).alias("origin"), F.when(new, F.concat(acc["starts"], F.array(t))).otherwise(acc["starts"]).alias("starts"))
 
-    starts = instants.select(*key, F.explode(F.aggregate("__ts", zero, step)["starts"]).alias("__t")).withColumn("__start", F.col("__t"))
-    w = Window.partitionBy(*key).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    placed = cut.join(starts, [*key, "__t"], "left").withColumn("__start", F.max("__start").over(w))
-    return placed.select(*key, F.timestamp_micros("__start").alias("cluster_start"), id_col, F.timestamp_micros("__t").alias(ts))
+def fixed_origin(df: DataFrame, key: list[str], ts: str, id_col: str, seconds: int) -> DataFrame:
+    """WN-05..WN-07: each row's cluster, where a row starts a new one when it is over `seconds` after the CLUSTER's start.
+
+    Starts are found among distinct instants (cluster_starts). A row's start lies in its own bucket or the one before, so
+    a bucket of one key is all that meets in a task. Without a key there is one order over all rows.
+    """
+    width = seconds * US
+    rows, k = _with_key(df.filter(F.col(ts).isNotNull()).withColumn("__t", us(ts)).withColumn("__b", F.floor(us(ts) / width)), key)
+    bucket = [*k, "__b"]
+    starts = written(cluster_starts(written(rows.select(*bucket, "__t").distinct()), k, width))
+    last = Window.partitionBy(*bucket).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(starts.select(*bucket, "__t", F.col("__t").alias("__start")), [*bucket, "__t"], "left").withColumn("__start", F.max("__start").over(last))
+    before = starts.groupBy(*k, (F.col("__b") + 1).alias("__b")).agg(F.max("__t").alias("__before"))
+    placed = placed.join(before, bucket, "left")
+    return placed.select(*key, F.timestamp_micros(F.coalesce("__start", "__before")).alias("cluster_start"), id_col, F.timestamp_micros("__t").alias(ts))
 
 
 def fixed_origin_clusters(df: DataFrame, key: list[str], ts: str, id_col: str, seconds: int, least: int = 2) -> DataFrame:
-    """WN-06, WN-07: start, end, upper median, size, is_cluster (size of `least` or more)."""
-    out = fixed_origin(df, key, ts, id_col, seconds).groupBy(*key, "cluster_start").agg(F.max(ts).alias("cluster_end"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(ts)).alias("all_ts"))
-    return out.withColumn("median_ts", F.element_at("all_ts", (F.floor(F.col("n") / 2) + 1).cast("int"))).withColumn("is_cluster", F.col("n") >= least).drop("all_ts")
+    """WN-06, WN-07: start, end, upper median, size, is_cluster (size of `least` or more). Rows are summed by instant first."""
+    at = fixed_origin(df, key, ts, id_col, seconds).groupBy(*key, "cluster_start", ts).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*key, "cluster_start")
+    at = at.withColumn("__n", F.sum("__c").over(group)).withColumn("__upto", F.sum("__c").over(group.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    median = F.min(F.when(F.col("__upto") > F.floor(F.col("__n") / 2), F.col(ts)))
+    return at.groupBy(*key, "cluster_start").agg(F.max(ts).alias("cluster_end"), F.sum("__c").alias("n"), median.alias("median_ts")).withColumn("is_cluster", F.col("n") >= least)
 
 
 def first_fit(df: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
@@ -93,10 +127,10 @@ def first_fit(df: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame
 
 
 def anchor_time_groups(anchors: DataFrame, key: list[str], start: str, id_col: str, seconds: int) -> DataFrame:
-    """WN-09: groups of anchor starts: a start over `seconds` after the GROUP's start opens the next."""
-    starts = anchors.select(*key, start).distinct().withColumn("__id", us(start))
-    got = fixed_origin(starts, key, start, "__id", seconds).select(*key, F.col("cluster_start").alias("group_start"), F.col("__id"))
-    return anchors.withColumn("__id", us(start)).join(got, [*key, "__id"]).drop("__id")
+    """WN-09: groups of anchor starts: a start over `seconds` after the GROUP's start opens the next. An empty key gives
+    one order over all anchors."""
+    got = fixed_origin(anchors.select(*key, start).distinct(), key, start, start, seconds)
+    return anchors.join(got.toDF(*key, "group_start", "__at", start).drop("__at"), [*key, start])
 
 
 def primary_evidence(df: DataFrame, anchor: list[str], priority: Column, ts: str, id_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ def bucket_counts(spark, sf_dir):
 def bucket_drilldown(spark, sf_dir):
     """AG-03"""
     e = events(spark, sf_dir).filter("source = 'purchase'")
-    return plain(aggs.expand_bucket(aggs.bucket_counts(e, "ts", "source", "day", "event_id"), e, "event_id").select("bucket_ts", "event_id", "user_id"))
+    return plain(aggs.expand_bucket(aggs.bucket_counts(e, "ts", "source", "day"), e, "ts", "day").select("bucket_ts", "event_id", "user_id"))
 
 
 @query("hourly_heatmap", "SELECT event_type AS source, ts::DATE AS day, hour(ts)::INTEGER AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -230,8 +230,8 @@ r AS (SELECT rn, start_ts, start_ts AS g FROM d WHERE rn = 1 UNION ALL SELECT d.
 SELECT r.g AS group_start, count(DISTINCT user_id) AS n_identities, count(*) AS n_anchors, sum(n)::BIGINT AS n_evidence FROM a JOIN r USING (start_ts) GROUP BY r.g""")
 def anchor_time_groups(spark, sf_dir):
     """WN-09, AG-40, QRY-03: one order over all starts"""
-    a = ordered.gap_clusters(events(spark, sf_dir), ["user_id"], "ts", 10_800).withColumn("__all", F.lit(1))
-    g = ordered.anchor_time_groups(a, ["__all"], "start_ts", "user_id", 3600)
+    a = ordered.gap_clusters(events(spark, sf_dir), ["user_id"], "ts", 10_800)
+    g = ordered.anchor_time_groups(a, [], "start_ts", "user_id", 3600)
     return plain(g.groupBy("group_start").agg(F.count_distinct("user_id").alias("n_identities"), F.count(F.lit(1)).alias("n_anchors"), F.sum("n").alias("n_evidence")))
 
 

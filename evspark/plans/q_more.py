@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from evspark.functions import textfn as X
@@ -12,11 +10,7 @@ from evspark.operators import aggs, correlate, rules, search
 from evspark.plans.registry import query
 from evspark.plans.tables import events, load, plain
 from evspark.sources import io
-from evspark.streaming.run import shared_dir
-
-
-def fresh_path(spark) -> str:
-    return f"{shared_dir(spark)}/evspark-{uuid.uuid4().hex}"
+from evspark.storage import fresh_path
 
 
 @query("csv_roundtrip", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")

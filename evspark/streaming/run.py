@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+from evspark.storage import fresh_path
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +23,7 @@ def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     batch counts.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/evspark-{uuid.uuid4().hex}"
+    base = fresh_path(spark)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch_no={number}")
