@@ -301,4 +301,6 @@ def register(spark) -> None:
         CASE WHEN v IS NULL OR trim(v) = '' OR lower(trim(v)) = 'unknown' THEN 0.0D
         ELSE coalesce(try_cast(replace(trim(v), ',', '') AS DOUBLE),
           try_cast(regexp_extract(v, '(?i)(\\d+\\.?\\d*)\\s*(B|KB|MB|GB|TB)', 1) AS DOUBLE) * CASE upper(regexp_extract(v, '(?i)(\\d+\\.?\\d*)\\s*(B|KB|MB|GB|TB)', 2))
-            WHEN 'B' THEN 1.0D WHEN 'KB' THEN 1024.0D WHEN 'MB' THEN 1048576.0D WHEN 'GB' THEN 1073741824.0D ELSE 1099511627776.0D END, 0.0D) END""")
+            WHEN 'B' THEN 1.0D WHEN 'KB' THEN 1024.0D WHEN 'MB' THEN 1048576.0D WHEN 'GB' THEN 1073741824.0D ELSE 1099511627776.0D END,
+          aggregate(zip_with(regexp_extract_all(v, '(?i)(\\d+\\.?\\d*)\\s*(ms|h|m|s|hrs|min|sec)', 1), regexp_extract_all(v, '(?i)(\\d+\\.?\\d*)\\s*(ms|h|m|s|hrs|min|sec)', 2),
+            (n, u) -> cast(n AS DOUBLE) * CASE lower(u) WHEN 'h' THEN 3600.0D WHEN 'hrs' THEN 3600.0D WHEN 'm' THEN 60.0D WHEN 'min' THEN 60.0D WHEN 's' THEN 1.0D WHEN 'sec' THEN 1.0D ELSE 0.001D END), 0.0D, (a, x) -> a + x)) END""")

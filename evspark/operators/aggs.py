@@ -192,6 +192,99 @@ def trend(before: Column, after: Column) -> Column:
     return F.when(pct.isNull(), "new").when(pct > 20, "strong increase").when(pct > 10, "increase").when(pct < -20, "strong decrease").when(pct < -10, "decrease").otherwise("stable")
 
 
+def counted(df: DataFrame, key: list[str], column: str, name: str) -> DataFrame:
+    """Rows of each value of a column, as one map for each key."""
+    per = df.filter(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), "n")))).alias(name))
+
+
+def period_report(df: DataFrame, period: str, anchor_ts: str, identity: str, kinds: dict[str, str], top: str, dominant: str) -> DataFrame:
+    """AG-27: for each period rows, identities, rows a minute between its first and last anchor time (over one minute at
+    least), the anchor time with most rows, a map of counts for each of `kinds` (result name -> column), the three most
+    frequent values of `top` and the most frequent of `dominant`. Ties go to the earlier time and the lesser value."""
+    at = F.col(anchor_ts).cast("timestamp")
+    out = df.groupBy(period).agg(F.count(F.lit(1)).alias("total_evidence"), F.count_distinct(identity).alias("unique_identities"), (us(F.max(at)) - us(F.min(at))).alias("__span"))
+    out = out.withColumn("activity_density", F.col("total_evidence") / F.greatest(F.col("__span") / F.lit(60.0 * US), F.lit(1.0))).drop("__span")
+    parts = [counted(df, [period], c, name) for name, c in kinds.items()]
+    parts.append(top_per(df, [period], anchor_ts, 1).select(period, F.col(anchor_ts).alias("peak_ts")))
+    listed = lambda c, k: top_per(df.filter(F.col(c).isNotNull()), [period], c, k).groupBy(period).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda r: r[c]).alias("__l"))
+    parts.append(listed(top, 3).withColumnRenamed("__l", "top3"))
+    parts.append(listed(dominant, 1).select(period, F.get("__l", F.lit(0)).alias("dominant")))
+    return reduce(lambda a, b: a.join(b, period, "left"), parts, out)
+
+
+def change(now: Column, before: Column) -> Column:
+    """AG-28: percent change; from nothing it is 100, or 0 if nothing came."""
+    return F.when(before > 0, (now - before) * F.lit(100.0) / before).otherwise(F.when(now > 0, 100.0).otherwise(0.0))
+
+
+def band(percent: Column, width: float) -> Column:
+    return F.when(percent > width, F.concat(F.lit("Increased by "), F.format_string("%.1f", percent), F.lit("%"))).when(percent < -width, F.concat(F.lit("Decreased by "), F.format_string("%.1f", F.abs(percent)), F.lit("%"))).otherwise("Stable")
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """One-row tables side by side, by a union and one aggregate instead of a join without a key."""
+    u = union_all(parts)
+    return u.agg(*[F.max(c).alias(c) for c in u.columns])
+
+
+def trend_report(df: DataFrame, period: str, now: str, before: str, anchor_ts: str, identity: str, kind: str) -> DataFrame:
+    """AG-28: one row comparing two periods: bands of +-20 % for rows and +-10 % for identities, the pattern by the ratio of
+    densities (1.5 and 0.5), and the advice rules that hold (codes; `normal` if none does)."""
+    at, names = F.col(anchor_ts).cast("timestamp"), {"now": now, "was": before}
+    of = lambda p, c: F.when(F.col(period) == names[p], c)
+    sums = df.agg(*[x for p in names for x in (F.count_if(F.col(period) == names[p]).alias(f"{p}_rows"), (us(F.max(of(p, at))) - us(F.min(of(p, at)))).alias(f"{p}_span"))])
+    seen = lambda c: df.filter(F.col(c).isNotNull()).groupBy(c).agg(*[F.max(F.col(period) == names[p]).alias(p) for p in names])
+    ids = seen(identity).agg(*[F.count_if(p).alias(f"{p}_ids") for p in names], F.count_if(F.col("now") & F.col("was")).alias("both_ids"), F.count_if(F.col("now") | F.col("was")).alias("any_ids"))
+    kinds = seen(kind).agg(F.count_if(F.col("now") & F.col("was")).alias("both_kinds"))
+    j = one_row([sums, ids, kinds])
+    for p in names:
+        j = j.withColumn(f"{p}_density", F.col(f"{p}_rows") / F.greatest(F.coalesce(f"{p}_span", F.lit(0)) / F.lit(60.0 * US), F.lit(1.0)))
+    n, w = F.col("now_density"), F.col("was_density")
+    activity, growth = change(F.col("now_rows"), F.col("was_rows")), change(F.col("now_ids"), F.col("was_ids"))
+    pattern = F.when(n > w * 1.5, "Intensifying activity").when(n < w * 0.5, "Declining activity").otherwise("Consistent activity")
+    overlap = F.when(F.col("any_ids") > 0, F.col("both_ids") * F.lit(100.0) / F.col("any_ids")).otherwise(0.0)
+    advice = F.array(
+        F.when(F.col("now_rows") > F.col("was_rows") * 2, "activity_spike").when(F.col("now_rows") < F.col("was_rows") * 0.5, "activity_drop"),
+        F.when(overlap < 20, "low_overlap").when(overlap > 80, "high_overlap"),
+        F.when(F.col("both_kinds") < 3, "few_common_kinds"),
+        F.when(n > w * 3, "density_spike"),
+    )
+    said = F.filter(advice, lambda a: a.isNotNull())
+    return j.select(
+        activity.alias("activity_percent"), band(activity, 20).alias("activity_change"), growth.alias("growth_percent"), band(growth, 10).alias("identity_growth"), pattern.alias("pattern"),
+        (n / F.greatest(w, F.lit(0.1))).alias("density_ratio"), overlap.alias("overlap_percent"), F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("normal"))).alias("advice"),
+    )
+
+
+def file_report(files: DataFrame, changes: DataFrame, names: DataFrame) -> DataFrame:
+    """AG-17: section, rank, item, n - the parts of a file report, one below the other.
+
+    files(record, name, path, deleted), changes(record, ts), names(record, name, namespace): totals, deleted rows, rows
+    under an unknown parent, the 10 names and paths with most rows, the 5 records with most renames, records of several
+    names and the 10 with most, namespaces among those, renames in all and by month (the last 12).
+    """
+    one = lambda section, df, n: df.agg(n.cast("long").alias("n")).select(F.lit(section).alias("section"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("item"), "n")
+
+    def most(section: str, df: DataFrame, item: Column, k: int | None, order: list[Column] | None = None) -> DataFrame:
+        per = df.groupBy(item.cast("string").alias("item")).agg(F.count(F.lit(1)).alias("n")).orderBy(*(order or [F.col("n").desc(), F.col("item")]))
+        per = per.limit(k) if k else per  # a report of k
+        rank = F.row_number().over(Window.orderBy(*(order or [F.col("n").desc(), F.col("item")])))
+        return per.select(F.lit(section).alias("section"), (rank if k else F.lit(1)).alias("rank"), "item", "n")
+
+    filled = names.filter("name is not null and name <> ''")
+    several = filled.groupBy("record").agg(F.count_distinct("name").alias("n_names")).filter("n_names > 1")
+    dated = changes.filter(F.col("ts").isNotNull())
+    by_names = several.orderBy(F.col("n_names").desc(), "record").limit(10)
+    by_names = by_names.select(F.lit("most_names").alias("section"), F.row_number().over(Window.orderBy(F.col("n_names").desc(), "record")).alias("rank"), F.col("record").cast("string").alias("item"), F.col("n_names").alias("n"))
+    return union_all([
+        one("rows", files, F.count(F.lit(1))), one("records", files, F.count_distinct("record")), one("deleted", files, F.count_if(F.col("deleted"))),
+        one("unknown_parent", files, F.count_if(F.coalesce(F.col("path").contains("[Unknown Parent"), F.lit(False)))), one("renames", changes, F.count(F.lit(1))), one("several_names", several, F.count(F.lit(1))),
+        most("most_modified", files.filter("name is not null"), F.concat_ws("|", "name", F.coalesce("path", F.lit(""))), 10), most("most_renamed", changes, F.col("record"), 5), by_names,
+        most("namespace", names.join(several.select("record"), "record", "left_semi"), F.col("namespace"), None), most("month", dated, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM"), 12, [F.col("item").desc()]),
+    ])
+
+
 def exact_time_groups(df: DataFrame, ts: str) -> DataFrame:
     """AG-29"""
     return df.groupBy(ts).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -230,6 +323,15 @@ def summary(df: DataFrame, score: str, sources: str, app: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("avg_score"), F.round(F.avg(sources), 3).alias("avg_sources"), F.array_sort(F.collect_set(app)).alias("apps"))
 
 
+def export_summary(matches: DataFrame, tabs: DataFrame, score: str, semantic: str, scoring: str) -> DataFrame:
+    """AG-35: matches, average score (3 digits, 0 without matches), tabs, and the percent of tabs with semantic mappings and
+    with a scoring configuration (1 digit, 0 without tabs)."""
+    percent = lambda c: F.coalesce(F.round(F.count_if(F.col(c)) * F.lit(100.0) / F.nullif(F.count(F.lit(1)), F.lit(0)), 1), F.lit(0.0))
+    m = matches.agg(F.count(F.lit(1)).alias("total_matches"), F.coalesce(F.round(F.avg(score), 3), F.lit(0.0)).alias("average_score"))
+    t = tabs.agg(F.count(F.lit(1)).alias("total_tabs"), F.count_if(F.col(semantic)).alias("tabs_with_semantics"), F.count_if(F.col(scoring)).alias("tabs_with_scoring"), percent(semantic).alias("semantic_percent"), percent(scoring).alias("scoring_percent"))
+    return one_row([m, t])
+
+
 def audit_summary(lines: DataFrame, pattern: str = r"^(\S+ \S+) \[(\w+)\]", column: str = "value") -> DataFrame:
     """AG-36: log lines by action, with first and last time."""
     got = lines.select(F.regexp_extract(column, pattern, 1).alias("t"), F.regexp_extract(column, pattern, 2).alias("action")).filter("action <> ''")

@@ -73,6 +73,20 @@ def view_filter(df: DataFrame, text: str | None = None, source: str | None = Non
     return df
 
 
+def window_states(matches: DataFrame, start: str, size_s: int, status: str = "all") -> DataFrame:
+    """CW-05: start, n_identities of every window from the first to the last, gaps included; `data` or `empty` ones alone
+    where asked for. Each window that has data adds the empty ones up to the next."""
+    width = size_s * US
+    per = matches.groupBy(us(start).alias("at")).agg(F.count(F.lit(1)).alias("n_identities"))
+    order = Window.partitionBy("block").orderBy("at")
+    per = per.withColumn("block", F.floor(F.col("at") / (width * 1024)))  # windows of a block are neighbours; blocks are stitched by their first ones
+    firsts = per.groupBy("block").agg(F.min("at").alias("first")).withColumn("following", F.lead("first").over(Window.orderBy("block")))  # one row a block
+    per = per.join(firsts, "block").withColumn("upto", F.coalesce(F.lead("at").over(order), "following", F.col("at") + width))
+    every = per.select("n_identities", F.posexplode(F.sequence("at", F.col("upto") - 1, F.lit(width))).alias("pos", "window_us"))
+    out = every.select(F.timestamp_micros("window_us").alias("window_start"), F.when(F.col("pos") == 0, F.col("n_identities")).otherwise(0).alias("n_identities"))
+    return {"all": out, "data": out.filter("n_identities > 0"), "empty": out.filter("n_identities = 0")}[status]
+
+
 # scores
 
 

@@ -201,7 +201,55 @@ def of_identity(matches: DataFrame, identity: str, pattern: str | None = None) -
     return matches.filter(F.coalesce(F.col(identity).ilike(pattern), F.lit(False))) if pattern else matches
 
 
-# Risk indicators with their levels.
+# Names of tools and words whose mention is a risk.
+TOOL_WORDS = (
+    "mimikatz", "hashcat", "aircrack", "cain", "abel", "wce", "pwdump", "lsass", "backdoor", "rootkit", "meterpreter", "psexec", "procdump", "comsvcs", "vcab", "vmcompute", "sdelete",
+    "psloggedon", "putty", "plink", "netcat", "nc.exe", "socat", "nmap", "masscan", "hping3", "nuclei", "metasploit", "cobalt", "beacon", "empire", "powershell_empire", "evasion",
+    "obfuscation", "crypter", "packer", "kali", "parrot", "pentoo", "wifite", "hashkill",
+)
+# Parts of paths that programs seldom start from.
+PATH_WORDS = ("temp\\", "tmp\\", "%temp%", "appdata\\local\\temp", "\\windows\\", "system32", "syswow64", ".zip", ".rar", ".7z", ".vbs", ".ps1", ".cmd", ".bat")
+# Names of the levels.
+RISK_LEVELS = {5: "CRITICAL", 4: "HIGH", 3: "MEDIUM", 2: "LOW", 1: "INFO"}
+
+
+def _names_any(value: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(F.lower(value).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
+
+
+def _finding(severity: Column, indicator: Column) -> Column:
+    """struct(severity, level, indicator), null where nothing is found."""
+    level = F.element_at(F.create_map(*[F.lit(x) for k, v in RISK_LEVELS.items() for x in (k, v)]), severity)
+    return F.when(severity.isNotNull(), F.struct(severity.alias("severity"), level.alias("level"), indicator.alias("indicator")))
+
+
+def start_risk(command: Column) -> Column:
+    """RL-14: a program that starts by itself: an odd path (4) first, then a tool's name (5), then a mention of temp (4)."""
+    path, tool, temp = _names_any(command, PATH_WORDS), _names_any(command, TOOL_WORDS), _names_any(command, ["temp"])
+    return _finding(F.when(path, 4).when(tool, 5).when(temp, 4), F.when(path, "suspicious_path").when(tool, "tool_keyword").when(temp, "temp_execution"))
+
+
+def software_risks(name: Column, publisher: Column) -> Column:
+    """RL-14: installed software: no publisher (3) and a tool's name (5); an array, as both can hold."""
+    absent, tool = F.coalesce(publisher == "", F.lit(True)), _names_any(name, TOOL_WORDS)
+    return F.filter(F.array(_finding(F.when(absent, 3), F.lit("no_publisher")), _finding(F.when(tool, 5), F.lit("tool_keyword"))), lambda x: x.isNotNull())
+
+
+def service_risk(start_type: Column, image_path: Column, name: Column, description: Column) -> Column:
+    """RL-14: services that start by themselves (type 2): the last that holds of an odd path (4), a tool's name (5), and
+    neither name nor description (3)."""
+    unnamed = (F.coalesce(name, F.lit("")) == "") & (F.coalesce(description, F.lit("")) == "")
+    path, tool = _names_any(image_path, PATH_WORDS), _names_any(name, TOOL_WORDS)
+    found = _finding(F.when(unnamed, 3).when(tool, 5).when(path, 4), F.when(unnamed, "unnamed_service").when(tool, "tool_keyword").when(path, "suspicious_path"))
+    return F.when(start_type == 2, found)
+
+
+def update_risk(au_options: Column) -> Column:
+    """RL-14: automatic updates that are off (5)."""
+    return _finding(F.when(au_options.cast("int") == 2, 5), F.lit("updates_disabled"))
+
+
+# Risk indicators of file names and commands with their levels, a choice of this library.
 RISKS = (
     (5, "tool_keyword", r"(?i)mimikatz|meterpreter|cobalt|psexec|ncat|netcat"),
     (4, "suspicious_path", r"(?i)\\(temp|tmp|appdata\\local\\temp|\$recycle\.bin)\\"),
@@ -242,6 +290,82 @@ class DictionaryRule:
     table: str
     value: str
     key: str
+    name: str = ""
+    category: str = ""
+
+
+# Where the default pairs come from (table, value, key, name, category).
+DEFAULT_RULES = tuple(
+    DictionaryRule(*r)
+    for r in (
+        ("UserProfiles", "user_sid", "username", "SID_to_Username", "SID"),
+        ("UserProfiles", "user_sid", "profile_path", "SID_to_ProfilePath", "SID"),
+        ("Network_list", "gateway_mac", "network_name", "MAC_to_NetworkName", "MAC"),
+        ("network_devices", "mac_address", "device_name", "MAC_to_DeviceName", "MAC"),
+        ("InventoryApplicationFile", "file_id", "original_file_name", "Hash_to_Filename", "Hash"),
+        ("known_hashes", "hash", "app_name", "Hash_to_ApplicationName", "Hash"),
+        ("known_guids", "guid", "app_name", "GUID_to_ApplicationName", "GUID"),
+        ("known_appids", "appid", "app_name", "AppID_to_ApplicationName", "AppID"),
+        ("clsid_registry", "clsid", "component_name", "CLSID_to_ComponentName", "CLSID"),
+        ("process_events", "process_id", "process_name", "ProcessID_to_ProcessName", "ProcessID"),
+        ("volume_info", "volume_guid", "volume_label", "VolumeGUID_to_VolumeName", "VolumeGUID"),
+        ("dns_cache", "ip_address", "hostname", "IP_to_Hostname", "IP"),
+        ("usb_devices", "serial_number", "device_name", "USBSerial_to_DeviceName", "USBSerial"),
+        ("services", "service_name", "display_name", "ServiceName_to_DisplayName", "ServiceName"),
+        ("event_logs", "event_id", "description", "EventID_to_EventDescription", "EventID"),
+    )
+)
+# Security ids with well-known names.
+WELL_KNOWN_SIDS = {
+    "S-1-5-18": "NT AUTHORITY\\SYSTEM", "S-1-5-19": "NT AUTHORITY\\LOCAL SERVICE", "S-1-5-20": "NT AUTHORITY\\NETWORK SERVICE", "S-1-5-17": "IUSR", "S-1-0": "Null Authority", "S-1-1": "Everyone",
+    "S-1-2": "Local", "S-1-3": "Creator Owner", "S-1-5-32-544": "Administrators", "S-1-5-32-545": "Users", "S-1-5-32-546": "Guests", "S-1-5-32-547": "Power Users", "S-1-5-32-548": "Account Operators",
+    "S-1-5-32-549": "Server Operators", "S-1-5-32-550": "Print Operators", "S-1-5-32-551": "Backup Operators", "S-1-5-32-552": "Replicators", "S-1-5-11": "Authenticated Users",
+    "S-1-5-12": "Restricted Code", "S-1-5-4": "Interactive", "S-1-5-6": "Service", "S-1-5-7": "Anonymous",
+}
+
+
+def default_pairs(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """EN-01: the pairs of all default rules whose tables are given, and of the well-known ids."""
+    rows = [(v, k, "Windows_Internals", len(DEFAULT_RULES)) for v, k in WELL_KNOWN_SIDS.items()]
+    known = spark.createDataFrame(rows, "value string, key string, source string, rule_no int")
+    return dictionary_pairs(tables, DEFAULT_RULES).unionByName(known) if any(r.table in tables for r in DEFAULT_RULES) else known
+
+
+class RuleStore:
+    """UD-04: a user's dictionary rules, kept as JSON lines under a path; of a name the latest entry counts, and a deleted
+    or disabled rule isn't listed. The size is that of a configuration."""
+
+    COLUMNS = ("name", "category", "table", "value", "key")
+    SCHEMA = "name string, category string, `table` string, value string, key string, enabled boolean, version long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _append(self, rules: Sequence[DictionaryRule], enabled: bool) -> None:
+        import time
+
+        rows = [(*(getattr(r, c) for c in self.COLUMNS), enabled, time.time_ns()) for r in rules]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+
+    def save(self, *rules: DictionaryRule) -> None:
+        for r in rules:
+            if not all((r.name, r.table, r.value, r.key)):
+                raise ValueError(f"a dictionary rule needs a name, a table, a value and a key column: {r}")
+        self._append(rules, True)
+
+    def delete(self, name: str) -> None:
+        self._append([DictionaryRule("", "", "", name)], False)
+
+    def table(self) -> DataFrame:
+        w = Window.partitionBy("name").orderBy(F.col("version").desc())
+        latest = self.spark.read.schema(self.SCHEMA).json(self.path).withColumn("rn", F.row_number().over(w))
+        return latest.filter("rn = 1 and enabled").select(*[F.col(f"`{c}`") for c in self.COLUMNS])
+
+    def rules(self) -> list[DictionaryRule]:
+        return [DictionaryRule(r["table"], r["value"], r["key"], r["name"], r["category"]) for r in self.table().orderBy("name").toLocalIterator()]
+
+    def get(self, name: str) -> DictionaryRule | None:
+        return next((r for r in self.rules() if r.name == name), None)
 
 
 def dictionary_pairs(tables: dict[str, DataFrame], rules: Sequence[DictionaryRule]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +85,64 @@ def find_in_text(df: DataFrame, column: str, pattern: str, mode: str = "text", i
     return hits.select(id_col, (F.col("pos") + 1).alias("place"), F.col("hit.found").alias("found"), (end - F.length("hit.found")).alias("start"), end.alias("end"))
 
 
+# Words that make a query semantic, signs that make it a pattern, forms of time in a query.
+SEMANTIC_WORDS = ("execution", "access", "network", "registry", "file", "process")
+PATTERN_SIGNS = "[]()*+?^$"
+TIME_FORMS = r"\d{4}-\d{2}-\d{2}|\d{2}:\d{2}|today|yesterday|last\s+\w+"
+
+
+def search_mode(query: str) -> str:
+    """SR-07: temporal, pattern, semantic or text, by what the query looks like."""
+    if re.search(TIME_FORMS, query, re.I):
+        return "temporal"
+    if any(c in query for c in PATTERN_SIGNS):
+        return "pattern"
+    return "semantic" if any(w in query.lower() for w in SEMANTIC_WORDS) else "text"
+
+
+def time_matches(query: str, ts: Column, now: Column) -> Column:
+    """SR-07: whether an instant fits a temporal query: today, yesterday, last hour, last day, or any date or hour:minute
+    that it names."""
+    q, t = query.lower(), ts.cast("timestamp")
+    if "today" in q:
+        return F.to_date(t) == F.to_date(now)
+    if "yesterday" in q:
+        return F.to_date(t) == F.date_sub(F.to_date(now), 1)
+    if "last hour" in q or "last day" in q:
+        return t > now - F.expr("interval 1 hour" if "last hour" in q else "interval 1 day")
+    said = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    parts = [*re.findall(r"\d{4}-\d{2}-\d{2}", query), *re.findall(r"\d{2}:\d{2}", query)]
+    return reduce(lambda a, b: a | b, [said.contains(p) for p in parts], F.lit(False))
+
+
+def find_results(rows: DataFrame, query: str, id_col: str, ts: str, texts: list[str], semantic: str | None = None, categories: list[str] | None = None, mode: str | None = None, now: Column | None = None, confidence: Column | None = None, least: float = 0.0, whole_words: bool = False) -> DataFrame:
+    """SR-07: id, ts, match_type, context, match_text, start, end, confidence of every hit, surest first, then by time.
+
+    Text and patterns are looked for in `texts`, semantic queries in the values of the map column `semantic` (of some
+    categories where asked for), temporal ones in `ts`. The mode follows from the query unless it is given; `combined`
+    looks in texts and semantics. A hit is as sure as its row's `confidence`, 1 where there is none.
+    """
+    mode = mode or search_mode(query)
+    sure = F.coalesce(confidence, F.lit(1.0)) if confidence is not None else F.lit(1.0)
+    base = rows.select(F.col(id_col).alias("id"), F.col(ts).alias("ts"), sure.cast("double").alias("confidence"), *texts, *([semantic] if semantic else []))
+    if mode == "temporal":
+        hit = base.filter(time_matches(query, F.col("ts"), now if now is not None else F.current_timestamp()))
+        none = F.lit(None).cast("int")
+        found = hit.select("id", "ts", F.lit("Timestamp").alias("context"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("match_text"), none.alias("start"), none.alias("end"), "confidence")
+    else:
+        pairs = [F.struct(F.lit(f"Data {c}").alias("context"), F.col(c).cast("string").alias("value")) for c in texts] if mode != "semantic" else []
+        every = F.array(*pairs) if pairs else F.expr("cast(array() as array<struct<context: string, value: string>>)")
+        if semantic and mode in ("semantic", "combined"):
+            chosen = F.map_filter(semantic, lambda k, v: k.isin(categories)) if categories else F.col(semantic)
+            of = F.transform(F.map_entries(chosen), lambda e: F.struct(F.concat(F.lit("Semantic "), e["key"]).alias("context"), e["value"].cast("string").alias("value")))
+            every = F.concat(every, F.coalesce(of, F.expr("cast(array() as array<struct<context: string, value: string>>)")))
+        long = base.select("id", "ts", "confidence", F.explode(F.filter(every, lambda p: p["value"].isNotNull())).alias("p")).select(F.struct("id", "ts", "confidence", "p.context").alias("row"), "p.value")
+        kind = "regex" if mode == "pattern" else "word" if whole_words else "text"
+        found = find_in_text(long, "value", query, kind, "row").select("row.id", "row.ts", "row.context", F.col("found").alias("match_text"), "start", "end", "row.confidence")
+    found = found.withColumn("match_type", F.lit(mode))
+    return found.filter(F.col("confidence") >= least).orderBy(F.col("confidence").desc(), "ts", "id", "context", "start")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Importing a module of queries registers them."""
-    from evspark.plans import q_aggs, q_correlate, q_more, q_runs, q_stream, q_text  # noqa: F401
+    from evspark.plans import q_aggs, q_correlate, q_more, q_reports, q_runs, q_stream, q_text  # noqa: F401
 
 
 _load()

@@ -158,6 +158,23 @@ def indicator_pairs(df: DataFrame, value: str, key: str, source: str) -> DataFra
     return d.filter((F.col("value") != "") & (F.col("key") != ""))
 
 
+def sniffed(spark: SparkSession, path: str, value: str, key: str) -> tuple[str, str]:
+    """SRC-16: delimiter and encoding of a delimited list. The delimiter is the one that makes both columns out of the first
+    line, else a comma. The encoding is UTF-8 unless some line isn't valid in it; any bytes are valid ISO-8859-1."""
+    first = spark.read.text(path).limit(1).first()
+    line = (first["value"] if first else "").lstrip("\ufeff")
+    fits = [d for d in (",", ";", ":", "\t", "|") if {value, key} <= {c.strip().strip('"') for c in line.split(d)}]
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    return fits[0] if fits else ",", "ISO-8859-1" if bad else "UTF-8"
+
+
+def read_indicators_any(spark: SparkSession, path: str, value: str = "value", key: str = "key", source: str = "list") -> DataFrame:
+    """SRC-16: an indicator list whose delimiter and encoding aren't known."""
+    delimiter, encoding = sniffed(spark, path, value, key)
+    df = spark.read.csv(path, sep=delimiter, header=True, encoding=encoding)
+    return indicator_pairs(df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns]), value, key, source)
+
+
 def read_indicators(spark: SparkSession, path: str, value: str, key: str, source: str, fmt: str = "csv", delimiter: str = "comma", encoding: str = "UTF-8") -> DataFrame:
     df = spark.read.json(path) if fmt == "json" else spark.read.csv(path, sep=DELIMITERS.get(delimiter, delimiter), header=True, encoding=encoding)
     return indicator_pairs(df, value, key, source)

@@ -168,3 +168,65 @@ def test_find_in_text_gives_offsets_in_any_script(spark):
             assert got == sorted((i, n + 1, m[0], m.start(), m.end()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(p, t, flags)))
         assert all(texts[i][s:e] == f for i, _, f, s, e in got)
     assert {r["start"] for r in search.find_in_text(df, "t", "x*", "regex").collect()} == {None}
+
+
+def test_trend_bands_and_advice(spark):
+    rows = [("a", 60 * i, f"u{i % 3}", "k1") for i in range(10)] + [("b", 100_000 + 60 * i, f"v{i}", f"k{i % 4}") for i in range(30)]
+    df = spark.createDataFrame(rows, "period string, t long, who string, kind string").withColumn("ts", F.timestamp_seconds("t"))
+    r = aggs.trend_report(df, "period", "b", "a", "ts", "who", "kind").first()
+    assert (r["activity_change"], r["identity_growth"], r["pattern"]) == ("Increased by 200.0%", "Increased by 900.0%", "Consistent activity")
+    assert r["advice"] == ["activity_spike", "low_overlap", "few_common_kinds"]
+    back = aggs.trend_report(df, "period", "a", "b", "ts", "who", "kind").first()
+    assert back["activity_change"] == "Decreased by 66.7%" and "activity_drop" in back["advice"]
+    none = aggs.trend_report(df.limit(0), "period", "a", "b", "ts", "who", "kind").first()
+    assert none["activity_change"] == "Stable" and none["overlap_percent"] == 0.0
+
+
+def test_search_modes():
+    assert [search.search_mode(q) for q in ("yesterday", "at 13:45", "a[bc]", "Process list", "word")] == ["temporal", "temporal", "pattern", "semantic", "text"]
+
+
+def test_fixed_origin_over_one_order_and_null_keys(spark):
+    """Against a plain fold: long dense chains, gaps at and around the width, no key, and a null key."""
+    rng = random.Random(5)
+    t, rows = 0, []
+    for i in range(600):
+        t += rng.choice([0, 1, 5, 40, 60, 61, 120, 121, 500])
+        rows.append((i, t, None if i % 3 else "k"))
+    df = spark.createDataFrame(rows, "id long, t long, k string").withColumn("ts", F.timestamp_seconds("t"))
+
+    def fold(times):
+        out, start = {}, None
+        for x in sorted(times):
+            if start is None or x - start > 60:
+                start = x
+            out[x] = start
+        return out
+
+    for key in ([], ["k"]):
+        want = {k: fold([t for _, t, own in rows if not key or own == k]) for k in ({None} if not key else {None, "k"})}
+        got = ordered.fixed_origin(df, key, "ts", "id", 60).select("id", F.unix_timestamp("cluster_start").alias("s")).collect()
+        assert {r["id"]: r["s"] for r in got} == {i: want[k if key else None][t] for i, t, k in rows}
+
+
+def test_intervals_of_all_lengths(spark):
+    rng = random.Random(6)
+    make = lambda n, at: [(i, s := rng.randrange(10**6), s + rng.choice([0, 10, 3600, 10**5, 10**7])) for i in range(n)]
+    a, b = make(80, 0), make(80, 1)
+    df = lambda rows, p: spark.createDataFrame(rows, f"{p} long, x{p} long, y{p} long").select(p, F.timestamp_seconds(f"x{p}").alias(f"s{p}"), F.timestamp_seconds(f"y{p}").alias(f"e{p}"))
+    got = sorted((r["a"], r["b"]) for r in joins.interval_join(df(a, "a"), df(b, "b"), "sa", "ea", "sb", "eb", 600).collect())
+    assert got == sorted((i, j) for i, s, e in a for j, s2, e2 in b if s <= e2 and s2 <= e)
+
+
+def test_calendar_at_month_ends_and_leap_days(spark):
+    rows = [("a", "2024-02-28 23:59:59", 1), ("a", "2024-03-01 00:00:00", 2), ("b", "2023-12-31 12:00:00", 3)]
+    heat = aggs.heat(spark.createDataFrame(rows, "source string, t string, n int").withColumn("ts", F.to_timestamp("t")), "source", "ts")
+    got = {(r["source"], str(r["day"])): r["n"] for r in aggs.dense_days(heat).collect()}
+    assert len(got) == 2 * 62 and got["a", "2024-02-29"] == 0 and got["a", "2024-02-28"] == 1 and got["a", "2024-03-01"] == 1 and got["b", "2023-12-31"] == 1
+
+
+def test_overlapping_activity_is_cut_at_the_previous_end(spark):
+    rows = [("x", 1000, 600.0), ("x", 1300, 900.0), ("x", 1300, 5.0), ("y", 1300, 5.0)]
+    df = spark.createDataFrame(rows, "app string, t long, d double").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted((r["app"], r["s"], r["e"]) for r in ordered.activity_intervals(df, ["app"], "ts", F.col("d"), tie=["d"]).select("app", F.unix_timestamp("start_ts").alias("s"), F.unix_timestamp("end_ts").alias("e")).collect())
+    assert got == [("x", 400, 1000), ("x", 1280, 1300), ("x", 1300, 1300), ("y", 1280, 1300)]

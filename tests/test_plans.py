@@ -31,3 +31,10 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_no_nested_loops(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+@pytest.mark.parametrize("name", ["fixed_origin_clusters", "anchor_time_groups", "outlier_range", "anchor_group_totals"])
+def test_no_window_has_a_constant_key(spark, name):
+    p = plan(spark, name)
+    assert "hashpartitioning(1" not in p and "__all" not in p
+    assert "SinglePartition" not in p
