@@ -3,10 +3,12 @@
 Rows of a source, in the order of a seeded hash of their ids, get the fractional rank (rank - 0.5) / n. Sorted by
 that rank all sources interleave in proportion, and equal cuts of the sorted whole give shards that each match the
 mixture. Ranks are exact and global, yet no task sorts more than one bin: a rank is the count of rows in lower bins
-plus the place within the bin.
+plus the place within the bin. Bins grow in number with the rows. The draw comes from the id and the text's checksum, so
+rows that share an id (null ids) spread out unless they are copies.
 
-Null texts have no bytes; null sources are a source of their own; rows with equal ids and sources are ordered by
-size and checksum, and are alike beyond that. An empty table gives an empty result.
+Null texts have no bytes; texts of any length count whole; null sources are a source of their own; rows with equal ids,
+checksums and sources are alike, and which of them stands first doesn't matter. An empty table gives an empty result;
+columns beside id, text and source don't matter.
 """
 
 from __future__ import annotations
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 
 from evspark.llm.shared import uniform52, written
 
-BINS = 4096
+ROWS_A_BIN = 50_000
+
+
+def bin_bits(rows: int) -> int:
+    """4,096 bins, more where those would hold over ROWS_A_BIN rows each, about a million at most."""
+    return min(20, max(12, (rows // ROWS_A_BIN).bit_length()))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -25,11 +32,13 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 11, id_col: str = "doc_
     rows = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-            uniform52(F.col(id_col), seed).alias("u"),
-        ).withColumn("bin", F.shiftright("u", 40))
+            uniform52(F.concat_ws(":", F.col(id_col).cast("string"), F.crc32(text).cast("string")), seed).alias("u"),
+        )
     )
+    bits = bin_bits(rows.count())
+    rows = rows.withColumn("bin", F.shiftright("u", 52 - bits))
     per_bin = rows.groupBy("source", "bin").count()
-    by_source = Window.partitionBy("source")  # at most BINS rows a source
+    by_source = Window.partitionBy("source")  # at most 2^bits rows a source
     bins = per_bin.select(
         F.col("source").alias("bin_source"), F.col("bin").alias("bin_no"), F.sum("count").over(by_source).alias("n"),
         (F.sum("count").over(by_source.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"),
@@ -37,9 +46,9 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 11, id_col: str = "doc_
     in_bin = Window.partitionBy("source", "bin").orderBy("u", "doc_id", "size", "text_crc32")
     ranked = rows.join(bins, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("bin") == F.col("bin_no")))
     ranked = ranked.withColumn("frac", (F.col("before") + F.row_number().over(in_bin) - F.lit(0.5)) / F.col("n"))
-    ranked = written(ranked.select("doc_id", "source", "size", "text_crc32", "u", "frac", F.floor(F.col("frac") * BINS).alias("slice")))
+    ranked = written(ranked.select("doc_id", "source", "size", "text_crc32", "u", "frac", F.floor(F.col("frac") * (1 << bits)).alias("slice")))
     per_slice = ranked.groupBy("slice").count()
-    lower = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS + 1 rows
+    lower = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # at most 2^bits + 1 rows
     slices = per_slice.select(F.col("slice").alias("slice_no"), (F.sum("count").over(lower) - F.col("count")).alias("lower"), F.sum("count").over(Window.partitionBy()).alias("total"))
     in_slice = Window.partitionBy("slice").orderBy("frac", F.col("source").asc_nulls_last(), "u", "doc_id", "size", "text_crc32")
     placed = ranked.join(F.broadcast(slices), F.col("slice") == F.col("slice_no")).withColumn("pos", F.col("lower") + F.row_number().over(in_slice) - 1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evspark.storage import written  # noqa: F401  for the operators
+
 #: ASCII white space as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; /tmp/checkpoints where none is set, as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lower the session's Arrow batches to 1,000 rows and 16 MB for what follows: rows are whole texts, and each task
-    holds a batch in the JVM and in Python. A lower setting is left alone."""
+    """Lower the session's Arrow batches to 1,000 rows and 16 MB from here on: rows are whole texts, and each task holds a
+    batch in the JVM and in Python. The setting belongs to the session and is read when a plan runs, after this returns,
+    so it stays lowered; a lower one is left alone. Sessions that mind hand over `docs` of a session.newSession()."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -39,14 +36,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder, read back. Survives lost executors, since the files are shared."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(dim: DataFrame, rows: int) -> DataFrame:
     """Broadcast a dimension whose counted rows are within the bound; else leave the join to a shuffle."""
     return F.broadcast(dim) if rows <= BROADCAST_ROWS else dim

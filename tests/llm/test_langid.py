@@ -63,3 +63,40 @@ def test_count_floor_holds_above_its_levels(spark):
     least = count_floor(df, "n", 10)
     assert 0 < df.filter(F.col("n") >= least).count() <= 10
     assert count_floor(df.filter("n < 0"), "n", 10) == 1
+
+
+def test_scores_equal_brute_force(make):
+    """Word log frequencies, else the mean of the longest known n-grams, in plain Python; ties and repeated rows too."""
+    import math
+    from collections import Counter
+
+    train = corpus(90) + [(2000, "eau eau zug", "fr", None)]
+    words, grams = {}, {}
+    for _, text, lang, _ in train:
+        words.setdefault(lang, Counter()).update(langid.WORDS.findall(text.lower()))
+    types = len(set().union(*words.values()))
+    for lang, c in words.items():
+        for w, n in c.items():
+            for k in langid.ORDERS:
+                for g in langid.grams(w, k):
+                    grams.setdefault(k, {}).setdefault(lang, Counter())[g] += n
+    log = lambda n, total, v: round(math.log((n + 0.1) / (total + 0.1 * (v + 1))) * 2**24)
+
+    def word_score(w, lang):
+        if any(w in c for c in words.values()):
+            return log(words[lang][w], words[lang].total(), types)
+        for k in langid.ORDERS:
+            seen = set().union(*grams[k].values())
+            hit = [g for g in langid.grams(w, k) if g in seen]
+            if hit:
+                return round(sum(log(grams[k][lang][g], grams[k][lang].total(), len(seen)) for g in hit) / len(hit))
+        return 0
+
+    docs = [(1, "water strassen eaux"), (2, "unbekanntes wasser Yellowstone"), (3, "le the der"), (4, "q" * 50 + " maisons"), (5, "water strassen eaux"), (6, "zug " * 3 + "ßß")]
+    got = predict(make, docs, langid.train(make(train), max_words=7))
+    for i, text in docs:
+        s = {lang: sum(word_score(w, lang) for w in langid.WORDS.findall(text.lower())) for lang in words}
+        best = max(s, key=lambda x: (s[x], words[x].total()))
+        share = 1 / sum(math.exp((v - s[best]) / 2**24) for v in s.values())
+        assert got[i][0] == best and abs(got[i][1] - share) < 1e-6, (i, got[i], best, share)
+    assert got[1] == got[5]

@@ -60,3 +60,28 @@ def test_nothing_to_learn_from(make):
     r = lm.score(make([(1, "a b")]), model, counts).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and math.isfinite(r["score"])
     assert lm.score(make([]), model, counts).count() == 0
+
+
+def test_score_equals_brute_force(make):
+    """Token by token: softmax over classes from the rows of weights, times the token's smoothed share of its class."""
+    from zlib import crc32
+
+    train = [r for r in corpus(200) if r[0] % 10]
+    model, counts = lm.train(make(train), max_head=8)
+    assert np.abs(model.weights).sum() > 0
+    c = {bytes(r["token"]): r["n"] for r in counts.collect()}
+    docs = [(1, "the cat ran unknown der"), (2, None), (3, "katze " * 40 + "zzz"), (1, "the cat ran unknown der"), (None, "mat")]
+    got = lm.score(make(docs, clash=True), model, counts, keep=[F.col("text")]).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        t, total = tokens(r["text"]), 0.0
+        cls = [0, 0] + [model.class_of(w) for w in t]
+        h = [0, 0, 0] + [crc32(w) for w in t]
+        for i, w in enumerate(t):
+            at = [cls[i + 1] * lm.CLASSES + cls[i]]
+            for k in range(3):
+                at.append(((h[i + 2 - k] * int(lm.FACTORS[k])) % 2**32 >> 20) + lm.CLASSES**2 + k * lm.HASHED)
+            z = sum(model.weights[a].astype(float) for a in at)
+            k = model.class_of(w)
+            total += (z[k] - math.log(np.exp(z).sum())) / math.log(10) + math.log10((c.get(w, 0) + 0.1) / (model.class_n[k] + 0.1 * (model.class_v[k] + 1)))
+        assert abs(r["score"] - total) < 1e-4 * max(1, abs(total))

@@ -63,3 +63,24 @@ def test_mix_and_encoding(stages):
 
 def test_run_gives_the_same_rows(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, stages[-1].select("doc_id", "ids_sha256").collect()))
+
+
+def test_stages_take_nulls_long_texts_repeats_and_clashing_columns(spark, make):
+    good = [" ".join(f"word{(i * 7 + j) % 90}" for j in range(60)) + "." for i in range(40)]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(good)] + [(50, good[0], "en", None), (51, None, None, None), (52, None, None, "a"), (53, "", None, "b"), (None, good[1], "en", "a"), (None, None, None, None)]
+    rows += [(60, "long text " * 60_000, "en", "a"), (61, good[2], "en", "a"), (61, good[2], "en", "a")]
+    docs = make(rows, clash=True)
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, DATA)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            out = corpus_pipeline.written(out)
+            assert 0 < out.count() <= 3 * docs.count(), name
+        docs = out
+    got = docs.collect()
+    assert all(r["decoded_sha256"] and len(r["token_ids"]) == 4 * r["n_tokens"] for r in got)
+
+
+def test_stages_take_an_empty_table(spark, make):
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, make([], clash=True), DATA).count() == 0, name

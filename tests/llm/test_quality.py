@@ -78,3 +78,24 @@ def test_gumbel_draws_in_proportion(spark):
 def test_nothing_labelled_keeps_all_and_empty_stays_empty(spark, make):
     assert all(r["kept"] for r in quality.judge(make(corpus(20)), labels(spark, [])).collect())
     assert quality.judge(make([]), labels(spark, [1])).count() == 0
+
+
+def test_kept_equals_gumbel_top_k(spark, make):
+    """Noise from the id, k by the floor, ties and repeated rows stay together: recomputed in plain Python."""
+    import hashlib
+
+    rows = corpus(200) + [(500, "ZZZ!! " * 40)] * 3 + [(None, "ZZZ!! " * 40), (None, "river")]
+    got = quality.judge(make(rows), labels(spark, [i for i, _ in rows[:200] if i % 8])).collect()
+    assert len(got) == len(rows)
+
+    def noise(i):
+        u = (int(hashlib.md5(f"{'' if i is None else i}:5".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(-math.log(u))
+
+    k = sum(r["log_weight"] >= quality.FLOOR for r in got)
+    cut = sorted((r["log_weight"] + noise(r["doc_id"]) for r in got), reverse=True)[k - 1]
+    assert 0 < k < len(rows)
+    for r in got:
+        assert math.isclose(r["noisy"], r["log_weight"] + noise(r["doc_id"]), rel_tol=1e-9, abs_tol=1e-9)
+        assert r["kept"] == (r["noisy"] >= cut - 1e-9)
+    assert len({r["kept"] for r in got if r["doc_id"] == 500}) == 1
