@@ -2,6 +2,11 @@
 
 Quality classifier, exact dedup, MinHash near-dedup, mixing to target weights, byte-level BPE. All stages but the last
 return the columns of documents; the last returns a row for each mixed document with its token ids.
+
+Every stage takes null texts, ids and sources, empty and very long texts, repeated rows and an empty table, and passes
+other columns through, whatever their names: null and empty texts have weight 1 and stay as one row of their text, rows
+with a null id are near copies of nothing, a null source is mixed as a source of its own, and a text without tokens gets
+an empty list of ids. An empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
