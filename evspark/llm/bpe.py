@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 
 from evspark.llm.shared import IdCache, as_texts, kept, small_batches
 
-NONE, ROOT = -1, 0
+NONE = -1
 TOKEN_BITS = 24
-TOKEN_MASK = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +41,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Node(dict):
+    """A node of the trie of tokens: byte -> node; the token that ends here, or NONE; its depth. Nodes differ by identity."""
+
+    __slots__ = ("depth", "token")
+    __hash__, __eq__, __ne__ = object.__hash__, object.__eq__, object.__ne__
+
+    def __init__(self, depth: int):
+        self.depth, self.token = depth, NONE
+
+
+class State(dict):
+    """A state of the deterministic form: byte -> (next state, last token), made when first met."""
+
+    __slots__ = ("fst", "live")
+
+    def __init__(self, fst: Transducer, live: tuple[tuple[int, Node], ...]):
+        self.fst, self.live = fst, live  # live configurations, in order of their boundaries
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        arc = self[byte] = self.fst.arc(self.live, byte)
+        return arc
+
+
 class Transducer:
     MAX_ARCS, MAX_FITS = 250_000, 100_000
     COMMIT = 512
@@ -48,29 +72,26 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {t: b for b, t in ranks.items()}
         self.length = {t: len(b) for b, t in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.token: list[int] = [NONE]
+        self.root = Node(0)
         for b, t in ranks.items():
-            node = ROOT
+            node = self.root
             for c in b:
-                nxt = self.child.get(node << 8 | c)
+                nxt = node.get(c)
                 if nxt is None:
-                    nxt = self.child[node << 8 | c] = len(self.token)
-                    self.token.append(NONE)
+                    nxt = node[c] = Node(node.depth + 1)
                 node = nxt
-            self.token[node] = t
-        self.leaves = set(range(len(self.token))) - {k >> 8 for k in self.child}
+            node.token = t
         self.parts: dict[int, tuple[int, int]] = {}
         for b, t in sorted(ranks.items(), key=lambda x: x[1]):
             if len(b) > 1:
                 self.parts[t] = self._halves(b, t)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.arcs: dict[int, int] = {}  # state and byte -> next state and last token
-        self.states: list[tuple[tuple[int, int], ...]] = [((NONE, ROOT),)]
-        self.number = {self.states[0]: 0}
+        self.n_arcs = 0
+        self.start = State(self, ((NONE, self.root),))
+        self.states = {self.start.live: self.start}
 
     def _halves(self, word: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge made this one."""
@@ -88,7 +109,7 @@ class Transducer:
         merges that made the tokens next to it. The border's neighbours are taken apart, latest merge first."""
         if a == NONE:
             return True
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << TOKEN_BITS | b)
         if known is not None:
             return known
         x, y, before, ok = a, b, 1 << 60, True
@@ -106,51 +127,45 @@ class Transducer:
                 before, y = y + 1, py[0]  # and a border merge of the same rank as y's comes first, being further left
         if len(self.fits) > self.MAX_FITS:
             self.fits.clear()
-        self.fits[(a, b)] = ok
+        self.fits[a << TOKEN_BITS | b] = ok
         return ok
 
-    def _arc(self, state: int, byte: int) -> int:
+    def arc(self, configurations: tuple[tuple[int, Node], ...], byte: int) -> tuple[State, int]:
         """Determinise one transition: next state, and the last token of the encoding up to here."""
         last, live = NONE, []
-        for prev, node in self.states[state]:
-            nxt = self.child.get(node << 8 | byte)
+        for prev, node in configurations:
+            nxt = node.get(byte)
             if nxt is None:
                 continue
-            if nxt not in self.leaves:  # a leaf can't be read further
+            if nxt:  # a leaf can't be read further
                 live.append((prev, nxt))
-            t = self.token[nxt]
-            if last == NONE and t != NONE and self.may_follow(prev, t):
-                last = t
+            if last == NONE and nxt.token != NONE and self.may_follow(prev, nxt.token):
+                last = nxt.token
         if last == NONE:
             raise ValueError("the vocabulary lacks a byte, or its merges are out of order")
-        live.append((last, ROOT))
+        live.append((last, self.root))
         key = tuple(live)
-        to = self.number.get(key)
+        to = self.states.get(key)
         if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        arc = self.arcs[state << 8 | byte] = to << TOKEN_BITS | last
-        return arc
+            to = self.states[key] = State(self, key)
+        self.n_arcs += 1
+        return to, last
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.arcs) > self.MAX_ARCS:
+        if self.n_arcs > self.MAX_ARCS:
             self._forget()
         out: list[int] = []
-        state, ends = 0, []  # ends: last token at each byte since the boundary up to which tokens are out
-        get = self.arcs.get
+        state, ends = self.start, []  # ends: last token at each byte since the boundary up to which tokens are out
         for i in range(0, len(piece), self.COMMIT):
             for byte in piece[i : i + self.COMMIT]:
-                arc = get(state << 8 | byte)
-                if arc is None:
-                    arc = self._arc(state, byte)
-                state = arc >> TOKEN_BITS
-                ends.append(arc & TOKEN_MASK)
+                state, last = state[byte]
+                ends.append(last)
             if i + self.COMMIT < len(piece):
                 at = self._settled(state, ends)
                 if at:
                     out += self._chain(ends, at)
                     del ends[:at]
-        return out + self._chain(ends, len(ends))
+        return out + self._chain(ends, len(ends)) if out else self._chain(ends, len(ends))
 
     def _chain(self, ends: list[int], at: int) -> list[int]:
         back, length = [], self.length
@@ -161,24 +176,17 @@ class Transducer:
         back.reverse()
         return back
 
-    def _settled(self, state: int, ends: list[int]) -> int:
+    def _settled(self, state: State, ends: list[int]) -> int:
         """The furthest boundary on the chains of all live configurations."""
         n, common = len(ends), None
-        for back in self._depths(state):  # a live configuration's boundary is as many bytes back as its node is deep
-            at, chain = n - back, set()
+        for _, node in state.live:  # a live configuration's boundary is as many bytes back as its node is deep
+            at, chain = n - node.depth, set()
             while at > 0:
                 chain.add(at)
                 at -= self.length[ends[at - 1]]
             common = chain if common is None else common & chain
         return max(common, default=0) if common else 0
 
-    def _depths(self, state: int) -> list[int]:
-        if not hasattr(self, "depth_of"):
-            self.depth_of = [0] * len(self.token)
-            for k, to in self.child.items():  # parents are numbered before children
-                self.depth_of[to] = self.depth_of[k >> 8] + 1
-        return [self.depth_of[node] for _, node in self.states[state]]
-
 
 class Utf8Stream:
     """Incremental UTF-8: feed bytes, get the text of all characters that are whole; invalid bytes become U+FFFD."""
@@ -209,27 +217,36 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+class Pieces(IdCache):
+    """Ids of pieces met before; long pieces are encoded each time, so that the bound on pieces bounds memory."""
+
+    KEEP = 48
+
+    def __missing__(self, piece: str) -> bytes:
+        return super().__missing__(piece) if len(piece) <= self.KEEP else self.make(piece)
+
+
 class Codec:
     """Encodes texts and decodes ids; pieces met before are kept up to a bound."""
 
-    PART, KEEP = 100_000, 48
+    PART = 100_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst = Transducer(ranks)
         # \s of the pattern means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pieces = IdCache(self._piece)
+        self.pieces = Pieces(self._piece, 200_000)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.fst.encode(piece.encode()), "<u4").tobytes()
+        ids = array("I", self.fst.encode(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        found = self.split.findall(text)
-        if max(map(len, found), default=0) <= self.KEEP:
-            return b"".join(map(self.pieces.__getitem__, found))
-        return b"".join([self.pieces[p] if len(p) <= self.KEEP else self._piece(p) for p in found])
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
     def decode_chunks(self, ids: bytes) -> Iterable[bytes]:
         for i in range(0, len(ids), 4 * self.PART):
