@@ -65,7 +65,7 @@ class State(dict):
 
 
 class Transducer:
-    MAX_ARCS, MAX_FITS = 150_000, 100_000
+    MAX_ARCS, MAX_FITS = 250_000, 100_000
     COMMIT = 512
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -235,7 +235,7 @@ class Codec:
         self.fst = Transducer(ranks)
         # \s of the pattern means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pieces = Pieces(self._piece, 120_000)
+        self.pieces = Pieces(self._piece, 160_000)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
 
     def _piece(self, piece: str) -> bytes:

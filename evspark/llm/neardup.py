@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import HOT_ROWS, IdCache, Repeats, as_bytes, as_texts, fresh, hits, join_group_facts, kept, mix64, small, small_batches, written
+from evspark.llm.shared import HOT_ROWS, IdCache, Repeats, as_bytes, as_texts, forget, fresh, hits, join_group_facts, mix64, small, small_batches, written
 
 BANDS, ROWS = 32, 5
 TRIES = 64
@@ -97,7 +97,8 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, permute = kept(("shingles", words), lambda: (Shingler(words), OnePermutation()))
+        forget()
+        shingle, permute = Shingler(words), OnePermutation()
         for b in batches:
             n, digest, bands = [], [], []
             for text in as_bytes(b.column(1)):
@@ -118,7 +119,8 @@ def shingle_sets(docs: DataFrame, words: int, wanted: Repeats, id_col: str, text
     held = docs.sparkSession.sparkContext.broadcast(wanted.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, _ = kept(("shingles", words), lambda: (Shingler(words), OnePermutation()))
+        forget()
+        shingle = Shingler(words)
         for b in batches:
             b = b.filter(pa.array(hits(held.value, np.asarray(b.column(2)), np.asarray(b.column(3)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["doc_id", "hashes"])

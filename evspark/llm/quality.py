@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, as_texts, fresh, kept, small_batches, uniform52, written
+from evspark.llm.shared import IdCache, as_texts, forget, fresh, small_batches, uniform52, written
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 STEP = np.uint64(0x9E3779B1)
@@ -73,7 +73,8 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
     rows = rows.select(F.col("target_id").isNotNull().alias("target"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, sums = kept(("buckets", buckets), lambda: Buckets(buckets)), np.zeros((2, buckets), np.int64)
+        forget()
+        of, sums = Buckets(buckets), np.zeros((2, buckets), np.int64)
         for b in batches:
             for target, text in zip(b.column(0).to_pylist(), as_texts(b.column(1)), strict=True):
                 for ids in of(text or ""):
@@ -104,10 +105,13 @@ def train(docs: DataFrame, good: DataFrame, buckets: int = 1 << 16, max_target:
 
 def log_weight(docs: DataFrame, model: Model, text_col: str = "text", span: int = SPAN) -> Column:
     held = small_batches(docs).sparkSession.sparkContext.broadcast(model.log_ratio)
+    state: dict = {}
 
     def weigh(texts: pa.Array) -> pa.Array:
-        table = held.value
-        of = kept(("buckets", len(table)), lambda: Buckets(len(table)))
+        if "of" not in state:
+            forget()
+            state["of"], state["table"] = Buckets(len(held.value)), held.value
+        of, table = state["of"], state["table"]
 
         def one(text: str | None) -> float:
             total, n = 0.0, 0

@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lower the session's Arrow batches to 1,000 rows and 16 MB from here on: rows are whole texts, and each task holds a
+    """Lower the session's Arrow batches to 1,000 rows and 8 MB from here on: rows are whole texts, and each task holds a
     batch in the JVM and in Python. The setting belongs to the session and is read when a plan runs, after this returns,
     so it stays lowered; a lower one is left alone. Sessions that mind hand over `docs` of a session.newSession()."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return df
 
 
@@ -131,6 +131,11 @@ def kept(key, make):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """For tasks that keep nothing: drop what this worker keeps for another operator, to have its memory."""
+    _KEPT.clear()
+
+
 def each_batch(make_row_batch):
     """Wrap a RecordBatch -> RecordBatch function for mapInArrow."""
 
