@@ -1,20 +1,28 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | context) = P(class | context) * P(token | class). The class of a token is its own for the most frequent
-ones and follows from a hash of its last two bytes for all others. The first factor is a softmax over classes whose
-logits are sums of weight rows: one for the pair of the two classes before (class n-gram) and hashed ones for the
-word before and, as skip features, for the words two and three back. The second factor is the smoothed share of the
-token's count in its class, which is what maximum entropy with only a bias a token comes to.
+P(token | context) = P(class | context) * P(branch | class, context) * P(leaf | class, branch, context) * P(token | leaf).
+The class of a token is its own for the most frequent ones and follows from a hash of its last two bytes for all others;
+the branch follows from its last three bytes and the leaf from the whole token, 16 of each. A frequent token is alone in
+its class and has no further factors.
+
+- Class: a softmax whose logits are sums of weight rows: one for the pair of the two classes before (class n-gram) and
+  hashed ones for the word before and, as skip features, for the words two and three back.
+- Branch: the smoothed log share of the branch in its class plus a weight row for the class and branch of the word before.
+- Leaf: the smoothed log share of the leaf in its branch plus a hashed weight row for the word before and the own branch,
+  so that a word's successors are told apart. These rows grow with the distinct tokens, up to 2^max_bits.
+- Token: the smoothed share of its count in its leaf.
 
 Training: in each round every task runs Adagrad steps on its part of the round's texts, starting from the same
 weights, and hands on each weight row's change times the row's use; Spark sums those, and their quotient is the
-update. The rounds' texts together are all training texts, so what is gathered grows with the corpus.
+update. The rounds' texts together are all training texts, so what is gathered grows with the corpus. The weights depend
+on how files split into tasks.
 
 Counts of all tokens are exact and stay distributed. The most frequent ones (`max_head` at most) are broadcast; the
 others leave the scoring pass as (document, token) rows and are joined to their counts.
 
-Null texts count as empty: one end token. Rows are told apart by a row number, so repeated ids do no harm. With
-nothing to learn from, all counts are 0 and the model is uniform over classes.
+Null texts count as empty: one end token. Very long texts are read whole, in parts of bounded size. Rows are told apart
+by a row number, so repeated ids do no harm. With nothing to learn from, all counts are 0 and the model is uniform over
+classes, branches and leaves.
 """
 
 from __future__ import annotations
@@ -22,7 +30,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log10
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import IdCache, as_bytes, count_floor, small_batches, written
+from evspark.llm.shared import as_bytes, count_floor, small_batches, written
 
 END = b" "  # no word holds a space
 SINGLE, SUFFIX = 8, 16
@@ -38,6 +45,9 @@ CLASSES = SINGLE + SUFFIX
 HASHED = 4096  # 12 bits
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 ROWS = CLASSES * CLASSES + 3 * HASHED
+WAYS = 16  # branches of a class, leaves of a branch
+LEAVES = CLASSES * WAYS * WAYS
+BRANCH_ROWS = CLASSES * WAYS * CLASSES
 STEP = 16_384
 NAN = float("nan")
 FLUSH = 300_000
@@ -50,45 +60,83 @@ class Model:
     v: int  # distinct ones
     single: dict[bytes, int]  # frequent token -> its class
     head: dict[bytes, int]  # frequent token -> count
-    class_n: np.ndarray
-    class_v: np.ndarray
-    weights: np.ndarray
+    leaf_mass: np.ndarray  # smoothed count of each leaf, one unknown token included
+    class_w: np.ndarray
+    branch_w: np.ndarray
+    leaf_w: np.ndarray
 
-    def class_of(self, token: bytes) -> int:
+    def leaf_of(self, token: bytes) -> int:
         c = self.single.get(token)
-        return c if c is not None else SINGLE + crc32(token[-2:]) % SUFFIX
+        return self.leaves([token])[0] if c is None else c * WAYS * WAYS
+
+    @staticmethod
+    def leaves(tokens: list[bytes]) -> np.ndarray:
+        """Leaf numbers of tokens that have no class of their own."""
+        two, three, whole = (np.fromiter(map(crc32, x), np.uint32, len(tokens)) for x in ([t[-2:] for t in tokens], [t[-3:] for t in tokens], tokens))
+        return ((SINGLE + two % SUFFIX) * WAYS + (three >> 8) % WAYS) * WAYS + (whole >> 20) % WAYS
+
+    def biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares of the branches in each class and of the leaves in each branch."""
+        leaf = self.leaf_mass.reshape(CLASSES, WAYS, WAYS)
+        branch = leaf.sum(axis=2)
+        return (
+            np.log(branch / branch.sum(axis=1, keepdims=True)).astype(np.float32),
+            np.log(leaf / branch[..., None]).reshape(-1, WAYS).astype(np.float32),
+        )
+
+
+class Ids(dict):
+    """word -> running number; new words wait in `fresh` for what is known of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(word)
+        return at
 
 
 class Reader:
-    """Texts -> arrays of classes and feature rows; what is known of a token is kept up to a bound."""
+    """Texts -> arrays of leaves and hashes; what is known of a token is kept up to a bound."""
 
     CAPACITY, PART = 250_000, 100_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.cls = np.zeros(self.CAPACITY, np.int32)
+        self.leaf = np.zeros(self.CAPACITY, np.int32)
         self.hash = np.zeros(self.CAPACITY, np.uint32)
-        self.log_c = np.zeros(self.CAPACITY)
-        self.words: list[bytes] = []
-        self.cache = IdCache(self._make, self.CAPACITY + 1)
-
-    def _make(self, w: bytes) -> int:
-        at = len(self.cache)
-        c = self.model.head.get(w)
-        self.cls[at], self.hash[at], self.log_c[at] = self.model.class_of(w), crc32(w), NAN if c is None else log10(c + 0.1)
-        return at
+        self.log_c = np.full(self.CAPACITY, NAN)
+        self.ids = Ids()
+
+    def _learn(self) -> None:
+        """Fill the arrays for the new words, all at once."""
+        new, m = self.ids.fresh, self.model
+        first, last = len(self.ids) - len(new), len(self.ids)
+        self.hash[first:last] = np.fromiter(map(crc32, new), np.uint32, len(new))
+        self.leaf[first:last] = m.leaves(new)
+        for w, c in m.single.items():
+            if self.ids.get(w, -1) >= first:
+                self.leaf[self.ids[w]] = c * WAYS * WAYS
+        if m.head:
+            n = np.fromiter((m.head.get(w, NAN) for w in new), float, len(new))
+            self.log_c[first:last] = np.log10(n + 0.1)
+        self.ids.fresh = []
 
     def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Class, hash and log10(count + 0.1) (NaN outside the head) of each token, and the tokens."""
+        """Leaf, hash and log10(count + 0.1) (NaN outside the head) of each token, and the tokens."""
         words = text.lower().split()
         words.append(END)
         parts = []
         for i in range(0, len(words), self.PART):
             part = words[i : i + self.PART]
-            if len(self.cache) + len(part) > self.CAPACITY:
-                self.cache.clear()
-            at = np.fromiter(map(self.cache.__getitem__, part), np.int64, len(part))
-            parts.append((self.cls[at], self.hash[at], self.log_c[at]))
+            if len(self.ids) + len(part) > self.CAPACITY:
+                self.ids = Ids()
+            at = np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part))
+            if self.ids.fresh:
+                self._learn()
+            parts.append((self.leaf[at], self.hash[at], self.log_c[at]))
         if len(parts) == 1:
             return *parts[0], words
         return *(np.concatenate(x) for x in zip(*parts, strict=True)), words
@@ -107,17 +155,28 @@ def features(cls: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def inner_rows(leaf: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight row of the branch factor and that of the leaf factor at each token of one text."""
+    before = np.concatenate((np.zeros(1, np.int32), leaf[:-1] // WAYS))
+    word = np.concatenate((np.zeros(1, np.uint32), hashes[:-1]))
+    own = (leaf // WAYS).astype(np.uint32)
+    hashed = ((word * FACTORS[0]) ^ (own * FACTORS[1])) * FACTORS[2] >> np.uint32(32 - bits)
+    return (before * CLASSES + leaf // (WAYS * WAYS)).astype(np.uint16), hashed
+
+
+def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     z = np.take(w, rows[0], axis=0)
     for r in rows[1:]:
         z += np.take(w, r, axis=0)
+    if bias is not None:
+        z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def log_prob(w: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class."""
-    z = _logits(w, rows)
+def log_prob(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of each token's class (branch, leaf)."""
+    z = _logits(w, rows, bias)
     own = z[np.arange(len(z)), classes]
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
@@ -128,8 +187,8 @@ class Adagrad:
         self.squares = np.full(weights.shape, 1e-2, np.float32)
         self.use = np.zeros(len(weights))
 
-    def step(self, rows: np.ndarray, classes: np.ndarray) -> None:
-        z = _logits(self.w, rows)
+    def step(self, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> None:
+        z = _logits(self.w, rows, bias)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(z)), classes] -= 1  # the gradient
@@ -165,14 +224,62 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _class_column(single: dict[bytes, int]) -> Column:
-    c = F.lit(SINGLE) + F.crc32(F.substring("token", -2, 2)) % SUFFIX
+def _leaf_column(single: dict[bytes, int]) -> Column:
+    """Model.leaf_of as a column."""
+    branch = F.shiftright(F.crc32(F.substring("token", -3, 3)), 8) % WAYS
+    leaf = ((SINGLE + F.crc32(F.substring("token", -2, 2)) % SUFFIX) * WAYS + branch) * WAYS + F.shiftright(F.crc32(F.col("token")), 20) % WAYS
     for token, k in single.items():
-        c = F.when(F.col("token") == F.lit(token), k).otherwise(c)
-    return c
+        leaf = F.when(F.col("token") == F.lit(token), k * WAYS * WAYS).otherwise(leaf)
+    return leaf
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float = 0.3, max_head: int = 1 << 18, seed: int = 3) -> tuple[Model, DataFrame]:
+class Trainer:
+    """One task's steps: texts are gathered until a step is full."""
+
+    def __init__(self, model: Model, rate: float):
+        self.model = model
+        self.reader, self.biases = Reader(model), model.biases()
+        self.bits = len(model.leaf_w).bit_length() - 1
+        self.parts = [Adagrad(w, rate) for w in (model.class_w, model.branch_w, model.leaf_w)]
+        self.held: list[tuple] = []
+        self.ready = 0
+
+    def add(self, text: bytes) -> None:
+        leaf, h, _, _ = self.reader.tokens(text)
+        self.held.append((features(leaf // (WAYS * WAYS), h), leaf, *inner_rows(leaf, h, self.bits)))
+        self.ready += len(leaf)
+        if self.ready >= STEP:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.ready:
+            return
+        rows, leaf, branch, low = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
+        self.held, self.ready = [], 0
+        for i in range(0, len(leaf), 2 * STEP):
+            x = leaf[i : i + 2 * STEP]
+            self.parts[0].step(rows[:, i : i + 2 * STEP], x // (WAYS * WAYS))
+            inner = np.flatnonzero(x >= SINGLE * WAYS * WAYS)
+            x = x[inner]
+            if len(x):
+                self.parts[1].step(branch[None, i + inner], x // WAYS % WAYS, self.biases[0][x // (WAYS * WAYS)])
+                self.parts[2].step(low[None, i + inner], x % WAYS, self.biases[1][x // WAYS])
+
+    def changes(self) -> Iterator[pa.RecordBatch]:
+        """row, use and the change times use of each weight row used; rows of the three parts are numbered on."""
+        first = 0
+        for ada, old in zip(self.parts, (self.model.class_w, self.model.branch_w, self.model.leaf_w), strict=True):
+            at = np.flatnonzero(ada.use)
+            change = (ada.w[at] - old[at]) * ada.use[at, None].astype(np.float32)
+            cols = [pa.array(np.ascontiguousarray(change[:, i])) if i < change.shape[1] else pa.nulls(len(at), pa.float32()) for i in range(CLASSES)]
+            yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(ada.use[at]), *cols], ["row", "use", *COLUMNS])
+            first += len(old)
+
+
+COLUMNS = [f"c{i}" for i in range(CLASSES)]
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float = 0.3, max_head: int = 1 << 18, max_bits: int = 17, seed: int = 3) -> tuple[Model, DataFrame]:
     """The model and the table of all token counts. docs are the training rows."""
     counts = written(token_counts(docs, text_col))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -180,46 +287,37 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float
     head = dict(zip(head_rows.column("token").to_pylist(), head_rows.column("n").to_pylist(), strict=True))
     top = sorted((t for t in head if t != END), key=lambda t: (-head[t], t))[: SINGLE - 1]
     single = {END: 0} | {t: i + 1 for i, t in enumerate(top)}
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(_class_column(single).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        class_n[r["c"]], class_v[r["c"]] = r["n"], r["v"]
-    model = Model(n, v, single, head, class_n, class_v, np.zeros((ROWS, CLASSES), np.float32))
+    mass = np.full(LEAVES, 0.1)
+    for r in counts.groupBy(_leaf_column(single).alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most LEAVES rows
+        mass[r["leaf"]] = r["n"] + 0.1 * (r["v"] + 1)
+    bits = min(max_bits, max(12, int(v).bit_length()))
+    light = Model(n, v, single, {}, mass, *(np.zeros(x, np.float32) for x in ((ROWS, CLASSES), (BRANCH_ROWS, WAYS), (1 << bits, WAYS))))  # training needs no head
     context = docs.sparkSession.sparkContext
-    light = Model(n, v, single, {}, class_n, class_v, model.weights)  # training needs classes only
     texts = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(text_col), F.lit(seed)), F.lit(rounds)).alias("round"))
-    names = [f"c{i}" for i in range(CLASSES)]
     for k in range(rounds):
         held = context.broadcast(light)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            model = held.value
-            reader, ada = Reader(model), Adagrad(model.weights, rate)
-            rows, classes, ready = [], [], 0
+            trainer = Trainer(held.value, rate)
             for b in batches:
                 for text in as_bytes(b.column(0)):
-                    cls, h, _, _ = reader.tokens(text)
-                    rows.append(features(cls, h))
-                    classes.append(cls)
-                    ready += len(cls)
-                    if ready >= STEP:
-                        x, y = np.concatenate(rows, axis=1), np.concatenate(classes)
-                        for i in range(0, len(y), 2 * STEP):
-                            ada.step(x[:, i : i + 2 * STEP], y[i : i + 2 * STEP])
-                        rows, classes, ready = [], [], 0
-            if ready:
-                ada.step(np.concatenate(rows, axis=1), np.concatenate(classes))
-            at = np.flatnonzero(ada.use)
-            change = (ada.w[at] - model.weights[at]) * ada.use[at, None]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ada.use[at]), *[pa.array(change[:, i].astype(np.float64)) for i in range(CLASSES)]], ["row", "use", *names])
-
-        changes = texts.filter(F.col("round") == k).select("text").mapInArrow(run, "row long, use double, " + ", ".join(f"{x} double" for x in names))
-        got = changes.groupBy("row").agg(F.sum("use").alias("use"), *[F.sum(x).alias(x) for x in names]).toArrow()  # at most ROWS rows
-        if got.num_rows:
-            at, use = got.column("row").to_numpy(), got.column("use").to_numpy()
-            w = light.weights.copy()
-            w[at] += (np.stack([got.column(x).to_numpy() for x in names], axis=1) / use[:, None]).astype(np.float32)
-            light = Model(n, v, single, {}, class_n, class_v, w)
-    return Model(n, v, single, head, class_n, class_v, light.weights), counts
+                    trainer.add(text)
+            trainer.flush()
+            yield from trainer.changes()
+
+        changes = texts.filter(F.col("round") == k).select("text").mapInArrow(run, "row long, use double, " + ", ".join(f"{x} float" for x in COLUMNS))
+        update = changes.groupBy("row").agg(F.sum("use").alias("use"), *[F.sum(x).alias(x) for x in COLUMNS])
+        got = update.select("row", *[(F.col(x) / F.col("use")).cast("float").alias(x) for x in COLUMNS]).orderBy("row").toArrow()  # at most the model's rows
+        at, first, new = got.column("row").to_numpy(), 0, []
+        for w in (light.class_w, light.branch_w, light.leaf_w):
+            lo, hi = np.searchsorted(at, (first, first + len(w)))
+            w = w.copy()
+            if hi > lo:
+                w[at[lo:hi] - first] += np.stack([got.column(x).slice(lo, hi - lo).to_numpy() for x in COLUMNS[: w.shape[1]]], axis=1)
+            new.append(w)
+            first += len(w)
+        light = Model(n, v, single, {}, mass, *new)
+    return Model(n, v, single, head, mass, light.class_w, light.branch_w, light.leaf_w), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column] | None = None, text_col: str = "text") -> DataFrame:
@@ -232,18 +330,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         reader = Reader(m)
-        class_log = np.log10(m.class_n + 0.1 * (m.class_v + 1))
+        leaf_log, biases, bits = np.log10(m.leaf_mass), m.biases(), len(m.leaf_w).bit_length() - 1
         for b in batches:
             n, known, log_c, shift, tail = [], [], [], [], []
             for text in as_bytes(b.column(0)):
-                cls, h, c, words = reader.tokens(text)
-                rows = features(cls, h)
-                s = -float(class_log[cls].sum())
+                leaf, h, c, words = reader.tokens(text)
+                s = -float(leaf_log[leaf].sum())
+                cls = leaf // (WAYS * WAYS)
+                rows, (branch, low) = features(cls, h), inner_rows(leaf, h, bits)
+                inner = np.flatnonzero(cls >= SINGLE)
                 for i in range(0, len(cls), STEP):
-                    s += float(log_prob(m.weights, rows[:, i : i + STEP], cls[i : i + STEP]).sum(dtype=np.float64)) / LOG10
+                    s += float(log_prob(m.class_w, rows[:, i : i + STEP], cls[i : i + STEP]).sum(dtype=np.float64)) / LOG10
+                for i in range(0, len(inner), STEP):
+                    at = inner[i : i + STEP]
+                    x = leaf[at]
+                    s += float(log_prob(m.branch_w, branch[None, at], x // WAYS % WAYS, biases[0][cls[at]]).sum(dtype=np.float64)) / LOG10
+                    s += float(log_prob(m.leaf_w, low[None, at], x % WAYS, biases[1][x // WAYS]).sum(dtype=np.float64)) / LOG10
                 rare = np.isnan(c)
-                n.append(len(cls))
-                known.append(int(len(cls) - rare.sum()))
+                n.append(len(leaf))
+                known.append(int(len(leaf) - rare.sum()))
                 log_c.append(float(c[~rare].sum()))
                 shift.append(s)
                 tail.append(list(Counter([words[i] for i in np.flatnonzero(rare)]).items()))

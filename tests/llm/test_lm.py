@@ -42,17 +42,37 @@ def test_model_beats_the_base_on_held_out(make):
 
 
 def test_probabilities_sum_to_one(make):
-    """Over the vocabulary and one unknown token of each class."""
+    """Over the vocabulary and one unknown token of each leaf."""
     model, counts = lm.train(make(corpus(60)))
-    share = np.zeros(lm.CLASSES)
+    share = 0.1 / model.leaf_mass
     for r in counts.collect():
-        k = model.class_of(bytes(r["token"]))
-        share[k] += (r["n"] + 0.1) / (model.class_n[k] + 0.1 * (model.class_v[k] + 1))
-    share += 0.1 / (model.class_n + 0.1 * (model.class_v + 1))
-    assert np.allclose(share, 1)
-    rows = lm.features(np.array([3, 0, 9], np.int32), np.array([5, 6, 7], np.uint32))
-    every = [np.exp(lm.log_prob(model.weights, rows, np.full(3, k))) for k in range(lm.CLASSES)]
+        leaf = model.leaf_of(bytes(r["token"]))
+        share[leaf] += (r["n"] + 0.1) / model.leaf_mass[leaf]
+    used = [k * 256 for k in range(lm.SINGLE)] + list(range(lm.SINGLE * 256, lm.LEAVES))
+    assert np.allclose(share[used], 1)
+    leaf, h = np.array([3, 8, 9], np.int32) * 256 + 37, np.array([5, 6, 7], np.uint32)
+    rows = lm.features(leaf // 256, h)
+    every = [np.exp(lm.log_prob(model.class_w, rows, np.full(3, k))) for k in range(lm.CLASSES)]
     assert np.allclose(sum(every), 1, atol=1e-5)
+    bits = len(model.leaf_w).bit_length() - 1
+    nodes = (leaf // 256, leaf // 16)
+    for w, x, bias, node in zip((model.branch_w, model.leaf_w), lm.inner_rows(leaf, h, bits), model.biases(), nodes, strict=True):
+        every = [np.exp(lm.log_prob(w, x[None], np.full(3, k), bias[node])) for k in range(16)]
+        assert np.allclose(sum(every), 1, atol=1e-5)
+
+
+def test_context_within_classes(make):
+    """Two words of one class and branch follow two others strictly: only the leaf factor can tell."""
+    from zlib import crc32
+
+    words = [a + b + "zzz" for a in "abcdefghij" for b in "klmnopqrst"]
+    x, y = next((a, b) for a in words for b in words if crc32(a.encode()) >> 20 & 15 != crc32(b.encode()) >> 20 & 15)
+    common = " ".join(f"f{i % 7} " * 3 for i in range(7))
+    rng = random.Random(1)
+    texts = [common + " ".join(rng.choice((f"left {x}", f"right {y}")) for _ in range(20)) for _ in range(300)]
+    model, counts = lm.train(make(list(enumerate(texts))), rounds=4)
+    right, wrong = (lm.score(make([(1, common + t)]), model, counts).first() for t in (f"left {x} right {y}", f"left {y} right {x}"))
+    assert abs(right["base_score"] - wrong["base_score"]) < 1e-9 and right["score"] > wrong["score"] + 0.3
 
 
 def test_nothing_to_learn_from(make):
@@ -63,25 +83,39 @@ def test_nothing_to_learn_from(make):
 
 
 def test_score_equals_brute_force(make):
-    """Token by token: softmax over classes from the rows of weights, times the token's smoothed share of its class."""
+    """Token by token: softmax over classes, branches and leaves from the rows of weights, times the token's smoothed share of its leaf."""
     from zlib import crc32
 
     train = [r for r in corpus(200) if r[0] % 10]
     model, counts = lm.train(make(train), max_head=8)
-    assert np.abs(model.weights).sum() > 0
+    assert all(np.abs(w).sum() > 0 for w in (model.class_w, model.branch_w, model.leaf_w))
     c = {bytes(r["token"]): r["n"] for r in counts.collect()}
+    leaf_n, leaf_v = Counter(), Counter()
+    for w, k in c.items():
+        leaf_n[int(model.leaf_of(w))] += k
+        leaf_v[int(model.leaf_of(w))] += 1
+    mass = lambda first, width: sum(leaf_n[x] + 0.1 * (leaf_v[x] + 1) for x in range(first, first + width))
     docs = [(1, "the cat ran unknown der"), (2, None), (3, "katze " * 40 + "zzz"), (1, "the cat ran unknown der"), (None, "mat")]
     got = lm.score(make(docs, clash=True), model, counts, keep=[F.col("text")]).collect()
     assert len(got) == len(docs)
     for r in got:
         t, total = tokens(r["text"]), 0.0
-        cls = [0, 0] + [model.class_of(w) for w in t]
+        leaf = [int(model.leaf_of(w)) for w in t]
+        cls = [0, 0] + [x // 256 for x in leaf]
         h = [0, 0, 0] + [crc32(w) for w in t]
         for i, w in enumerate(t):
             at = [cls[i + 1] * lm.CLASSES + cls[i]]
             for k in range(3):
                 at.append(((h[i + 2 - k] * int(lm.FACTORS[k])) % 2**32 >> 20) + lm.CLASSES**2 + k * lm.HASHED)
-            z = sum(model.weights[a].astype(float) for a in at)
-            k = model.class_of(w)
-            total += (z[k] - math.log(np.exp(z).sum())) / math.log(10) + math.log10((c.get(w, 0) + 0.1) / (model.class_n[k] + 0.1 * (model.class_v[k] + 1)))
+            z = sum(model.class_w[a].astype(float) for a in at)
+            k = cls[i + 2]
+            total += (z[k] - math.log(np.exp(z).sum())) / math.log(10) + math.log10((c.get(w, 0) + 0.1) / mass(leaf[i], 1))
+            if k < lm.SINGLE:
+                continue
+            node, before = leaf[i] // 16, leaf[i - 1] // 16 if i else 0
+            hashed = ((h[i + 2] * int(lm.FACTORS[0]) ^ node * int(lm.FACTORS[1])) % 2**32 * int(lm.FACTORS[2])) % 2**32 >> 33 - len(model.leaf_w).bit_length()
+            for weights, own, first, width in ((model.branch_w[before * lm.CLASSES + k], node % 16, k * 256, 16), (model.leaf_w[hashed], leaf[i] % 16, node * 16, 1)):
+                share = np.array([mass(first + j * width, width) for j in range(16)])
+                z = weights.astype(float) + np.log(share / share.sum())
+                total += (z[own] - math.log(np.exp(z).sum())) / math.log(10)
         assert abs(r["score"] - total) < 1e-4 * max(1, abs(total))
