@@ -49,6 +49,7 @@ WAYS = 16  # branches of a class, leaves of a branch
 LEAVES = CLASSES * WAYS * WAYS
 BRANCH_ROWS = CLASSES * WAYS * CLASSES
 STEP = 16_384
+EXTREME = 80.0  # logits beyond are cut, so that sums of their exponentials stay finite in single precision
 NAN = float("nan")
 FLUSH = 300_000
 LOG10 = float(np.log(10.0))
@@ -170,15 +171,14 @@ def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) ->
         z += np.take(w, r, axis=0)
     if bias is not None:
         z += bias
-    z -= z.max(axis=1, keepdims=True)
-    return z
+    return np.clip(z, -EXTREME, EXTREME, out=z)
 
 
 def log_prob(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each token's class (branch, leaf)."""
     z = _logits(w, rows, bias)
     own = z[np.arange(len(z)), classes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
 class Adagrad:
@@ -190,7 +190,7 @@ class Adagrad:
     def step(self, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> None:
         z = _logits(self.w, rows, bias)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
         z[np.arange(len(z)), classes] -= 1  # the gradient
         for r in rows:  # features have rows of their own, so one after the other is all at once
             order = np.argsort(r, kind="stable")
