@@ -307,7 +307,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float
 
         changes = texts.filter(F.col("round") == k).select("text").mapInArrow(run, "row long, use double, " + ", ".join(f"{x} float" for x in COLUMNS))
         update = changes.groupBy("row").agg(F.sum("use").alias("use"), *[F.sum(x).alias(x) for x in COLUMNS])
-        got = update.select("row", *[(F.col(x) / F.col("use")).cast("float").alias(x) for x in COLUMNS]).orderBy("row").toArrow()  # at most the model's rows
+        got = update.select("row", *[(F.col(x) / F.col("use")).cast("float").alias(x) for x in COLUMNS]).toArrow().sort_by("row")  # at most the model's rows
         at, first, new = got.column("row").to_numpy(), 0, []
         for w in (light.class_w, light.branch_w, light.leaf_w):
             lo, hi = np.searchsorted(at, (first, first + len(w)))
