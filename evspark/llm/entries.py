@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding, topk
+from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding, topk, word_bpe
 from evspark.llm.shared import table
 
 
@@ -147,6 +147,13 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = word_bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return word_bpe.encode(table(spark, sf_dir, "documents"), vocab)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -158,6 +165,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_interleaved_shards": op10_interleaved_shards,
+    "op11_word_bpe": op11_word_bpe,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op7_exact_topk": SQL_7, "op9_minhash_neardup": SQL_9}
