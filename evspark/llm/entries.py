@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, quality, secret_scan, sharding, topk, word_bpe
+from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, periodic, quality, secret_scan, sharding, topk, word_bpe
 from evspark.llm.shared import table
 
 
@@ -154,6 +155,22 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(table(spark, sf_dir, "documents"), vocab)
 
 
+def planted_periods(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by the checksum of its id, repeat with a period from some word on. A null id
+    has no checksum, and its words stay."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), least_words=6, power=4, prepare=planted_periods)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -166,6 +183,7 @@ QUERIES = {
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_interleaved_shards": op10_interleaved_shards,
     "op11_word_bpe": op11_word_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op7_exact_topk": SQL_7, "op9_minhash_neardup": SQL_9}
