@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evspark.llm import bpe, dedup, langid, lm, mixing, neardup, periodic, quality, secret_scan, sharding, topk, word_bpe
+from evspark.llm import bpe, dedup, hardneg, langid, lm, mixing, neardup, periodic, quality, secret_scan, sharding, topk, word_bpe
 from evspark.llm.shared import table
 
 
@@ -171,6 +171,34 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find_runs(table(spark, sf_dir, "documents"), least_words=6, power=4, prepare=planted_periods)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=Fraction(50, 100), high=Fraction(95, 100))
+
+
+SQL_13 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -184,8 +212,9 @@ QUERIES = {
     "op10_interleaved_shards": op10_interleaved_shards,
     "op11_word_bpe": op11_word_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op7_exact_topk": SQL_7, "op9_minhash_neardup": SQL_9}
+ORACLES = {"op4_exact_dedup": SQL_4, "op6_pareto_mixing": SQL_6, "op7_exact_topk": SQL_7, "op9_minhash_neardup": SQL_9, "op13_hard_negatives": SQL_13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
