@@ -13,6 +13,10 @@ from evspark.functions.predicates import condition
 from evspark.operators.joins import config_table
 
 
+#: Conditions in one word of a bit mask.
+MASK_BITS = 63
+
+
 @dataclass(frozen=True)
 class Condition:
     field: str
@@ -104,23 +108,35 @@ def long_fields(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return df.select(*key, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select(*key, "p.field", "p.value")
 
 
+def united_masks(hit: DataFrame, key: list[str]) -> DataFrame:
+    """key, rule_id, total, matched from rows of key and p (rule_id, total, word of the mask, mask)."""
+    words = hit.groupBy(*key, "p.rule_id", "p.total", "p.word").agg(F.bit_count(F.bit_or("p.mask")).alias("__met"))
+    return words.groupBy(*key, "rule_id", "total").agg(F.sum("__met").cast("int").alias("matched"))
+
+
 def match_indicators(fields: DataFrame, key: list[str], rules: Sequence[Rule], any_field: bool = False) -> DataFrame:
     """RL-02, RL-04, RL-06, RL-07: key, rule_id, matched (conditions met by any record of the key), total.
 
     fields is long form (key, source, field, value). Each condition is a column over one row's value; whichever row of
-    the key meets it counts once: a bit mask a rule, united by bit_or before and after the shuffle.
+    the key meets it counts once: bit masks of a rule, united by bit_or before and after the shuffle.
     """
     parts = []
     for r in rules:
-        mask = F.lit(0).cast("long")
+        masks: list[Column] = []
         for i, c in enumerate(r.conditions):
             met = condition(F.col("value"), c.operator, c.value)
             met = met if any_field else met & (F.lower("field") == c.field.lower())
             met = met & (F.lower("source") == c.source.lower()) if c.source else met
-            mask = mask.bitwiseOR(F.when(met, F.lit(1 << i)).otherwise(0).cast("long"))
-        parts.append(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.conditions)).alias("total"), mask.alias("mask")))
+            bit = F.when(met, F.lit(1 << i % MASK_BITS)).otherwise(0).cast("long")
+            if i % MASK_BITS:
+                masks[-1] = masks[-1].bitwiseOR(bit)
+            else:
+                masks.append(bit)
+        parts += [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.conditions)).alias("total"), F.lit(n).alias("word"), m.alias("mask")) for n, m in enumerate(masks)]
     hit = fields.select(*key, F.explode(F.filter(F.array(*parts), lambda p: p["mask"] != 0)).alias("p"))
-    return hit.groupBy(*key, "p.rule_id", "p.total").agg(F.bit_count(F.bit_or("p.mask")).alias("matched"))
+    if all(len(r.conditions) <= MASK_BITS for r in rules):  # one word a rule: nothing to sum
+        return hit.groupBy(*key, "p.rule_id", "p.total").agg(F.bit_count(F.bit_or("p.mask")).alias("matched"))
+    return united_masks(hit, key)
 
 
 def matched_rules(indicators: DataFrame, rules: Sequence[Rule], require_all: bool = False) -> DataFrame:
@@ -155,17 +171,10 @@ def broad_patterns(found: DataFrame, key: str, most: int = 100) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count_distinct(key).alias("n_matches")).withColumn("too_broad", F.col("n_matches") > most)
 
 
-def rule_terms(rules: Sequence[Rule]) -> list[str]:
-    """RL-09: lower-case terms of three letters or more."""
-    return sorted({t for r in rules for c in r.conditions if c.operator in ("equals", "contains") for t in re.split(r"[^a-z0-9_]+", str(c.value).lower()) if len(t) >= 3})
-
-
-def prefilter(df: DataFrame, text: Column, rules: Sequence[Rule]) -> DataFrame:
-    """RL-09: rows with a token that some rule names. A rule without terms may match anything, so all rows stay then."""
-    terms = rule_terms(rules)
-    sure = all(rule_terms([r]) for r in rules)
+def token_filter(df: DataFrame, text: Column, terms: Sequence[str]) -> DataFrame:
+    """RL-09 by whole tokens: rows with a token that is one of the terms. For rules see gram_index, which loses none."""
     tokens = F.split(F.lower(text), "[^a-z0-9_]+")
-    return df.filter(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in terms]))) if terms and sure else df
+    return df.filter(F.arrays_overlap(tokens, F.array(*[F.lit(t.lower()) for t in terms])))
 
 
 def same_source(a: Column, b: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from evspark.functions import predicates as P
 from evspark.functions import textfn as X
 from evspark.functions import timefn as TS
-from evspark.operators import infer, rules, search, timeline
+from evspark.operators import gram_index, infer, rules, search, timeline
+from evspark.operators.rule_index import RuleIndex
 from evspark.plans.registry import query
 from evspark.plans.tables import events, load, plain
 from evspark.sources import io
@@ -392,9 +393,51 @@ def broad_patterns(spark, sf_dir):
 
 @query("token_prefilter", r"SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ['password', 'license'])")
 def token_prefilter(spark, sf_dir):
-    """RL-09"""
-    r = rules.rules_of([{"rule_id": "a", "label": "A", "conditions": [{"field": "text", "operator": "contains", "value": "Password"}]}, {"rule_id": "b", "label": "B", "conditions": [{"field": "text", "operator": "contains", "value": "license"}]}])
-    return rules.prefilter(load(spark, sf_dir, "documents"), F.col("text"), r).select("doc_id")
+    """RL-09: by whole tokens"""
+    return rules.token_filter(load(spark, sf_dir, "documents"), F.col("text"), ["password", "license"]).select("doc_id")
+
+
+PREFILTER_RULES = rules.rules_of([
+    {"rule_id": "inner", "label": "Inside words", "conditions": [{"field": "text", "operator": "contains", "value": "icens"}, {"field": "source", "operator": "regex", "value": "src1|src7"}]},
+    {"rule_id": "either", "label": "Either", "logic": "OR", "conditions": [{"field": "text", "operator": "contains", "value": "Passwor"}, {"field": "text", "operator": "regex", "value": "akia|secret_key"}]},
+    {"rule_id": "two", "label": "Two of three", "logic": "OR", "min_indicators": 2, "conditions": [{"field": "text", "operator": "contains", "value": "token"}, {"field": "text", "operator": "contains", "value": "HTTP"}, {"field": "text", "operator": "contains", "value": "@"}]},
+])
+PREFILTER_SQL = """CASE WHEN contains(t, 'icens') AND regexp_matches(s, 'src1|src7') THEN 'inner' END, CASE WHEN contains(t, 'passwor') OR regexp_matches(t, 'akia|secret_key') THEN 'either' END,
+  CASE WHEN contains(t, 'token')::INT + contains(t, 'http')::INT + contains(t, '@')::INT >= 2 THEN 'two' END"""
+
+
+@query("exact_prefilter", f"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s FROM documents),
+r AS (SELECT doc_id, array_to_string(list_sort(list_filter([{PREFILTER_SQL}], lambda x: x IS NOT NULL)), ',') AS rule_ids FROM d)
+SELECT doc_id, rule_ids FROM r WHERE rule_ids <> ''""")
+def exact_prefilter(spark, sf_dir):
+    """RL-09: the rules' rows by way of the gram index, rules of AND, OR and a least number"""
+    docs = load(spark, sf_dir, "documents")
+    index = gram_index.GramIndex.build(docs, "doc_id", ["text"])
+    tagged = rules.tag_rows(index.prefilter(docs, PREFILTER_RULES), PREFILTER_RULES)
+    return tagged.select("doc_id", F.array_join("rule_ids", ",").alias("rule_ids")).filter("rule_ids <> ''")
+
+
+#: 1,200 rules whose conditions follow from their number, 3 to 80 each.
+SOURCES = ("view", "click", "purchase", "signup", "error")
+MANY_RULES = rules.rules_of([
+    {"rule_id": f"r{n}", "label": "x", "logic": "AND" if n % 2 else "OR", "min_indicators": 1 + n % 3 if n % 2 == 0 else 1, "conditions": [
+        {"field": "source", "operator": "equals", "value": SOURCES[n % 5].upper()}, {"field": "value", "operator": ">" if n % 4 < 2 else "<=", "value": n % 97}, {"field": "props", "operator": "contains", "value": f'": {n % 10}'},
+        *[{"field": "user_id", "operator": "equals", "value": 1000 * n + i} for i in range(77) if n % 100 == 0]]}
+    for n in range(1200)
+])
+
+
+@query("rule_index_tags", """
+WITH h AS (
+  SELECT e.event_id, r.n, (event_type = (['view', 'click', 'purchase', 'signup', 'error'])[r.n % 5 + 1])::INT + (CASE WHEN r.n % 4 < 2 THEN value > r.n % 97 ELSE value <= r.n % 97 END)::INT
+    + contains(props, '": ' || (r.n % 10))::INT + (CASE WHEN r.n % 100 = 0 THEN (user_id BETWEEN 1000 * r.n AND 1000 * r.n + 76)::INT ELSE 0 END) AS met
+  FROM events e, (SELECT unnest(range(1200)) AS n) r)
+SELECT event_id, count(*) AS n_rules, min('r' || n) AS first_rule, max('r' || n) AS last_rule FROM h WHERE met >= CASE WHEN n % 2 = 1 THEN 3 ELSE 1 + n % 3 END GROUP BY event_id""")
+def rule_index_tags(spark, sf_dir):
+    """RL-03, RL-06: 1,200 rules through the index of predicates"""
+    tagged = RuleIndex(spark, MANY_RULES).tag_rows(events(spark, sf_dir)).filter(F.size("rule_ids") > 0)
+    return tagged.select("event_id", F.size("rule_ids").cast("long").alias("n_rules"), F.array_min("rule_ids").alias("first_rule"), F.array_max("rule_ids").alias("last_rule"))
 
 
 MAPPINGS = [("source", "CLICK", "Interaction", 0.8, "global"), ("source", "click", "Tap", 0.9, "wing"), ("source", "error", "Failure", 1.0, "global"), ("source", "error", "Crash", 0.5, "pipeline")]
