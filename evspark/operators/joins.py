@@ -15,24 +15,54 @@ def us(c: str | Column) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def config_table(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table of configuration, counted against a bound and broadcast; more rows than that are an error."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"a configuration table of more than {most} rows")
-    return F.broadcast(df)
+BROADCAST_ROWS = 100_000
 
 
-def band_join(anchors: DataFrame, rows: DataFrame, seconds: int, anchor_ts: str, row_ts: str, on: list[str] | None = None) -> DataFrame:
+def config_table(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of configuration, counted against a bound and broadcast; a larger one is left to a shuffle."""
+    return df if df.limit(most + 1).count() > most else F.broadcast(df)
+
+
+def cell_join(left: DataFrame, right: DataFrame, on: list[str], side: int = 10_000) -> DataFrame:
+    """An equi-join in which no key is one task's work (cells)."""
+    x, y, keys = cells(left, right, on, side)
+    return x.join(y, keys).drop(*keys[len(on) :])
+
+
+def cells(left: DataFrame, right: DataFrame, on: list[str], side: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equi-join, made ready for one on finer keys. A key's pairs are a matrix of its left and right
+    rows; where one of the sides has more than `side` rows, the matrix is cut into cells of about that size. A left row
+    takes a line of cells, a right row a column, so that each pair meets in exactly one cell.
+
+    Both sides are counted by key first. A key that is cut has over `side` rows on one side, so such keys are few; they
+    are broadcast behind a count (config_table).
+    """
+    n = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    cut = lambda c: F.ceil(F.col(c) / side).cast("int")
+    hot = n(left, "__l").join(n(right, "__r"), on).filter((F.col("__l") > side) | (F.col("__r") > side)).select(*on, cut("__l").alias("__lines"), cut("__r").alias("__columns"))
+    hot = written(hot)
+    if hot.isEmpty():
+        return left, right, on
+    hot = config_table(hot)
+    at = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(parts), F.lit(1))).cast("int")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    x = left.join(hot, on, "left").withColumn("__line", at("__lines")).withColumn("__column", all_of("__columns")).drop("__lines", "__columns")
+    y = right.join(hot, on, "left").withColumn("__column", at("__columns")).withColumn("__line", all_of("__lines")).drop("__lines", "__columns")
+    return x, y, [*on, "__line", "__column"]
+
+
+def band_join(anchors: DataFrame, rows: DataFrame, seconds: int, anchor_ts: str, row_ts: str, on: list[str] | None = None, side: int = 10_000) -> DataFrame:
     """JN-01: every anchor with every row within +-seconds (both ends inclusive), `dt_s` apart.
 
     Anchors are copied to three neighbouring time buckets of that width, so the join is an equi-join on the bucket
-    (and `on`), checked exactly afterwards. No pair is met twice, since a row lies in one bucket.
+    (and `on`), checked exactly afterwards. No pair is met twice, since a row lies in one bucket. A crowded bucket is
+    cut into cells (cell_join).
     """
     width = seconds * US
     at = F.floor(us(anchor_ts) / width)
     a = anchors.withColumn("__bucket", F.explode(F.array(at - 1, at, at + 1)))
     b = rows.withColumn("__bucket", F.floor(us(row_ts) / width))
-    j = a.join(b, ["__bucket", *(on or [])])
+    j = cell_join(a, b, ["__bucket", *(on or [])], side)
     gap = us(row_ts) - us(anchor_ts)
     return j.filter(F.abs(gap) <= width).withColumn("dt_s", F.abs(gap) / F.lit(float(US))).drop("__bucket")
 
@@ -94,26 +124,28 @@ def overlaps(start: Column, end: Column, lo, hi) -> Column:
     return (start <= lit(hi)) & (end >= lit(lo))
 
 
-def interval_join(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str, seconds: int) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str, seconds: int, side: int = 10_000) -> DataFrame:
     """JN-07 between tables: closed intervals that overlap.
 
     They do if the later start lies within the other interval, so each pair comes from one of two joins of points with
-    intervals. Buckets have widths of `seconds` times a power of 64, one level a power; an interval goes to the level
-    where it covers two buckets at most, however long it is, and a point to its one bucket of each level.
+    intervals. Buckets have widths of `seconds` times a power of 8, one level a power; an interval goes to the level
+    where it covers two buckets at most, however long it is, and a point to its one bucket of each level that holds
+    intervals at all. Wide buckets gather many points: those are cut into cells (cell_join).
     """
     base, levels = seconds * US, 1
-    while base * 64 ** (levels - 1) < 1 << 56:
+    while base * 8 ** (levels - 1) < 1 << 56:
         levels += 1
-    widths = [base * 64**k for k in range(levels)]
+    widths = [base * 8**k for k in range(levels)]
     level_of = lambda s, e: sum([F.when(us(e) - us(s) > w, 1).otherwise(0) for w in widths[:-1]], F.lit(0))
     slot = lambda k, t: F.floor(t / F.element_at(F.array(*[F.lit(w) for w in widths]), k + 1))
 
     def within(points: DataFrame, start: str, spans: DataFrame, s: str, e: str, strict: bool) -> DataFrame:
-        k = F.col("__level")
-        p = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("__b", slot(k, us(start)))
-        i = spans.withColumn("__level", level_of(s, e)).withColumn("__b", F.explode(F.sequence(slot(k, us(s)), slot(k, us(e)))))
+        k, held = F.col("__level"), spans.withColumn("__level", level_of(s, e))
+        used = sorted(r["__level"] for r in held.select("__level").distinct().collect())  # at most `levels` numbers
+        p = points.withColumn("__level", F.explode(F.array(*[F.lit(u) for u in used]).cast("array<int>"))).withColumn("__b", slot(k, us(start)))
+        i = held.withColumn("__b", F.explode(F.sequence(slot(k, us(s)), slot(k, us(e)))))
         after = us(start) > us(s) if strict else us(start) >= us(s)
-        return p.join(i, ["__level", "__b"]).filter(after & (us(start) <= us(e))).drop("__level", "__b")
+        return cell_join(p, i, ["__level", "__b"], side).filter(after & (us(start) <= us(e))).drop("__level", "__b")
 
     x, y = a.filter(F.col(a_start) <= F.col(a_end)), b.filter(F.col(b_start) <= F.col(b_end))
     names = [*a.columns, *b.columns]
@@ -153,19 +185,24 @@ def records_with_names(records: DataFrame, names: DataFrame, info: DataFrame, ke
     return records.join(best, key, "left").join(info, key, "left")
 
 
-def records_with_journal(records: DataFrame, journal: DataFrame, key: str = "record_number", frn: str = "frn", unique: list[str] | None = None, skip_zero: bool = True) -> DataFrame:
+def records_with_journal(records: DataFrame, journal: DataFrame, key: str = "record_number", frn: str = "frn", unique: list[str] | None = None, skip_zero: bool = True, order: list[str] | None = None) -> DataFrame:
     """JN-14: file records left-joined to journal events by the 48-bit record number; HIGH confidence where one matched."""
     mask = F.lit((1 << 48) - 1)
     events = journal.withColumn("__k", F.col(frn).cast("long").bitwiseAND(mask))
     events = events.filter("__k <> 0") if skip_zero else events
     j = records.join(events, F.col(key) == F.col("__k"), "left").withColumn("confidence", F.when(F.col("__k").isNotNull(), "HIGH").otherwise("MEDIUM")).drop("__k")
-    return insert_or_ignore(j, unique) if unique else j
+    return insert_or_ignore(j, unique, order) if unique else j
 
 
-def insert_or_ignore(df: DataFrame, keys: list[str]) -> DataFrame:
-    """ST-04: one row a key; keys with a null never collide."""
+def insert_or_ignore(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """ST-04: of the rows of a key the first one stays, by `order` and then by all other columns (of equal rows any is the
+    same); keys with a null never collide. Sums by key: a hot key's rows are narrowed down before they are shuffled."""
     has_null = F.greatest(*[F.col(k).isNull().cast("int") for k in keys]) == 1 if len(keys) > 1 else F.col(keys[0]).isNull()
-    return df.filter(~has_null).dropDuplicates(keys).unionByName(df.filter(has_null))
+    sortable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rank = [*(order or []), *[c for c in sortable if c not in (order or [])]]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in rank])).alias("__row")
+    kept = df.filter(~has_null).groupBy(*keys).agg(first).select("__row.*")
+    return kept.unionByName(df.filter(has_null))
 
 
 def enrich(base: DataFrame, dictionary: DataFrame, column: str, table: str, shown: str | None = None) -> DataFrame:
@@ -177,16 +214,18 @@ def enrich(base: DataFrame, dictionary: DataFrame, column: str, table: str, show
     return j.withColumn(shown or f"{column}_shown", text)
 
 
-def parent_paths(nodes: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name", root: int = 5, levels: int = 16) -> DataFrame:
+def parent_paths(nodes: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name", root: int = 5) -> DataFrame:
     """JN-17: key, path: names from the root down, by pointer doubling: after k rounds a row knows 2^k ancestors.
 
     A chain ends at the root (`./`), at a parent that doesn't exist (`[Unknown Parent: n]`), or, if it runs in a circle,
-    at `[Unknown]`. Each round is one equi-join; nothing is collected.
+    at `[Unknown]`. Each round is one equi-join; nothing is collected. Rounds go on until one ends
+    no further chain: a chain of more than 2^k ancestors has some of just over 2^k, so only circles are left then.
     """
     named = nodes.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("up"), F.col(name).alias("path"))
     is_root = (F.col("id") == root) | (F.col("up") == F.col("id"))
     named = named.withColumn("path", F.when(F.col("id") == root, F.lit(".")).otherwise(F.col("path"))).withColumn("up", F.when(is_root, None).otherwise(F.col("up"))).withColumn("done", F.col("up").isNull())
-    for _ in range(levels):
+    left = None
+    while True:
         above = named.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("done").alias("a_done"))
         j = named.join(above, F.col("up") == F.col("a_id"), "left")
         lost = ~F.col("done") & F.col("a_id").isNull()
@@ -197,7 +236,8 @@ def parent_paths(nodes: DataFrame, key: str = "id", parent: str = "parent_id", n
             (F.col("done") | lost | F.coalesce("a_done", F.lit(False))).alias("done"),
         )
         named = written(step)
-        if not named.filter("not done").limit(1).count():
+        before, left = left, named.filter("not done").count()
+        if left in (0, before):
             break
     return named.select(F.col("id").alias(key), F.when(F.col("done"), F.col("path")).otherwise("[Unknown]").alias("path"))
 

@@ -9,11 +9,72 @@ from evspark.operators.joins import US, us
 from evspark.storage import written
 
 
-def name_changes(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """WN-01: rows where one of the columns differs from the row before, with the old values as prev_*; distinct."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    for c in columns:
-        df = df.withColumn(f"prev_{c}", F.lag(c).over(w))
+DAY_S = 86_400
+#: Rows of a slice, if all were of one key: what one task's window may hold.
+SLICE_ROWS = 1_000_000
+
+
+def slices(df: DataFrame, at: Column, rows: int = SLICE_ROWS) -> Column | None:
+    """The slice of each row along its order, a whole number `at`: as wide as holds `rows` rows of the table on average, so
+    that a key with most of the rows is cut too. None where the whole table has no more rows than that: there is nothing
+    to cut. Rows without a place come first, as in any order."""
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    if n <= rows or lo is None:
+        return None
+    return F.coalesce(F.floor(at / max(1, (hi - lo + 1) * rows // n)), F.lit(-(1 << 62)))
+
+
+def _with_key(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
+    """The key as one column (null keys are a key), or none for one order over all rows."""
+    return (df.withColumn("__k", F.struct(*key)), ["__k"]) if key else (df, [])
+
+
+def beside(df: DataFrame, key: list[str], order: list[Column], near: dict[str, Column], slice_: Column | None, step: int = -1) -> DataFrame:
+    """df with the values of the row before (step -1) or after (1) in its key's order, null where there is none: lag and
+    lead without a key's rows in one task.
+
+    Rows are cut into slices of their key's order (`slice_` never falls along it). Inside a slice a window does; across
+    slices each hands on one row, its last (first), to the next slice that has rows, where it stands before (after) the
+    others. So the only order over a whole key is one over its slices.
+    """
+    if slice_ is None:
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.select("*", *[(F.lag if step < 0 else F.lead)(v).over(w).alias(name) for name, v in near.items()])
+    rows, k = _with_key(df.withColumn("__slice", slice_), key)
+    values, rank = F.struct(*[v.alias(name) for name, v in near.items()]), F.struct(*order)
+    edge = (F.max_by if step < 0 else F.min_by)(F.struct(values.alias("values"), rank.alias("rank")), rank)
+    slices = rows.groupBy(*k, "__slice").agg(edge.alias("__edge"))
+    w = Window.partitionBy(*k).orderBy("__slice")
+    taken = (F.lag if step < 0 else F.lead)("__edge").over(w)
+    slices = slices.select(*k, "__slice", taken.alias("__edge")).filter("__edge is not null")
+    whole = rows.withColumn("__values", values).withColumn("__rank", rank).withColumn("__own", F.lit(True))
+    handed = slices.select(*k, "__slice", F.col("__edge.values").alias("__values"), F.col("__edge.rank").alias("__rank"), F.lit(False).alias("__own"))
+    inner = Window.partitionBy(*k, "__slice").orderBy(*[F.col("__rank")[f] for f in whole.schema["__rank"].dataType.names], "__own" if step < 0 else F.col("__own").desc())
+    found = whole.unionByName(handed, allowMissingColumns=True).withColumn("__near", (F.lag if step < 0 else F.lead)("__values").over(inner)).filter("__own")
+    for name in near:
+        found = found.withColumn(name, F.col("__near")[name])
+    return found.drop("__slice", "__values", "__rank", "__own", "__near", *k)
+
+
+def counted_before(df: DataFrame, key: list[str], order: list[Column], hit: Column, slice_: Column | None, name: str, own: bool) -> DataFrame:
+    """df with how many rows of its key up to each row (the row itself included if `own`) are hits: counts inside a slice
+    by a window, and those of the slices before from one row a slice."""
+    if slice_ is None:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+        return df.withColumn(name, F.coalesce(F.count_if(hit).over(w), F.lit(0)))
+    rows, k = _with_key(df.withColumn("__slice", slice_).withColumn("__hit", F.coalesce(hit.cast("long"), F.lit(0))), key)
+    slices = rows.groupBy(*k, "__slice").agg(F.sum("__hit").alias("__hits"))
+    earlier = F.sum("__hits").over(Window.partitionBy(*k).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select(*k, "__slice", F.coalesce(earlier, F.lit(0)).alias("__offset"))
+    w = Window.partitionBy(*k, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    inner = rows.withColumn("__inner", F.coalesce(F.sum("__hit").over(w), F.lit(0)))
+    return inner.join(slices, [*k, "__slice"]).withColumn(name, F.col("__inner") + F.col("__offset")).drop("__slice", "__hit", "__inner", "__offset", *k)
+
+
+def name_changes(df: DataFrame, key: list[str], order: list[str], columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """WN-01: rows where one of the columns differs from the row before, with the old values as prev_*; distinct. The first
+    of `order` is a time."""
+    df = beside(df, key, [F.col(c) for c in order], {f"prev_{c}": F.col(c) for c in columns}, slices(df, us(order[0]), slice_rows))
     changed = [F.col(f"prev_{c}").isNotNull() & (F.col(f"prev_{c}") != F.col(c)) for c in columns]
     hit = changed[0]
     for c in changed[1:]:
@@ -21,35 +82,45 @@ def name_changes(df: DataFrame, key: list[str], order: list[str], columns: list[
     return df.filter(hit).dropDuplicates([*key, *columns, *[f"prev_{c}" for c in columns]])
 
 
-def islands(df: DataFrame, key: list[str], ts: str, seconds: int, tie: list[str] | None = None, name: str = "island") -> DataFrame:
-    """WN-02, WN-03 with a key: a row starts a new island when its gap from the row before is over `seconds`."""
-    w = Window.partitionBy(*key).orderBy(us(ts), *(tie or []))
-    new = F.when(us(ts) - F.lag(us(ts)).over(w) > seconds * US, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def global_islands(df: DataFrame, ts: str, seconds: int, tie: list[str] | None = None, slice_seconds: int = 86_400, name: str = "island") -> DataFrame:
-    """WN-02 over one global order, without one task for all rows.
+def islands(df: DataFrame, key: list[str], ts: str, seconds: int, tie: list[str] | None = None, name: str = "island", slice_rows: int = SLICE_ROWS, slice_seconds: int | None = None) -> DataFrame:
+    """WN-02, WN-03: a row starts a new island when its gap from the row before is over `seconds`. Rows without a time
+    are of the first island. An empty key gives one order over all rows.
 
-    Rows are cut into time slices. Inside a slice the gaps are found by a window; across slices only each slice's
-    first and last instant and its number of breaks matter: one row a slice, over which the offsets are summed.
+    Rows are cut into slices of time (`slices`, or as wide as asked for). Inside a slice the gaps are found and counted by
+    windows; across slices only each slice's first and last instant and its number of breaks matter: one row a slice, over
+    which the offsets are summed.
     """
-    df = df.withColumn("__slice", F.floor(us(ts) / (slice_seconds * US)))
-    w = Window.partitionBy("__slice").orderBy(us(ts), *(tie or []))
-    inner = df.withColumn("__new", F.when(us(ts) - F.lag(us(ts)).over(w) > seconds * US, 1).otherwise(0)).withColumn("__no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = df.groupBy("__slice").agg(F.min(us(ts)).alias("lo"), F.max(us(ts)).alias("hi")).join(inner.groupBy("__slice").agg(F.max("__no").alias("breaks")), "__slice")
-    order = Window.orderBy("__slice")
-    starts = F.when(F.col("lo") - F.lag("hi").over(order) > seconds * US, 1).otherwise(0)
-    edge = edge.withColumn("starts", starts).withColumn("offset", F.sum(F.col("starts") + F.coalesce(F.lag("breaks").over(order), F.lit(0))).over(order))
-    return inner.join(edge.select("__slice", "offset"), "__slice").withColumn(name, F.col("__no") + F.col("offset")).drop("__slice", "__new", "__no", "offset")
-
-
-def gap_clusters(df: DataFrame, key: list[str], ts: str, seconds: int, least: int = 1, extra: list[Column] | None = None) -> DataFrame:
+    width, order = seconds * US, [us(ts), *(tie or [])]
+    slice_ = F.floor(us(ts) / (slice_seconds * US)) if slice_seconds else slices(df, us(ts), slice_rows)
+    if slice_ is None and not key:
+        slice_ = F.floor(us(ts) / (DAY_S * US))
+    new = lambda rows, by, w: rows.withColumn("__new", F.when(us(ts) - F.lag(us(ts)).over(w.orderBy(*by)) > width, 1).otherwise(0))
+    if slice_ is None:
+        w = Window.partitionBy(*key)
+        return new(df, order, w).withColumn(name, F.sum("__new").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    timed, k = _with_key(df.filter(F.col(ts).isNotNull()).withColumn("__slice", slice_), key)
+    cut = [*k, "__slice"]
+    w = Window.partitionBy(*cut)
+    inner = new(timed, order, w).withColumn("__no", F.sum("__new").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    edge = new(timed.select(*cut, ts), [us(ts)], w).groupBy(*cut).agg(F.min(us(ts)).alias("__lo"), F.max(us(ts)).alias("__hi"), F.sum("__new").alias("__breaks"))
+    over = Window.partitionBy(*k).orderBy("__slice")
+    starts = F.when(F.col("__lo") - F.lag("__hi").over(over) > width, 1).otherwise(0) + F.coalesce(F.lag("__breaks").over(over), F.lit(0))
+    edge = edge.withColumn("__starts", starts).select(*cut, F.sum("__starts").over(over).alias("__offset"))
+    found = inner.join(edge, cut).withColumn(name, F.col("__no") + F.col("__offset")).drop("__slice", "__new", "__no", "__offset", *k)
+    return found.unionByName(df.filter(F.col(ts).isNull()).withColumn(name, F.lit(0).cast("long")))
+
+
+def global_islands(df: DataFrame, ts: str, seconds: int, tie: list[str] | None = None, slice_seconds: int | None = None, name: str = "island") -> DataFrame:
+    """WN-02 over one global order."""
+    return islands(df, [], ts, seconds, tie, name, slice_seconds=slice_seconds)
+
+
+def gap_clusters(df: DataFrame, key: list[str], ts: str, seconds: int, least: int = 1, extra: list[Column] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-02..WN-04: start, end, duration, number of rows of each island; small ones can be left out.
 
     Rows without a time form one island more for each key, with null times.
     """
-    rows = islands(df, key, ts, seconds).withColumn("island", F.when(F.col(ts).isNotNull(), F.col("island")).otherwise(-1).cast("long"))
+    rows = islands(df, key, ts, seconds, slice_rows=slice_rows).withColumn("island", F.when(F.col(ts).isNotNull(), F.col("island")).otherwise(-1).cast("long"))
     out = rows.groupBy(*key, "island").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *(extra or []))
     out = out.filter(F.col("n") >= least) if least > 1 else out
     return out.withColumn("duration_s", (us("end_ts") - us("start_ts")) / F.lit(float(US)))
@@ -61,11 +132,6 @@ def session_anchors(df: DataFrame, key: list[str], ts: str, seconds: int, extra:
     return df.groupBy(*key, w).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *(extra or [])).drop("w")
 
 
-def _with_key(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
-    """The key as one column (null keys are a key), or none for one order over all rows."""
-    return (df.withColumn("__k", F.struct(*key)), ["__k"]) if key else (df, [])
-
-
 def cluster_starts(instants: DataFrame, key: list[str], width: int) -> DataFrame:
     """key, __b, __t: where clusters start among distinct instants (key, __b, __t); __b is the instant's bucket of `width`
     microseconds.
@@ -157,11 +223,11 @@ def power_events(df: DataFrame, event_id: str = "event_id") -> DataFrame:
     return df.withColumn("kind", F.element_at(F.create_map(*pairs), F.col(event_id).cast("int"))).filter("kind is not null")
 
 
-def power_sessions(df: DataFrame, key: list[str], ts: str, is_open: Column, is_close: Column, tie: list[str] | None = None) -> DataFrame:
+def power_sessions(df: DataFrame, key: list[str], ts: str, is_open: Column, is_close: Column, tie: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-12: the first opener starts a session, the next closer ends it; further openers don't count; an open tail
     stays open. Island number = closers before the row."""
-    w = Window.partitionBy(*key).orderBy(us(ts), *(tie or [])).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.filter(is_open | is_close).withColumn("island", F.coalesce(F.count_if(is_close).over(w), F.lit(0)))
+    rows = df.filter(is_open | is_close)
+    rows = counted_before(rows, key, [us(ts), *(tie or [])], is_close, slices(rows, us(ts), slice_rows), "island", own=False)
     out = rows.groupBy(*key, "island").agg(F.min(F.when(is_open, F.col(ts))).alias("start_ts"), F.min(F.when(is_close, F.col(ts))).alias("end_ts"))
     return out.filter("start_ts is not null").drop("island").withColumn("duration_s", (us("end_ts") - us("start_ts")) / F.lit(float(US)))
 
@@ -171,13 +237,12 @@ def uptime(sessions: DataFrame, key: list[str]) -> DataFrame:
     return sessions.groupBy(*key).agg(F.count(F.lit(1)).alias("n_sessions"), F.count("end_ts").alias("n_completed"), F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("uptime_s"), F.avg("duration_s").alias("avg_s"))
 
 
-def session_bands(df: DataFrame, key: list[str], ts: str, opens: Column, closes: Column, shutdowns: Column, tie: list[str] | None = None) -> DataFrame:
+def session_bands(df: DataFrame, key: list[str], ts: str, opens: Column, closes: Column, shutdowns: Column, tie: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-15: every opener makes a band up to the next own event or shutdown: `closed`, `superseded` by another
     opener, `shutdown`, or `ongoing`; a band is dirty if it wasn't closed by its own closer."""
     kind = F.when(opens, "open").when(closes, "close").when(shutdowns, "shutdown")
     rows = df.withColumn("__kind", kind).filter("__kind is not null")
-    w = Window.partitionBy(*key).orderBy(us(ts), *(tie or []))
-    rows = rows.withColumn("end_ts", F.lead(ts).over(w)).withColumn("__next", F.lead("__kind").over(w)).filter("__kind = 'open'")
+    rows = beside(rows, key, [us(ts), *map(F.col, tie or [])], {"end_ts": F.col(ts), "__next": F.col("__kind")}, slices(rows, us(ts), slice_rows), 1).filter("__kind = 'open'")
     end = F.when(F.col("__next") == "close", "closed").when(F.col("__next") == "open", "superseded").when(F.col("__next") == "shutdown", "shutdown").otherwise("ongoing")
     return rows.select(*key, F.col(ts).alias("start_ts"), "end_ts", end.alias("end_kind"), (end != "closed").alias("dirty"))
 
@@ -200,16 +265,16 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def sequence_gaps(df: DataFrame, volume: list[str], usn: str, length: Column) -> DataFrame:
+def sequence_gaps(df: DataFrame, volume: list[str], usn: str, length: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-18: where the next record doesn't start where this one ends."""
-    w = Window.partitionBy(*volume).orderBy(usn)
-    start, end = F.col(usn) + length, F.lead(usn).over(w)
-    return df.select(*volume, start.alias("gap_start"), end.alias("gap_end"), (end - start).alias("gap_size")).filter("gap_size > 0")
+    rows = beside(df.withColumn("__end", F.col(usn) + length), volume, [F.col(usn)], {"gap_end": F.col(usn)}, slices(df, F.col(usn).cast("long"), slice_rows), 1)
+    gap = F.col("gap_end") - F.col("__end")
+    return rows.select(*volume, F.col("__end").alias("gap_start"), "gap_end", gap.alias("gap_size")).filter("gap_size > 0")
 
 
-def activity_intervals(df: DataFrame, app: list[str], ts: str, duration_s: Column, least_s: float = 20.0, tie: list[str] | None = None) -> DataFrame:
+def activity_intervals(df: DataFrame, app: list[str], ts: str, duration_s: Column, least_s: float = 20.0, tie: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-19: intervals that end at ts and last the duration (at least 20 s), starting no earlier than the same app's
     previous end."""
-    w = Window.partitionBy(*app).orderBy(us(ts), *(tie or []))
     start = us(ts) - F.round(F.greatest(duration_s, F.lit(least_s)) * US).cast("long")
-    return df.withColumn("start_ts", F.timestamp_micros(F.greatest(start, F.lag(us(ts)).over(w)))).withColumn("end_ts", F.col(ts).cast("timestamp"))
+    rows = beside(df.withColumn("__start", start), app, [us(ts), *map(F.col, tie or [])], {"__before": us(ts)}, slices(df, us(ts), slice_rows))
+    return rows.withColumn("start_ts", F.timestamp_micros(F.greatest("__start", "__before"))).withColumn("end_ts", F.col(ts).cast("timestamp")).drop("__start", "__before")

@@ -306,11 +306,11 @@ def identities_with_evidence(spark, sf_dir):
 @query("interval_overlap", """
 WITH o AS (SELECT o_orderkey, min(o_orderdate) AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING min(o_orderdate) <= max(l_shipdate)),
 m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::TIMESTAMP AS ms FROM orders)
-SELECT ms AS month_start, count(*) AS n FROM o JOIN m ON s <= ms + INTERVAL 20 DAY AND e >= ms WHERE e < s + INTERVAL 300 DAY GROUP BY 1""")
+SELECT ms AS month_start, count(*) AS n FROM o JOIN m ON s <= ms + INTERVAL 20 DAY AND e >= ms GROUP BY 1""")
 def interval_overlap(spark, sf_dir):
     """JN-07: orders' life against the first twenty days of months"""
     o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.min("o_orderdate").alias("s"), F.max("l_shipdate").alias("e"))
-    o = o.filter("s <= e and e < s + interval 300 day")
+    o = o.filter("s <= e")
     m = load(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("month_start")).distinct().withColumn("month_end", F.expr("month_start + interval 20 day"))
     return plain(joins.interval_join(o, m, "s", "e", "month_start", "month_end", 30 * 86_400).groupBy("month_start").agg(F.count(F.lit(1)).alias("n")))
 
