@@ -65,7 +65,7 @@ class State(dict):
 
 
 class Transducer:
-    MAX_ARCS, MAX_FITS = 250_000, 100_000
+    MAX_ARCS, MAX_FITS = 250_000, 100_000  # arcs exceed their bound by COMMIT at most
     COMMIT = 512
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -152,11 +152,13 @@ class Transducer:
         return to, last
 
     def encode(self, piece: bytes) -> list[int]:
-        if self.n_arcs > self.MAX_ARCS:
-            self._forget()
         out: list[int] = []
         state, ends = self.start, []  # ends: last token at each byte since the boundary up to which tokens are out
         for i in range(0, len(piece), self.COMMIT):
+            if self.n_arcs > self.MAX_ARCS:  # within a piece too: what is live goes on in a state made anew
+                live = state.live
+                self._forget()
+                state = self.states.setdefault(live, State(self, live))
             for byte in piece[i : i + self.COMMIT]:
                 state, last = state[byte]
                 ends.append(last)
@@ -235,7 +237,7 @@ class Codec:
         self.fst = Transducer(ranks)
         # \s of the pattern means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pieces = Pieces(self._piece, 160_000)
+        self.pieces = Pieces(self._piece, 120_000)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
 
     def _piece(self, piece: str) -> bytes:

@@ -57,6 +57,26 @@ def test_small_bound_on_states_changes_nothing(ranks, library):
         assert fst.encode(t.encode()) == library.encode_ordinary(t)
 
 
+def test_states_stay_within_their_bound_in_one_piece(ranks, library):
+    fst = bpe.Transducer(ranks)
+    fst.MAX_ARCS = 5000
+    rng = random.Random(9)
+    piece = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000))
+    most = 0
+    forget = fst._forget
+
+    def spy():
+        nonlocal most
+        most = max(most, fst.n_arcs)
+        forget()
+
+    fst._forget = spy
+    ids = fst.encode(piece)
+    assert b"".join(map(fst.bytes_of.__getitem__, ids)) == piece
+    assert 0 < most <= fst.MAX_ARCS + fst.COMMIT and fst.n_arcs <= fst.MAX_ARCS + fst.COMMIT
+    assert fst.encode(piece[:30_000]) == library.encode_ordinary(piece[:30_000].decode())
+
+
 def test_utf8_stream_splits_anywhere():
     data = "aé中😀́z".encode()
     for i in range(len(data) + 1):
