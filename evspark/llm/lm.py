@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import as_bytes, count_floor, small_batches, written
+from evspark.llm.shared import as_bytes, count_floor, join_group_facts, small_batches, written
 
 END = b" "  # no word holds a space
 SINGLE, SUFFIX = 8, 16
@@ -362,7 +362,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column] |
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     scored = rows.mapInArrow(run, kinds + "n_tokens long, known_head long, log_c_head double, shift double, tail array<struct<token: binary, k: long>>")
     scored = written(scored.withColumn("row_no", F.monotonically_increasing_id()))
-    tail = scored.select("row_no", F.explode("tail").alias("t")).select("row_no", "t.token", "t.k").join(counts, "token", "left")
+    tail = scored.select("row_no", F.explode("tail").alias("t")).select("row_no", "t.token", "t.k")
+    # a token outside the head may still be in very many rows, such as one that only held-out texts have
+    facts = written(tail.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).join(counts, "token", "left"))
+    total = facts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    tail = join_group_facts(tail, facts, "token", "rows", total)
     tail = tail.groupBy("row_no").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known_tail"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("log_c_tail")
     )

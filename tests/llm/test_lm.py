@@ -119,3 +119,15 @@ def test_score_equals_brute_force(make):
                 z = weights.astype(float) + np.log(share / share.sum())
                 total += (z[own] - math.log(np.exp(z).sum())) / math.log(10)
         assert abs(r["score"] - total) < 1e-4 * max(1, abs(total))
+
+
+def test_hot_token_outside_the_head(spark, make, monkeypatch):
+    """A word that only held-out rows have, in most rows: joined to its (absent) count without meeting in one task."""
+    from evspark.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    docs = make([(i, f"a b w{i} rare" if i % 2 else f"hot a w{i}") for i in range(60)])
+    model, counts = lm.train(docs.filter("doc_id % 2 = 1"), max_head=2)
+    got = {r["doc_id"]: r for r in lm.score(docs, model, counts, keep=[docs["doc_id"]]).collect()}
+    assert len(got) == 60
+    assert all(got[i]["n_known"] == (5 if i % 2 else 2) for i in got)
