@@ -3,9 +3,10 @@
 Vectors are lifted by one coordinate, sqrt(max norm^2 - norm^2), so that the nearest of them to a query (lifted by 0)
 have the largest inner products. Each vector is keyed by its nearest pivot and its distance to it; a pivot's vectors,
 sorted by distance, are cut into annuli. By the triangle inequality a vector is no nearer than the gap between the
-query's distance to the pivot and its annulus. So a query's search expands over the annuli in the order of their gaps,
-in rounds of growing width. After each round its k-th best score so far is the bound, and it stops at the first annulus
-whose gap leaves room for nothing as good: all further ones have wider gaps, and nothing is lost.
+query's distance to the pivot and its annulus. So a query's search expands over the annuli in the order of their gaps.
+A first round looks at the few nearest ones; its k-th best score is the bound, and the second round goes on up to the
+first annulus whose gap leaves room for nothing as good: all further ones have wider gaps, and nothing is lost. Where
+the bound stops nothing, as for vectors without clusters, the two rounds together are one scan.
 
 Pivots are fitted to a bounded sample (`sample` rows with the smallest hashes); every row is indexed. An annulus is
 dealt out over blocks of about `block` rows, so copies of one vector spread; queries are dealt into chunks. A task
@@ -85,7 +86,7 @@ def _least(s: np.ndarray):
 def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, pivots: int = 16, rings: int = 8, sample: int = 2048, block: int = 4096, width: int = 4, looked_at: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each query. is_query is a condition on vec_id.
 
-    The first round looks at the `width` nearest annuli, each further one at three times as many as all before.
+    The first round looks at the `width` nearest annuli, the second at all others that the bound allows.
     looked_at, if given, gets one (annuli looked at, annuli there are) over all queries for each round."""
     spark = vectors.sparkSession
     vecs = written(quantised(vectors, id_col, vec_col, scale))
@@ -169,7 +170,7 @@ def best(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     top = spark.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long, rank int")
     n_asked, came = asked.count(), 0
     while came < len(annuli):
-        upto = min(len(annuli), came + (3 * came or width))
+        upto = len(annuli) if came else min(len(annuli), width)
         bound = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
         bound = asked.join(bound, "query_id", "left").select("query_id", "chunk", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         wanted = written(bound.mapInArrow(expand(came, upto), f"query_id {kind}, chunk int, vec binary, least double, ring int"))
