@@ -9,8 +9,10 @@ from evspark.functions import timefn as TS
 from evspark.operators import aggs, correlate, rules, search
 from evspark.plans.registry import query
 from evspark.plans.tables import events, load, plain
-from evspark.sources import io
+from evspark.sources import io, sqlite
+from evspark.sources.store import ResultStore
 from evspark.storage import fresh_path
+from evspark.streaming.run import read_files
 
 
 @query("csv_roundtrip", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
@@ -42,15 +44,44 @@ def xml_roundtrip(spark, sf_dir):
 @query("stored_results", "SELECT l_orderkey AS result_id, l_linenumber AS match_no, o_custkey % 5 AS execution_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 3")
 def stored_results(spark, sf_dir):
     """SNK-03, QRY-07: matches stored by execution, one execution read back"""
-    store = io.ResultStore(spark, fresh_path(spark))
+    store = ResultStore(spark, fresh_path(spark))
     m = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     store.append("matches", m.select(F.col("l_orderkey").alias("result_id"), F.col("l_linenumber").alias("match_no"), (F.col("o_custkey") % 5).alias("execution_id")))
     return store.read("matches", 3).select("result_id", "match_no", F.col("execution_id").cast("long").alias("execution_id"))
 
 
+@query("stored_reruns", "SELECT event_type AS source, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events WHERE event_type <> 'view' GROUP BY 1")
+def stored_reruns(spark, sf_dir):
+    """SNK-03, SNK-04: runs and a stream that share a table; each runs twice, one with other rows first, a write fails"""
+    store, e = ResultStore(spark, fresh_path(spark)), events(spark, sf_dir)
+    rows = lambda s: e.filter(F.col("source") == s).select(F.col("source").alias("execution_id"), "event_id", "user_id")
+    for _ in range(2):
+        store.append("matches", rows("click"))
+        store.append("matches", rows("error").withColumn("score", F.lit(0.5)))
+    store.commit("matches", e.select("event_id", "user_id"), "late run")
+    store.commit("matches", rows("signup"), "late run")
+    try:
+        store.commit("matches", rows("view").select("*", F.raise_error(F.lit("no"))), "broken run")
+    except Exception as broken:  # noqa: BLE001  the write ends in the error that it was given
+        assert "no" in str(broken)
+    found = read_files(spark, f"{sf_dir}/events.parquet").filter("event_type = 'purchase'").select(F.col("event_type").alias("execution_id"), "event_id", "user_id")
+    for _ in range(2):
+        store.append_stream("matches", found, f"{store.path}/_state").awaitTermination()
+    return store.read("matches").groupBy(F.col("execution_id").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+@query("database_table", "SELECT o_orderpriority, count(*) AS n, sum(o_custkey)::BIGINT AS custkeys, max(o_totalprice) AS top FROM orders WHERE o_orderkey > 500 AND o_orderstatus = 'F' GROUP BY 1")
+def database_table(spark, sf_dir):
+    """SRC-06, SRC-02: orders written to SQLite files and read back by ranges of rows, filters in the files' queries"""
+    path = fresh_path(spark)
+    sqlite.write_database(load(spark, sf_dir, "orders").repartition(3), path, "orders")
+    df = sqlite.read_database(spark, path, "orders", rows=10_000).filter("o_orderkey > 500 AND o_orderstatus = 'F'")
+    return df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("custkeys"), F.max("o_totalprice").alias("top"))
+
+
 @query("indicator_files", "SELECT p_brand AS value, p_type AS key, 'list' AS source, count(*) AS n FROM part GROUP BY ALL")
 def indicator_files(spark, sf_dir):
-    """SRC-16, SRC-06: an indicator list as a file"""
+    """SRC-16: an indicator list as a file"""
     p = fresh_path(spark)
     io.export(load(spark, sf_dir, "part"), p, "csv", ["p_brand", "p_type"], sep=";")
     return io.read_indicators(spark, p, "p_brand", "p_type", "list", delimiter="semicolon").groupBy("value", "key", "source").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from evspark.plans.q_stream import events_stream
 from evspark.plans.registry import query
 from evspark.plans.tables import events, load, plain
 from evspark.sources import io
+from evspark.sources.store import ResultStore
 from evspark.storage import fresh_path
 
 
@@ -213,7 +214,7 @@ def timeline_resolved(spark, sf_dir):
 def stream_appended(spark, sf_dir):
     """SNK-04: matches of a stream appended batch by batch"""
     base = fresh_path(spark)
-    store = io.ResultStore(spark, base)
+    store = ResultStore(spark, base)
     found = events_stream(spark, sf_dir).filter("source = 'error'").select(F.col("event_id").alias("match_id"), "user_id", "ts")
     store.append_stream("matches", found, f"{base}/state").awaitTermination()
     return plain(store.read("matches").select("match_id", "user_id", "ts"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from evspark.plans.q_text import RULE_SQL, RULES
-from evspark.plans.registry import query
-from evspark.plans.tables import plain
+from evspark.plans.registry import ORACLES, query
+from evspark.plans.tables import load, plain
+from evspark.storage import fresh_path
 from evspark.streaming import stream
 from evspark.streaming.run import read_files, to_end
 
@@ -58,5 +61,25 @@ s AS (SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS start_
 SELECT user_id::VARCHAR AS key, start_ts, end_ts, 'closed' AS end_kind FROM s WHERE start_ts IS NOT NULL AND end_ts IS NOT NULL""")
 def stream_open_close(spark, sf_dir):
     """SS-06: sessions that closed"""
-    e = events_stream(spark, sf_dir)
-    return plain(to_end(stream.open_close_sessions(e, "ts", "user_id", F.col("source") == "signup", F.col("source") == "error")).filter("end_kind = 'closed'"))
+    return arriving(spark, sf_dir, F.lit(0), 1)
+
+
+@query("stream_open_close_late", ORACLES["stream_open_close"])
+def stream_open_close_late(spark, sf_dir):
+    """SS-06: the same from seven files in the order of arrival, where rows come up to two days late"""
+    return arriving(spark, sf_dir, F.pmod(F.xxhash64("event_id"), F.lit(172_800)), 7)
+
+
+def arriving(spark, sf_dir, delay_s, files):
+    """Closed sessions of the events, dealt into files by the time they arrive and read file by file. Last rows of no
+    kind, far in the future, let the watermark pass all others."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_type", (F.unix_timestamp("ts") + delay_s).alias("came"))
+    lo, hi, last = e.agg(F.min("came"), F.max("came"), F.max("ts")).first()
+    path, step = fresh_path(spark), -(-(hi + 1 - lo) // files)
+    for n in range(files):
+        e.filter(F.floor((F.col("came") - lo) / step) == n).drop("came").coalesce(1).write.mode("append").parquet(path)
+    for _ in range(2):  # the watermark rises after the first one's batch, and rows are taken in the next
+        spark.createDataFrame([(None, last + timedelta(days=30), "end")], e.drop("came").schema).coalesce(1).write.mode("append").parquet(path)
+    kind = F.col("event_type")
+    found = stream.open_close_sessions(read_files(spark, path, 1), "ts", "user_id", kind == "signup", kind == "error", late="3 days")
+    return plain(to_end(found).filter("end_kind = 'closed'"))

@@ -15,7 +15,8 @@ LINEAGE = ("artifact_id", "source_tool", "collection_timestamp", "primary_timest
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", equal: dict | None = None, **options) -> DataFrame:
-    """SRC-01, SRC-06: a table by path (or JDBC by options), with equality filters that the scan takes over."""
+    """SRC-01: a table by path (or JDBC by options), with equality filters that the scan takes over. SRC-06: for SQLite files
+    see sources.sqlite."""
     df = spark.read.format(fmt).options(**options).load(path) if path else spark.read.format(fmt).options(**options).load()
     return df.filter(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in equal.items()])) if equal else df
 
@@ -189,26 +190,3 @@ def export(df: DataFrame, path: str, fmt: str = "json", columns: Sequence[str] |
     if fmt == "xml":
         options = {"rowTag": "match", "rootTag": "matches", **options}
     d.write.mode("overwrite").format(fmt).options(**options).save(path)
-
-
-class ResultStore:
-    """SNK-03, SNK-04: executions, results and matches as Parquet tables under one path, partitioned by execution."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").partitionBy("execution_id").parquet(f"{self.path}/{table}")
-
-    def read(self, table: str, execution_id=None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{table}")
-        return df.filter(F.col("execution_id") == execution_id) if execution_id is not None else df
-
-    def append_stream(self, table: str, stream: DataFrame, checkpoint: str, **trigger):
-        """SNK-04: matches of a stream, batch by batch; a batch that is run again overwrites its own files."""
-        path = f"{self.path}/{table}"
-
-        def put(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
-
-        return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 from evspark.storage import fresh_path
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the Parquet files of a path (a file or a folder); plain times become instants."""
+def read_files(spark: SparkSession, path: str, a_batch: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of a path (a file or a folder), oldest first, all or `a_batch` files a batch; plain
+    times become instants."""
     schema = spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema)
+    df = (reader.option("maxFilesPerTrigger", a_batch) if a_batch else reader).parquet(f"{path[:-1]}[{path[-1]}]")
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
 

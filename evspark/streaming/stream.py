@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evspark.operators.rules import Rule, tag_rows
 
@@ -40,30 +40,86 @@ def tagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return tag_rows(df, rules)
 
 
-def open_close_sessions(df: DataFrame, ts: str, key: str, is_open: Column, is_close: Column, late: str = "10 minutes") -> DataFrame:
-    """SS-06: key, start_ts, end_ts, end_kind of sessions: the first opener starts one, the next closer ends it. What is
-    open when the watermark passes its last event by a day is emitted as `ongoing`. State: one instant a key."""
-    rows = df.filter(is_open | is_close).select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), is_open.alias("opens")).withWatermark("ts", late)
-
-    def step(k, batches, state: GroupState):
-        started = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            if started is not None:
-                out.append((k[0], pd.Timestamp(started, unit="us"), pd.NaT, "ongoing"))
-            state.remove()
+class OpenClose(StatefulProcessor):
+    """A key's sessions in event time. Rows wait in a list until the watermark has passed them, so that they are taken in
+    the order of their times, however they came; then only the start of an open session and the last event's time stay."""
+
+    def __init__(self, ongoing_us: int | None):
+        self.ongoing_us = ongoing_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, opens boolean")
+        self.held = handle.getValueState("held", "started long, last long, wakes long")
+
+    def _wake(self, at_us: int, wakes: int | None) -> int:
+        """A timer for the first waiting row, unless one fires before."""
+        if wakes is None or at_us < wakes:
+            self.handle.registerTimer(at_us // 1000 + 1)
+            return at_us
+        return wakes
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, last, wakes = self.held.get() if self.held.exists() else (None, None, None)
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList(list(zip(at, map(bool, pdf["opens"]), strict=True)))
+            wakes = self._wake(min(at), wakes)
+        self.held.update((started, last, wakes))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        started, last, _ = self.held.get() if self.held.exists() else (None, None, None)
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due, rest, out = sorted((t, not opens) for t, opens in rows if t <= mark), [(t, o) for t, o in rows if t > mark], []
+        give_up = lambda t: self.ongoing_us is not None and started is not None and t - last > self.ongoing_us
+        for t, closes in due:  # of equal times the opener comes first
+            if give_up(t):
+                out.append((started, None, "ongoing"))
+                started = None
+            if closes and started is not None:
+                out.append((started, t, "closed"))
+                started = None
+            elif not closes and started is None:
+                started = t
+            last = t
+        if give_up(mark):
+            out.append((started, None, "ongoing"))
+            started = None
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        wakes = self._wake(min(t for t, _ in rest), None) if rest else None
+        if started is not None and self.ongoing_us is not None:
+            self.handle.registerTimer((last + self.ongoing_us) // 1000 + 1)
+        if started is None and not rest:
+            self.held.clear()
         else:
-            seen = pd.concat(list(batches)).sort_values(["ts", "opens"], ascending=[True, False])
-            for t, opens in zip(seen["ts"], seen["opens"], strict=True):
-                if opens and started is None:
-                    started = int(t.value // 1000)
-                elif not opens and started is not None:
-                    out.append((k[0], pd.Timestamp(started, unit="us"), t, "closed"))
-                    started = None
-            state.update((started,))
-            last = int(seen["ts"].max().value // 1_000_000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 86_400_000)
+            self.held.update((started, last, wakes))
         if out:
-            yield pd.DataFrame(out, columns=["key", "start_ts", "end_ts", "end_kind"])
+            at = lambda n: pd.to_datetime(pd.Series([r[n] for r in out], dtype="Int64"), unit="us", utc=True)
+            yield pd.DataFrame({"key": key[0], "start_ts": at(0), "end_ts": at(1), "end_kind": [r[2] for r in out]})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def open_close_sessions(df: DataFrame, ts: str, key: str, is_open: Column, is_close: Column, late: str = "10 minutes", ongoing_s: int | None = None) -> DataFrame:
+    """SS-06: key, start_ts, end_ts, end_kind of sessions: the first opener starts one, the next closer ends it.
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, start_ts timestamp, end_ts timestamp, end_kind string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+    A session is emitted once the watermark has passed its end, and is the same for every split of the input into
+    batches, rows late by up to `late` included. With ongoing_s, a session without an event for longer than that is
+    emitted as `ongoing`. State: the rows that the watermark hasn't passed, and one open session a key. Rows that are
+    neither openers nor closers count for the watermark. Needs the RocksDB state store, which is set for the session.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), is_open.alias("opens"), is_close.alias("closes")).withWatermark("ts", late)
+    # the condition speaks of the time, so that it isn't tried before the watermark is taken
+    rows = rows.filter(F.when(F.col("ts").isNotNull(), F.col("opens") | F.col("closes"))).select("key", "ts", F.coalesce("opens", F.lit(False)).alias("opens"))
+    made = OpenClose(None if ongoing_s is None else ongoing_s * 1_000_000)
+    return rows.groupBy("key").transformWithStateInPandas(made, "key string, start_ts timestamp, end_ts timestamp, end_kind string", "append", "eventTime")

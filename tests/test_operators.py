@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evspark.operators import aggs, correlate, joins, ordered, rules, search
 from evspark.sources import io
+from evspark.sources.store import ResultStore
 
 T0 = datetime(2024, 1, 1)
 
@@ -114,7 +115,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert io.read_delimited(spark, f"{tmp_path}/csv").columns == ["i", "s", "l"]
     assert io.read_delimited(spark, f"{tmp_path}/csv", header=False).columns == ["Column_1", "Column_2", "Column_3"]
     assert spark.read.format("xml").option("rowTag", "match").load(f"{tmp_path}/xml").count() == 2
-    store = io.ResultStore(spark, f"{tmp_path}/store")
+    store = ResultStore(spark, f"{tmp_path}/store")
     store.append("matches", df.withColumn("execution_id", F.lit(7)))
     assert store.read("matches", 7).count() == 2
 
@@ -138,7 +139,7 @@ def test_indicator_files(spark, tmp_path):
 def test_stream_store(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "i int")
     df.write.parquet(f"{tmp_path}/in")
-    q = io.ResultStore(spark, f"{tmp_path}/s").append_stream("m", spark.readStream.schema("i int").parquet(f"{tmp_path}/in"), f"{tmp_path}/c")
+    q = ResultStore(spark, f"{tmp_path}/s").append_stream("m", spark.readStream.schema("i int").parquet(f"{tmp_path}/in"), f"{tmp_path}/c")
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/s/m").count() == 2
 
