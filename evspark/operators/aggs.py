@@ -135,7 +135,9 @@ def ordered_text(df: DataFrame, key: list[str], text: Column, order: list[str],
 
 def identity_groups(df: DataFrame, identity: list[str], source: str, ts: str, suffix: str | None = None) -> DataFrame:
     """AG-20: rows, sources, first and last seen of each identity; with its sub-identities by suffix where asked for."""
-    out = df.groupBy(*identity).agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct(source).alias("n_sources"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.array_sort(F.collect_set(source)).alias("sources"))
+    per = df.groupBy(*identity, source).agg(F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__first"), F.max(ts).alias("__last"))
+    # one row a source of an identity from here on: the distinct sources are a plain list
+    out = per.groupBy(*identity).agg(F.sum("__n").alias("n_records"), F.count(source).alias("n_sources"), F.min("__first").alias("first_seen"), F.max("__last").alias("last_seen"), F.array_sort(F.collect_list(source)).alias("sources"))
     if suffix is None:
         return out
     subs = df.groupBy(*identity, suffix).agg(F.count(F.lit(1)).alias("n")).groupBy(*identity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(suffix), F.lit("")).alias("k"), "n")))).alias("sub_identities"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.predicates import like_of
+from evspark.operators import cosine
 
 # Weights of columns in relevance; any other counts 1.
 COLUMN_WEIGHTS = {"filename": 3.0, "name": 3.0, "file_name": 3.0, "path": 2.0, "full_path": 2.0, "reconstructed_path": 2.0, "description": 1.5, "content": 1.5}
@@ -143,33 +144,10 @@ def find_results(rows: DataFrame, query: str, id_col: str, ts: str, texts: list[
     return found.filter(F.col("confidence") >= least).orderBy(F.col("confidence").desc(), "ts", "id", "context", "start")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 3, least: float = 0.4, most_queries: int = 1000) -> DataFrame:
-    """SR-08: query_id, id, similarity: the k most similar vectors above a bound, for any number of queries.
-
-    Up to `most_queries` are broadcast against all rows. More are dealt into blocks of about that size and the vectors
-    into slices, and each block meets each slice; either way each partition keeps k rows a query before they are merged.
-    """
-    spark = queries.sparkSession
-    blocks = -(-queries.count() // most_queries)
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q"))
-    v = vectors.select(F.col(id_col), F.col(vec_col))
-    if blocks <= 1:
-        one = F.lit(1).alias("__one")
-        j = v.select("*", one).join(F.broadcast(q.select("*", one)), "__one")
-    else:
-        slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        q = q.select("*", dealt("query_id", blocks).alias("__block"), every(slices).alias("__slice"))
-        j = v.select("*", dealt(id_col, slices).alias("__slice"), every(blocks).alias("__block")).join(q, ["__block", "__slice"])
-    s = j.filter(F.col(id_col) != F.col("query_id")).withColumn("similarity", cosine(F.col(vec_col), F.col("__q"))).filter(F.col("similarity") > least)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_col)
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "similarity")
+def vector_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 3, least: float = 0.4, most_queries: int = 256) -> DataFrame:
+    """SR-08: query_id, rank, id, similarity: the k most similar vectors above a bound, for any number of queries, of
+    which a task meets `most_queries` at once (cosine.best)."""
+    return cosine.best(vectors, queries, id_col, vec_col, k, least, chunk=most_queries)
 
 
 def chunks(df: DataFrame, id_col: str, text: str, least: int = 50) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evspark.operators import aggs, joins, ordered, search
+from evspark.operators import aggs, bitmaps, joins, ordered, paging, search
 from evspark.plans.registry import query
 from evspark.plans.tables import events, load, plain
+from evspark.storage import written
 
 
 @query("bucket_counts", """
@@ -145,6 +146,20 @@ def identity_groups(spark, sf_dir):
     return plain(g.withColumn("sources", F.array_join("sources", ",")))
 
 
+@query("distinct_from_parts", """
+WITH w AS (SELECT * FROM (VALUES ('first week', DATE '2024-01-01', DATE '2024-01-07'), ('odd stretch', DATE '2024-01-05', DATE '2024-01-21'), ('all', DATE '2000-01-01', DATE '2100-01-01')) t(range_name, lo, hi))
+SELECT range_name, event_type AS source, count(*) AS n, count(DISTINCT props) AS n_identities, round(sum(value), 4) AS total FROM events JOIN w ON ts::DATE BETWEEN lo AND hi GROUP BY ALL""")
+def distinct_from_parts(spark, sf_dir):
+    """AG-05, AG-20, AG-26: rows, sums and distinct properties over ranges of days, from stored daily parts alone"""
+    e = events(spark, sf_dir)
+    e = e.join(bitmaps.numbered(e, "props"), "props", "left").withColumn("day", F.to_date("ts"))
+    kept = written(bitmaps.parts(e, ["source", "day"], sums={"total": F.col("value")}))
+    ranges = [("first week", "2024-01-01", "2024-01-07"), ("odd stretch", "2024-01-05", "2024-01-21"), ("all", "2000-01-01", "2100-01-01")]
+    in_range = F.filter(F.array(*[F.when(F.col("day").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), F.lit(name)) for name, lo, hi in ranges]), lambda x: x.isNotNull())
+    hit = kept.withColumn("range_name", F.explode(in_range))
+    return bitmaps.merged(hit, ["range_name", "source"], ["total"]).withColumn("total", F.round("total", 4))
+
+
 @query("sub_identities", "WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, sum(n)::BIGINT AS n_records, string_agg(p_type || '=' || n::VARCHAR, ',' ORDER BY p_type) AS subs FROM n GROUP BY 1")
 def sub_identities(spark, sf_dir):
     """AG-20 with sub-identities"""
@@ -404,13 +419,24 @@ def parent_paths(spark, sf_dir):
     return joins.parent_paths(n, root=5)
 
 
-@query("field_lookup", """
-SELECT * FROM (VALUES ('eventid', 'event_id', 3), ('TS', 'ts', 2), ('account', 'user_id', 4), ('value', 'value', 1), ('type_event_x', 'event_type', 5)) t(name, field, rank)""")
+PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+@query("field_lookup", f"""
+WITH w AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) WHEN 2 THEN replace(lower(p_type), ' ', '_') WHEN 3 THEN regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2) || '-' || regexp_extract(p_type, '^[A-Z]+') || ' x' ELSE p_brand END AS name FROM part),
+f AS (SELECT DISTINCT p_type AS field FROM part), a AS (SELECT p_brand AS name, min(p_type) AS alias FROM part GROUP BY 1),
+c AS (SELECT name, field, CASE WHEN name = field THEN 1 WHEN lower(name) = lower(field) THEN 2 WHEN {PLAIN.format('name')} = {PLAIN.format('field')} THEN 3 WHEN alias IS NOT NULL AND {PLAIN.format('alias')} = {PLAIN.format('field')} THEN 4
+    WHEN 2 * len(list_intersect(list_distinct({TOKENS.format('name')}), list_distinct({TOKENS.format('field')}))) >= greatest(len({TOKENS.format('name')}), len({TOKENS.format('field')})) THEN 5 END::INTEGER AS rank
+  FROM w LEFT JOIN a USING (name), f)
+SELECT name, field, rank FROM c WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, field) = 1""")
 def field_lookup(spark, sf_dir):
-    """JN-19: names looked up among the columns of events"""
-    cols = load(spark, sf_dir, "events").select(F.explode(F.array(*[F.lit(c) for c in load(spark, sf_dir, "events").columns])).alias("field")).distinct()
-    wanted = spark.createDataFrame([("eventid",), ("TS",), ("account",), ("value",), ("type_event_x",)], "name string")
-    return joins.find_fields(wanted, cols, spark.createDataFrame([("account", "user_id")], "name string, alias string"))
+    """JN-19: written variants of part types, and brands by their alias, looked up among the types"""
+    p, t, n = load(spark, sf_dir, "part"), F.col("p_type"), F.col("p_partkey") % 5
+    swapped = F.concat(F.regexp_extract(t, "([A-Z]+) ([A-Z]+)", 2), F.lit("-"), F.regexp_extract(t, "^[A-Z]+", 0), F.lit(" x"))
+    name = F.when(n == 0, t).when(n == 1, F.lower(t)).when(n == 2, F.replace(F.lower(t), F.lit(" "), F.lit("_"))).when(n == 3, swapped).otherwise(F.col("p_brand"))
+    aliases = p.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_type").alias("alias"))
+    return joins.find_fields(p.select(name.alias("name")).distinct(), p.select(t.alias("field")).distinct(), aliases)
 
 
 @query("propagated", """
@@ -434,6 +460,14 @@ def page_fetch(spark, sf_dir):
     return search.page(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), ["p_name", "p_partkey"], 3, 25)
 
 
+@query("deep_page", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 100 OFFSET (SELECT (count(*) // 100 - 1) * 100 FROM lineitem)")
+def deep_page(spark, sf_dir):
+    """SRC-03, QRY-02: the last full page of the lines by latest shipping; only the ranges it lies in are sorted"""
+    order = [F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber"]
+    stored = paging.Pages.store(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), order, ranges=32)
+    return plain(stored.page(stored.total // 100, 100))
+
+
 @query("page_facts", "SELECT count(*) AS total_count, ceil(count(*) / 25.0)::BIGINT AS total_pages, ceil(count(*) / 25.0) > 3 AS has_next, true AS has_prev FROM part")
 def page_facts(spark, sf_dir):
     """SRC-03"""
