@@ -75,7 +75,10 @@ def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # texts of under 50 words count half: within a source the inclusion probabilities differ, and rank the documents
+    importance = F.when(mixing.n_words(F.col("text")) < 50, 0.5).otherwise(1.0)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), importance=importance)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL_6 = r"""
@@ -99,18 +102,27 @@ WITH d AS (
 ), g AS (
   SELECT source, source_size,
          CASE WHEN pos < first_ THEN full_ ELSE (max(CASE WHEN pos = first_ THEN rate END) OVER ()) * weight END AS target FROM t
+), l AS (
+  SELECT source, CASE WHEN size < 50 THEN 32 ELSE 64 END AS importance, sum(size)::BIGINT AS words FROM d GROUP BY ALL
+), m AS (
+  SELECT l.source, importance, (g.target - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 3.0::DOUBLE)
+           / nullif((sum(importance * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE, 0) AS rate
+  FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source WINDOW o AS (PARTITION BY l.source ORDER BY importance DESC)
+), b AS (
+  SELECT source, max_by(rate, importance) AS per_unit FROM m WHERE rate * importance <= 3.0::DOUBLE GROUP BY source
 ), e AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS expected
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  SELECT d.*, g.source_size, g.target, least(3.0::DOUBLE, coalesce(b.per_unit, 3.0::DOUBLE) * CASE WHEN size < 50 THEN 32 ELSE 64 END) AS expected
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 ), h AS (
   SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p, (x + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM e
 ), q AS (
   SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM h
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS reached FROM q
+  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS reached,
+         sum(whole * size) OVER (PARTITION BY source) AS certain FROM q
 )
 SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN q IS NOT NULL AND reached <= target - whole * source_size THEN 1 ELSE 0 END) AS taken
+       size * (whole + CASE WHEN q IS NOT NULL AND reached <= target - certain THEN 1 ELSE 0 END) AS taken
 FROM c
 """
 

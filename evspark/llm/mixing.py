@@ -2,7 +2,8 @@
 
 A source's weight gives it a target of words; a document's expected number of copies is its source's target over
 its source's size. Where documents have an importance of their own, a document's expectation is in proportion to it
-within its source, `cap` at most. The whole part of the expectation is certain. The fraction p is an inclusion
+within its source, `cap` at most; what the cap holds back goes to the source's other documents, so that the target stays.
+The whole part of the expectation is certain. The fraction p is an inclusion
 probability: each document draws U from its id, and documents are ranked by the odds of U over the odds of p. The source
 takes them in that order until its words are as near its target as whole documents allow.
 
@@ -11,8 +12,8 @@ lies, and only that bin's rows are ranked.
 
 A null text has size 0, a text of any length its full size; null sources are a source of their own, ranked last. Documents of size 0 take no words.
 Rows with the same id share a draw, and are taken or left together when they also share the source. An empty table
-gives an empty result. Reruns agree, since draws come from ids and the seed, ties in rank go by id, and importances are
-summed as whole numbers. A null or negative importance counts as 0: such a document is taken in no whole or part.
+gives an empty result. Reruns agree, since draws come from ids and the seed, ties in rank go by id, and importances count
+in whole 64ths, 64 at most. A null or negative importance counts as 0: such a document is taken in no whole or part.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from evspark.llm.shared import WORD, fresh, small, uniform52, written
 
 BINS = 4096
-UNITS = 1 << 20  # importances count in whole 2^-20
+UNITS, MOST = 64, 4096  # importances count in whole 64ths, up to 64: so many levels a source has at most
 
 
 def n_words(text: Column) -> Column:
@@ -55,8 +56,7 @@ def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     u = (uniform52(F.col("doc_id"), seed) + F.lit(0.5)) / F.lit(float(1 << 52))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     if "importance" in rows.columns:
-        share = F.col("importance") / F.col("source_importance").cast("double")
-        expected = F.when(F.col("source_importance") > 0, F.least(F.col("cap"), F.col("target") * share)).otherwise(F.lit(0.0))
+        expected = F.when(F.col("importance") > 0, F.least(F.col("cap"), F.coalesce(F.col("per_unit"), F.col("cap")) * F.col("importance"))).otherwise(F.lit(0.0))
     p = F.col("expected") - F.col("whole")
     odds = F.col("u") / (F.lit(1.0) - F.col("u"))
     return (
@@ -70,12 +70,26 @@ def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def copies_per_unit(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """s0 (source), per_unit: expected copies for one unit of importance, such that a source's expectations, `cap` at most
+    each, sum to its target. Levels of importance are filled up from the top; the first whose share of what is left lies
+    within the cap fixes the rate for itself and all below it. The windows run over one row a level of a source, MOST at
+    most; a source whose documents all reach the cap has no rate."""
+    levels = sizes.filter("importance > 0").groupBy("source", "importance").agg(F.sum("size").alias("words"))
+    levels = levels.join(targets.select(F.col("source").alias("s0"), "target", "cap"), F.col("source").eqNullSafe(F.col("s0")))
+    down = Window.partitionBy("s0").orderBy(F.col("importance").desc())
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = F.sum((F.col("importance") * F.col("words")).cast("decimal(38,0)")).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    rate = F.when(held > 0, (F.col("target") - before * F.col("cap")) / held)
+    fits = levels.withColumn("rate", rate).filter(F.col("rate") * F.col("importance") <= F.col("cap"))
+    return fits.groupBy("s0").agg(F.max_by("rate", "importance").alias("per_unit"))
+
+
 def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """One row a source: its size, target, and the cut (bin, q, id) up to which documents get one copy more."""
     targets = source_targets(sizes, weights, cap).withColumn("cap", F.lit(float(cap)))
     if "importance" in sizes.columns:
-        per = sizes.groupBy(F.col("source").alias("s0")).agg(F.sum((F.col("importance") * F.col("size")).cast("decimal(38,0)")).alias("source_importance"))
-        targets = targets.join(per, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+        targets = targets.join(copies_per_unit(sizes, targets), F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0")
     targets = written(targets)
     n = targets.count()
     drawn = _drawn(sizes, small(targets, n), seed)
@@ -110,7 +124,7 @@ def _copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 
 def _importance(importance: Column | None) -> list[Column]:
-    return [] if importance is None else [F.greatest(F.coalesce(F.round(importance.cast("double") * UNITS).cast("long"), F.lit(0)), F.lit(0)).alias("importance")]
+    return [] if importance is None else [F.least(F.greatest(F.coalesce(F.round(importance.cast("double") * UNITS).cast("long"), F.lit(0)), F.lit(0)), F.lit(MOST)).alias("importance")]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance: Column | None = None) -> DataFrame:

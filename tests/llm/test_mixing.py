@@ -88,6 +88,24 @@ def test_inclusion_follows_importance(make):
     assert abs(rate["a", 0] - 4 * unit) < 0.06 and abs(rate["a", 1] - 0.5 * unit) < 0.06 and abs(rate["a", 3] - unit) < 0.06
 
 
+def test_importance_and_cap_keep_the_target(make):
+    """A source at three times its size takes all documents three times; one near it fills the important ones first."""
+    from pyspark.sql import functions as F
+
+    data = [(i, "w " * (10 if i % 2 else 30), None, "a" if i < 40 else "b" if i < 300 else "c") for i in range(900)]
+    got = mixing.mix(make(data), weights=(50, 20, 1), importance=F.when(F.col("doc_id") % 2 == 1, 0.25).otherwise(1.0)).collect()
+    taken, target, copies = {}, {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        copies.setdefault((r["source"], r["size"]), []).append(r["copies"])
+        assert r["copies"] <= 3
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 15.5
+    assert set(copies["a", 10]) == set(copies["a", 30]) == {3}
+    assert sum(copies["c", 30]) / len(copies["c", 30]) > 2 * sum(copies["c", 10]) / len(copies["c", 10])
+
+
 def test_repeated_ids_and_long_texts(make):
     data = [(1, "w " * 200_000, None, "a"), (1, "w", None, "a"), (1, "w", None, "a"), (None, "w w", None, "b"), (2, "w", None, "b")]
     got = mixing.mix(make(data)).collect()
