@@ -2,8 +2,8 @@
 
 Each vector is turned by a random rotation (sign flips and Hadamard transforms, the same for all), and the signs of its
 turned components are its code b, a unit vector of +-1 / sqrt(D). Beside the code stands its alignment c = <b, o> with
-the turned unit vector o. What is left, o - c * b, is coded in the same way, a few times over (`LAYERS`), since one code
-leaves some 0.6 of a vector, three leave 0.2. So o = c1 * b1 + ... + cm * bm + r, where the residual r is square to bm,
+the turned unit vector o. What is left, o - c * b, is turned again and coded in the same way, a few times over
+(`LAYERS`), since one code leaves some 0.6 of a vector, six leave 0.05. So o = c1 * b1 + ... + cm * bm + r, where the residual r is square to bm,
 and its norm is stored. For an anchor q, with ti = <bi, q>,
 
     <x, q> = |x| * (c1 * t1 + ... + cm * tm + <r, q>),    |<r, q>| <= |r| * sqrt(|q|^2 - tm^2)
@@ -40,7 +40,7 @@ from evspark.llm.shared import mix64, small_batches, written
 from evspark.llm.topk import dense, quantised
 
 LABEL_GROUPS = 16
-LAYERS = 3  # one-bit codes of a vector
+LAYERS = 6  # one-bit codes of a vector
 PLANES = 8  # bits of a rounded component of an anchor
 AT_ONCE = 64  # anchors compared with a block in one step
 WORD = 64  # bits of a code are held in words of 64
@@ -82,7 +82,8 @@ def encoded(x: np.ndarray, rotation: Rotation, layers: int = LAYERS) -> Codes:
     norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
     rest = rotation.turn(x) / np.where(norm > 0, norm, 1.0)[:, None]
     bits, align = [], []
-    for _ in range(layers):
+    for layer in range(layers):
+        rest = rotation.turn(rest) if layer else rest
         up = rest >= 0
         bits.append(np.packbits(up, axis=1).view(np.uint64))
         align.append(np.abs(rest).sum(axis=1) / rotation.dim**0.5)
@@ -92,17 +93,17 @@ def encoded(x: np.ndarray, rotation: Rotation, layers: int = LAYERS) -> Codes:
 
 def intervals(anchors: np.ndarray, codes: Codes, rotation: Rotation, planes: int = PLANES) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper ends of the inner products of each anchor (rows) with each coded vector (columns)."""
-    q = rotation.turn(anchors)
-    low, high = q.min(axis=1, initial=np.inf), q.max(axis=1, initial=-np.inf)
-    step = (high - low) / (2**planes - 1)
-    step[step <= 0] = 1.0
-    units = np.rint((q - low[:, None]) / step[:, None]).astype(np.int64)
-    root = rotation.dim**0.5
-    slack = np.abs(q - (low[:, None] + step[:, None] * units)).sum(axis=1) / root
-    rounded = low * rotation.dim + step * units.sum(axis=1)
-    bits = [np.packbits((units >> j & 1).astype(bool), axis=1).view(np.uint64) for j in range(planes)]
-    middle = np.zeros((len(q), len(codes.norm)))
+    q, root = anchors, rotation.dim**0.5
+    middle, width = np.zeros((len(anchors), len(codes.norm))), np.zeros((len(anchors), len(codes.norm)))
     for layer in range(codes.bits.shape[1]):
+        q = rotation.turn(q)
+        low, high = q.min(axis=1, initial=np.inf), q.max(axis=1, initial=-np.inf)
+        step = (high - low) / (2**planes - 1)
+        step[step <= 0] = 1.0
+        units = np.rint((q - low[:, None]) / step[:, None]).astype(np.int64)
+        slack = np.abs(q - (low[:, None] + step[:, None] * units)).sum(axis=1) / root
+        rounded = low * rotation.dim + step * units.sum(axis=1)
+        bits = [np.packbits((units >> j & 1).astype(bool), axis=1).view(np.uint64) for j in range(planes)]
         dot = np.zeros(middle.shape, np.uint32)
         for w in range(codes.bits.shape[2]):
             word = np.ascontiguousarray(codes.bits[:, layer, w])
@@ -111,9 +112,9 @@ def intervals(anchors: np.ndarray, codes: Codes, rotation: Rotation, planes: int
         ones = np.bitwise_count(codes.bits[:, layer]).sum(axis=1, dtype=np.int64)
         t = (2 * (low[:, None] * ones[None, :] + step[:, None] * dot) - rounded[:, None]) / root
         middle += codes.align[None, :, layer] * t
+        width += codes.align[None, :, layer] * slack[:, None]
     norm2 = (q * q).sum(axis=1)[:, None]
-    square = np.sqrt(np.maximum(0.0, norm2 - np.maximum(0.0, np.abs(t) - slack[:, None]) ** 2))
-    width = codes.align.sum(axis=1)[None, :] * slack[:, None] + codes.left[None, :] * square + 1e-7 * np.sqrt(norm2)
+    width += codes.left[None, :] * np.sqrt(np.maximum(0.0, norm2 - np.maximum(0.0, np.abs(t) - slack[:, None]) ** 2)) + 1e-7 * np.sqrt(norm2)
     return codes.norm * (middle - width) - 1e-6, codes.norm * (middle + width) + 1e-6
 
 

@@ -76,7 +76,7 @@ def test_intervals_hold_and_filter():
         low, high = hardneg.intervals(q, hardneg.encoded(x, rotation), rotation)
         true = q @ x.T
         assert (low <= true).all() and (true <= high).all()
-        assert (high - low).mean() < 0.6 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)).mean()
+        assert (high - low).mean() < 0.25 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)).mean()
     assert np.allclose(np.linalg.norm(rotation.turn(q.astype(float)), axis=1), np.linalg.norm(q, axis=1))
 
 
@@ -87,7 +87,7 @@ def test_clustered_vectors_are_mostly_not_scored(spark):
     scored = []
     got = mined(spark, rows, scored=scored)
     assert set(got) == brute(rows)
-    assert len(scored) == 2 and scored[0][0] < 0.2 * scored[0][1] and scored[1][0] < 0.5 * scored[1][1]
+    assert len(scored) == 2 and scored[0][0] < 0.15 * scored[0][1] and scored[1][0] < 0.3 * scored[1][1]
 
 
 def test_text_labels_and_ids(spark):
