@@ -85,12 +85,21 @@ def composite_key(name: Column, path: Column, hash_: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (n, p, F.trim(F.lower(hash_)))])
 
 
+# Fixed values (STR-06, STR-07): what comes off an application's name, in this order: a prefetch hash, the tail of a short
+# name, numbers in brackets, copy marks, versions.
+PREFETCH_HASH = r"(?i)^(.+?)\s+[0-9a-f]{8}\.pf$"
+SHORT_TAIL = r"(?s)~.*$"
+APP_MARKS = (r"[\s_]*\(\d+\)\s*$", r"[\s_]*[-_]?\s*[Cc]opy\s*\d*\s*$", r"[\s_]*\([Cc]opy\s*\d*\)\s*$", r"[\s_]+[vV]?\d+(\.\d+)*\s*$", r"[vV]\d+(\.\d+)*\s*$")
+# Fixed values (STR-08): what comes off a name in the window engine: versions, brackets, all but letters.
+SCAN_MARKS = (r"\s*v?\d+[\d.]*", r"\s*\(.*?\)", r"\s*\[.*?\]", r"[^a-z\s]")
+
+
 def _stripped(x: Column) -> Column:
     """Prefetch hash, ~ tail, ending, copy and version marks off, in this order."""
-    x = F.regexp_replace(F.trim(x), r"(?i)^(.+?)\s+[0-9a-f]{8}\.pf$", "$1")
-    x = F.regexp_replace(x, r"(?s)~.*$", "")
+    x = F.regexp_replace(F.trim(x), PREFETCH_HASH, "$1")
+    x = F.regexp_replace(x, SHORT_TAIL, "")
     x = F.regexp_replace(x, rf"(?i)\.({'|'.join(APP_ENDINGS)})$", "")
-    for p in (r"[\s_]*\(\d+\)\s*$", r"[\s_]*[-_]?\s*[Cc]opy\s*\d*\s*$", r"[\s_]*\([Cc]opy\s*\d*\)\s*$", r"[\s_]+[vV]?\d+(\.\d+)*\s*$", r"[vV]\d+(\.\d+)*\s*$"):
+    for p in APP_MARKS:
         x = F.regexp_replace(x, p, "")
     return x
 
@@ -98,7 +107,7 @@ def _stripped(x: Column) -> Column:
 def app_key(x: Column) -> Column:
     """STR-06: letters only, lower case; if nothing is left, letters and digits of the plain name."""
     key = F.regexp_replace(F.lower(_stripped(x)), "[^a-z]", "")
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"(?s)~.*$", ""), "[^a-z0-9]", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), SHORT_TAIL, ""), "[^a-z0-9]", "")
     return F.when(key != "", key).otherwise(plain)
 
 
@@ -111,7 +120,7 @@ def app_display(x: Column) -> Column:
 def scan_identity(x: Column) -> Column:
     """STR-08: lower case, ending, versions, brackets and non-letters off, noise words off, repeats kept."""
     x = F.regexp_replace(F.lower(x), rf"\.({'|'.join(SCAN_ENDINGS)})$", "")
-    for p in (r"\s*v?\d+[\d.]*", r"\s*\(.*?\)", r"\s*\[.*?\]", r"[^a-z\s]"):
+    for p in SCAN_MARKS:
         x = F.regexp_replace(x, p, "")
     words = F.filter(F.split(x, r"\s+"), lambda w: (w != "") & ~w.isin(*NOISE_WORDS))
     return F.array_join(words, " ")

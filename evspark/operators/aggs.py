@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.operators.joins import US, us
+from evspark.operators.joins import US, config_table, us
+from evspark.storage import written
 
 # The sizes a timeline can be cut by, in seconds.
 BUCKETS = {"minute": 60, "5min": 300, "15min": 900, "30min": 1800, "hour": 3600, "6hour": 21_600, "12hour": 43_200, "day": 86_400, "week": 604_800, "month": 2_592_000, "year": 31_536_000}
@@ -19,7 +20,8 @@ def bucket_size(span_s: float, target: int = 100) -> str:
 
 
 def bucket_counts(df: DataFrame, ts: str, kind: str, size: str | int, id_col: str | None = None) -> DataFrame:
-    """AG-01: total and counts by kind (a map) for each epoch-floored bucket; ids only where asked for."""
+    """AG-01: total and counts by kind (a map) for each epoch-floored bucket; ids only where asked for, all of a bucket's in
+    one array (for buckets of any size see expand_bucket)."""
     width = (BUCKETS[size] if isinstance(size, str) else size) * US
     key = (F.floor(us(ts) / width) * width).alias("b")
     per = df.filter(F.col(ts).isNotNull()).groupBy(key, F.col(kind).alias("k")).agg(F.count(F.lit(1)).alias("n"), *([F.array_sort(F.collect_list(id_col)).alias("ids")] if id_col else []))
@@ -56,7 +58,8 @@ def robust_range(df: DataFrame, key: list[str], ts: str, low: bool = True, high:
     20 years before the latest; groups of under 4 keep all.
 
     Counts by time slice, one row a slice, tell in which slice a quartile lies; only the rows of that slice are ranked.
-    So a source of any size is summed before it shuffles, and no task orders more than a slice of it.
+    So a source of any size is summed before it shuffles, and no task orders more than a slice of it. Tables of one or
+    two rows a source are broadcast behind a count.
     """
     t = df.filter(F.col(ts).isNotNull()).select(*key, us(ts).alias("t")).withColumn("slice", F.floor(F.col("t") / (slice_seconds * US)))
     by = Window.partitionBy(*key)
@@ -64,14 +67,14 @@ def robust_range(df: DataFrame, key: list[str], ts: str, low: bool = True, high:
     per = per.withColumn("upto", F.sum("c").over(by.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by)).withColumn("latest", F.max("hi").over(by))
     per = per.withColumn("i1", F.floor(F.col("n") / 4)).withColumn("i3", F.floor(F.col("n") * 3 / 4)).withColumn("before", F.col("upto") - F.col("c"))
     lies = lambda i: (F.col("before") <= F.col(i)) & (F.col(i) < F.col("upto"))
-    slices = per.filter(lies("i1") | lies("i3")).select(*[F.col(k).alias(f"s_{k}") for k in key], F.col("slice").alias("s_slice"), "before", "upto", "i1", "i3", "n", "latest")
+    slices = config_table(written(per.filter(lies("i1") | lies("i3")).select(*[F.col(k).alias(f"s_{k}") for k in key], F.col("slice").alias("s_slice"), "before", "upto", "i1", "i3", "n", "latest")))
     same = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{p}{k}")) for k in key], F.lit(True))
-    inside = t.groupBy(*key, "slice", "t").agg(F.count(F.lit(1)).alias("c")).join(slices, same("s_") & (F.col("slice") == F.col("s_slice")))
+    inside = t.join(slices, same("s_") & (F.col("slice") == F.col("s_slice"))).groupBy(*key, "slice", "t", "before", "upto", "i1", "i3", "n", "latest").agg(F.count(F.lit(1)).alias("c"))
     place = F.col("before") + F.sum("c").over(Window.partitionBy(*key, "slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("place", place)
     at = lambda i: F.min(F.when(lies(i) & (F.col("place") > F.col(i)), F.col("t")))
     facts = inside.groupBy(*key).agg(at("i1").alias("q1"), at("i3").alias("q3"), F.max("n").alias("n"), F.max("latest").alias("latest"))
-    facts = facts.select(*[F.col(k).alias(f"f_{k}") for k in key], "q1", "q3", "n", "latest")
+    facts = config_table(written(facts.select(*[F.col(k).alias(f"f_{k}") for k in key], "q1", "q3", "n", "latest")))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     out_low = ((F.col("t") < F.col("q1") - reach) | (F.col("t") < F.col("latest") - F.lit(years * 365 * 86_400 * US))) if low else F.lit(False)
     out_high = (F.col("t") > F.col("q3") + reach) if high else F.lit(False)
@@ -129,7 +132,7 @@ def monthly(df: DataFrame, ts: str) -> DataFrame:
 
 
 def ordered_text(df: DataFrame, key: list[str], text: Column, order: list[str], sep: str = "; ") -> DataFrame:
-    """AG-18: texts of a key joined in order."""
+    """AG-18: texts of a key joined in order: one text, and so one task's array, for each key."""
     return df.withColumn("__t", text).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "__t"))).alias("__l")).withColumn("changes", F.array_join(F.transform("__l", lambda r: r["__t"]), sep)).drop("__l")
 
 

@@ -115,5 +115,5 @@ class GramIndex:
         keys = self.candidates(rules)
         if keys is None or (fall_back and keys.isEmpty()):
             return df
-        kept = df.join(keys, F.col(self.key) == keys["key"], "left_semi")
+        kept = df.join(keys.withColumnRenamed("key", "__candidate"), F.col(self.key) == F.col("__candidate"), "left_semi")
         return kept.unionByName(df.filter(F.col(self.key).isNull()))

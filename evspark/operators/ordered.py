@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,13 +134,18 @@ def session_anchors(df: DataFrame, key: list[str], ts: str, seconds: int, extra:
     return df.groupBy(*key, w).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *(extra or [])).drop("w")
 
 
+#: Steps from the roots before jumps are doubled.
+STEPS = 6
+
+
 def cluster_starts(instants: DataFrame, key: list[str], width: int) -> DataFrame:
     """key, __b, __t: where clusters start among distinct instants (key, __b, __t); __b is the instant's bucket of `width`
     microseconds.
 
     After a gap of over `width` a cluster always starts. From such a root the next start is the first instant over `width`
-    later, and so on: each instant's successor is found in the next two buckets, and the starts are what roots reach,
-    found by doubling the jumps. No window or join meets more than a bucket of one key.
+    later, and so on: each instant's successor is found in the next two buckets, and the starts are what roots reach. A
+    chain ends before the next root. Most chains are short, and a few steps from the roots follow them; what is left then
+    is found by doubling the jumps. No window or join meets more than a bucket of one key.
     """
     bucket = [*key, "__b"]
     lows = instants.groupBy(*bucket).agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
@@ -153,7 +160,16 @@ def cluster_starts(instants: DataFrame, key: list[str], width: int) -> DataFrame
     found = both.withColumn("__next", F.min("__t").over(later)).filter("__from is not null")
     after = lows.select(*key, (F.col("__b") - 1).alias("__b"), F.col("__lo").alias("__first"))
     jumps = found.join(after, bucket, "left").select(*key, F.col("__from").alias("__t"), F.coalesce("__next", "__first").alias("__to")).filter(F.col("__to") - F.col("__t") <= 2 * width)
-    jumps, starts = written(jumps), written(roots.select(*key, "__t"))
+    at = [*key, "__t"]
+    roots = written(roots.select(*at))
+    jumps = written(jumps.join(roots.withColumnRenamed("__t", "__to"), [*key, "__to"], "left_anti").select(*at, "__to"))
+    found, front = [roots], roots
+    for _ in range(STEPS):
+        front = written(front.join(jumps, at).select(*key, F.col("__to").alias("__t")))
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, found).withColumn("__b", F.floor(F.col("__t") / width))
+        found.append(front)
+    starts = reduce(DataFrame.unionByName, found)
     while not jumps.isEmpty():
         starts = written(starts.unionByName(starts.join(jumps, [*key, "__t"]).select(*key, F.col("__to").alias("__t"))))
         second = jumps.select(*key, F.col("__t").alias("__to"), F.col("__to").alias("__further"))

@@ -258,28 +258,6 @@ def update_risk(au_options: Column) -> Column:
     return _finding(F.when(au_options.cast("int") == 2, 5), F.lit("updates_disabled"))
 
 
-# Risk indicators of file names and commands with their levels, a choice of this library.
-RISKS = (
-    (5, "tool_keyword", r"(?i)mimikatz|meterpreter|cobalt|psexec|ncat|netcat"),
-    (4, "suspicious_path", r"(?i)\\(temp|tmp|appdata\\local\\temp|\$recycle\.bin)\\"),
-    (4, "script_host", r"(?i)(powershell|wscript|cscript|mshta|rundll32|regsvr32)(\.exe)?\b.*(-enc|http|javascript)"),
-    (3, "user_writable", r"(?i)\\(users\\public|programdata|downloads)\\"),
-    (2, "double_ending", r"(?i)\.(pdf|doc|docx|xls|jpg|png)\.(exe|scr|js|vbs)$"),
-)
-
-
-def risk(value: Column, publisher: Column | None = None) -> Column:
-    """RL-14: struct(level, indicator): the most severe indicator that holds; level 1 for a missing publisher, else 0."""
-    c, k = F.lit(0), F.lit("none")
-    if publisher is not None:
-        absent = F.coalesce(F.trim(publisher) == "", F.lit(True))
-        c, k = F.when(absent, 1).otherwise(0), F.when(absent, "no_publisher").otherwise("none")
-    for level, name, p in sorted(RISKS):
-        hit = F.coalesce(value.rlike(p), F.lit(False))
-        c, k = F.when(hit, level).otherwise(c), F.when(hit, name).otherwise(k)
-    return F.struct(c.alias("level"), k.alias("indicator"))
-
-
 def find_names(parts: list[DataFrame], column: str, words: Sequence[str]) -> DataFrame:
     """RL-15: rows of several tables whose text names one of the words, each text once."""
     out = None

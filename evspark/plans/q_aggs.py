@@ -191,7 +191,7 @@ def registry_statistics(spark, sf_dir):
 
 @query("cross_source_identities", "SELECT user_id, count(DISTINCT event_type) AS n_sources FROM events WHERE value > 50 GROUP BY 1 HAVING count(DISTINCT event_type) >= 3")
 def cross_source_identities(spark, sf_dir):
-    """AG-25"""
+    """AG-25 over rows of high value, a predicate of the search: of all rows every identity is in all sources"""
     return aggs.cross_source(events(spark, sf_dir).filter("value > 50"), "user_id", "source", 3)
 
 
@@ -227,7 +227,7 @@ WITH {PERIODS}, x AS (SELECT DISTINCT props FROM p WHERE period = 'first' AND va
 j AS (SELECT x.props AS a, y.props AS b FROM x FULL JOIN y ON x.props = y.props)
 SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b, count(*) AS n_union, round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) * 100.0::DOUBLE / greatest(count(*), 1), 2) AS percent FROM j""")
 def set_overlap(spark, sf_dir):
-    """ST-03"""
+    """ST-03 over rows of high value, a predicate of the search: of all rows both halves hold the same properties"""
     h = halves(spark, sf_dir).filter("value > 60")
     return aggs.set_overlap(h.filter("period = 'first'"), h.filter("period = 'second'"), "props")
 

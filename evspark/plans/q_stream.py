@@ -6,7 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from evspark.plans.q_text import RULE_SQL, RULES
+from evspark.operators.rule_index import RuleIndex
+from evspark.plans.q_text import MANY_RULES, RULE_SQL, RULES
 from evspark.plans.registry import ORACLES, query
 from evspark.plans.tables import load, plain
 from evspark.storage import fresh_path
@@ -55,6 +56,13 @@ def stream_tags(spark, sf_dir):
     return to_end(stream.tagged(events_stream(spark, sf_dir), RULES).select("event_id", F.array_join("rule_ids", ",").alias("rule_ids")))
 
 
+@query("stream_rule_index", ORACLES["rule_index_tags"])
+def stream_rule_index(spark, sf_dir):
+    """SS-05: 1,200 rules on a stream through the index of predicates"""
+    tagged = to_end(stream.tagged(events_stream(spark, sf_dir), RuleIndex(spark, MANY_RULES)).filter(F.size("rule_ids") > 0))
+    return tagged.select("event_id", F.size("rule_ids").cast("long").alias("n_rules"), F.array_min("rule_ids").alias("first_rule"), F.array_max("rule_ids").alias("last_rule"))
+
+
 @query("stream_open_close", """
 WITH o AS (SELECT user_id, ts, event_type, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM events WHERE event_type IN ('signup', 'error')),
 s AS (SELECT user_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS start_ts, min(CASE WHEN event_type = 'error' THEN ts END) AS end_ts FROM o GROUP BY user_id, island)

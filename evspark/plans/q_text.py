@@ -473,13 +473,14 @@ def same_sources(spark, sf_dir):
 
 
 @query("risk_levels", """
-SELECT event_id, CASE event_type WHEN 'error' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS level, CASE event_type WHEN 'error' THEN 'tool_keyword' WHEN 'click' THEN 'suspicious_path' WHEN 'view' THEN 'user_writable' WHEN 'purchase' THEN 'double_ending' ELSE 'no_publisher' END AS indicator FROM events""")
+SELECT event_id, CASE event_type WHEN 'error' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 4 END AS severity, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'click' THEN 'HIGH' WHEN 'view' THEN 'HIGH' END AS level,
+  CASE event_type WHEN 'error' THEN 'tool_keyword' WHEN 'click' THEN 'suspicious_path' WHEN 'view' THEN 'temp_execution' END AS indicator FROM events""")
 def risk_levels(spark, sf_dir):
-    """RL-14"""
+    """RL-14: programs that start by themselves"""
     s = F.col("source")
-    v = F.when(s == "error", "C:\\x\\Mimikatz.exe").when(s == "click", "C:\\Windows\\Temp\\a.exe").when(s == "view", "C:\\Users\\Public\\a.exe").when(s == "purchase", "a.pdf.exe").otherwise("C:\\a.exe")
-    r = rules.risk(v, F.lit(""))
-    return events(spark, sf_dir).select("event_id", r["level"].alias("level"), r["indicator"].alias("indicator"))
+    command = F.when(s == "error", "c:\\x\\Mimikatz.exe").when(s == "click", "C:\\Windows\\a.exe").when(s == "view", "d:\\attempt.exe").otherwise("d:\\a.exe")
+    r = rules.start_risk(command)
+    return events(spark, sf_dir).select("event_id", *[r[c].alias(c) for c in ("severity", "level", "indicator")])
 
 
 @query("remote_names", "SELECT p_name AS found FROM part WHERE regexp_matches(p_name, '(?i)red|ring') UNION SELECT o_orderpriority FROM orders WHERE regexp_matches(o_orderpriority, '(?i)red|ring')")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from evspark.operators.rule_index import RuleIndex
 from evspark.operators.rules import Rule, tag_rows
 
 
@@ -35,9 +36,9 @@ def interval_match(a: DataFrame, b: DataFrame, a_ts: str, b_ts: str, key: str, s
     return x.join(y, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{b_ts}") >= F.col(f"a.{a_ts}") - span) & (F.col(f"b.{b_ts}") <= F.col(f"a.{a_ts}") + span))
 
 
-def tagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """SS-05: stateless."""
-    return tag_rows(df, rules)
+def tagged(df: DataFrame, rules: Sequence[Rule] | RuleIndex) -> DataFrame:
+    """SS-05: stateless; rules by the thousand as an index."""
+    return rules.tag_rows(df) if isinstance(rules, RuleIndex) else tag_rows(df, rules)
 
 
 class OpenClose(StatefulProcessor):

@@ -33,8 +33,9 @@ def test_band_join_equals_range_join(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_fixed_origin_equals_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "steps"), [(1, 6), (2, 0), (3, 1)])
+def test_fixed_origin_equals_fold(spark, seed, steps, monkeypatch):
+    monkeypatch.setattr(ordered, "STEPS", steps)
     data = rows(seed=seed)
     got = {(r["event_id"], r["cluster_start"]) for r in ordered.fixed_origin(frame(spark, data).orderBy(F.rand(seed)), ["user_id"], "ts", "event_id", 900).collect()}
     want = set()
