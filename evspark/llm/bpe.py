@@ -132,15 +132,18 @@ class Transducer:
 
     def arc(self, configurations: tuple[tuple[int, Node], ...], byte: int) -> tuple[State, int]:
         """Determinise one transition: next state, and the last token of the encoding up to here."""
-        last, live = NONE, []
+        last, live, fits = NONE, [], self.fits
         for prev, node in configurations:
             nxt = node.get(byte)
             if nxt is None:
                 continue
             if nxt:  # a leaf can't be read further
                 live.append((prev, nxt))
-            if last == NONE and nxt.token != NONE and self.may_follow(prev, nxt.token):
-                last = nxt.token
+            token = nxt.token
+            if last == NONE and token != NONE:
+                ok = fits.get(prev << TOKEN_BITS | token) if prev != NONE else True
+                if self.may_follow(prev, token) if ok is None else ok:
+                    last = token
         if last == NONE:
             raise ValueError("the vocabulary lacks a byte, or its merges are out of order")
         live.append((last, self.root))
