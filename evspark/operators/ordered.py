@@ -156,7 +156,8 @@ def cluster_starts(instants: DataFrame, key: list[str], width: int) -> DataFrame
     # each instant asks its next bucket for the first one over `width` later; else the bucket after that has it
     asks = instants.select(*key, (F.col("__b") + 1).alias("__b"), (F.col("__t") + width).alias("__at"), F.col("__t").alias("__from"), F.lit(None).cast("long").alias("__t"))
     both = instants.select(*bucket, F.col("__t").alias("__at"), F.lit(None).cast("long").alias("__from"), "__t").unionByName(asks)
-    later = Window.partitionBy(*bucket).orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    # latest first: a frame that starts with its partition is a running value, one that ends with it is taken anew each row
+    later = Window.partitionBy(*bucket).orderBy(F.col("__at").desc()).rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("__next", F.min("__t").over(later)).filter("__from is not null")
     after = lows.select(*key, (F.col("__b") - 1).alias("__b"), F.col("__lo").alias("__first"))
     jumps = found.join(after, bucket, "left").select(*key, F.col("__from").alias("__t"), F.coalesce("__next", "__first").alias("__to")).filter(F.col("__to") - F.col("__t") <= 2 * width)
