@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from evspark.functions.predicates import condition
 from evspark.operators.rules import MASK_BITS, Rule, united_masks
 
+#: Rows of a batch that are looked up at once: what they meet is held in numbers, hundreds a row for rules by the thousand.
+ROWS = 500
 COMPARE = {">": ">", "greater_than": ">", ">=": ">=", "<": "<", "less_than": "<", "<=": "<="}
 _BUILT: dict = {}
 
@@ -158,6 +160,9 @@ class RuleIndex:
         get = self._tables()
 
         def tag(columns: pd.DataFrame) -> pd.Series:
+            return pd.concat([some(columns.iloc[i : i + ROWS]) for i in range(0, len(columns), ROWS)] or [some(columns)], ignore_index=True)
+
+        def some(columns: pd.DataFrame) -> pd.Series:
             p, n = get(), len(columns)
             got, width = [np.zeros(0, np.int64)], max(1, len(p.rule_ids))
             for k in range(len(fields)):
@@ -183,6 +188,9 @@ class RuleIndex:
         get = self._tables()
 
         def hits(columns: pd.DataFrame) -> pd.Series:
+            return pd.concat([some(columns.iloc[i : i + ROWS]) for i in range(0, len(columns), ROWS)] or [some(columns)], ignore_index=True)
+
+        def some(columns: pd.DataFrame) -> pd.Series:
             p, n = get(), len(columns)
             where, preds = p.met(columns["text"].tolist(), columns["number"].to_numpy(float), columns["known"].to_numpy(bool), columns["others"])
             where, cond = p.conditions_met(where, preds)
