@@ -135,7 +135,8 @@ def best(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: i
                 top = place < k
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at[top])), ids.take(pa.array(to[top])), pa.array(s[top])], ["query_id", "id", "similarity"])
 
-    met = wanted.join(packed, "block").select("q_ids", "qs", "ids", "vs")
+    # merged, never broadcast: the chunks' copies, one a block, would all go through the driver
+    met = wanted.hint("merge").join(packed, "block").select("q_ids", "qs", "ids", "vs")
     hits = written(met.mapInArrow(search, shape))
     if full is not None:
         full.append((counted[0].value, counted[1].value))
