@@ -73,8 +73,8 @@ def stored_reruns(spark, sf_dir):
 @query("database_table", "SELECT o_orderpriority, count(*) AS n, sum(o_custkey)::BIGINT AS custkeys, max(o_totalprice) AS top FROM orders WHERE o_orderkey > 500 AND o_orderstatus = 'F' GROUP BY 1")
 def database_table(spark, sf_dir):
     """SRC-06, SRC-02: orders written to SQLite files and read back by ranges of rows, filters in the files' queries"""
-    path = fresh_path(spark)
-    sqlite.write_database(load(spark, sf_dir, "orders").repartition(3), path, "orders")
+    path, orders = fresh_path(spark), load(spark, sf_dir, "orders")
+    sqlite.write_database(orders.repartition(max(3, orders.count() // 500_000)), path, "orders")  # a file a task
     df = sqlite.read_database(spark, path, "orders", rows=10_000).filter("o_orderkey > 500 AND o_orderstatus = 'F'")
     return df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("custkeys"), F.max("o_totalprice").alias("top"))
 
