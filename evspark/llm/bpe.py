@@ -236,11 +236,11 @@ class Codec:
 
     PART = 100_000
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = 160_000):
         self.fst = Transducer(ranks)
         # \s of the pattern means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pieces = Pieces(self._piece, 160_000)
+        self.pieces = Pieces(self._piece, known)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
 
     def _piece(self, piece: str) -> bytes:
@@ -264,10 +264,10 @@ class Codec:
         yield stream.close()
 
 
-def codec(held: Broadcast) -> Codec:
+def codec(held: Broadcast, known: int = 160_000) -> Codec:
     """The worker's codec, compiled once for a vocabulary; what it has met stays known, up to its bounds, from task to task."""
     key, ranks, pattern = held.value
-    return kept(key, lambda: Codec(ranks, pattern))
+    return kept((key, known), lambda: Codec(ranks, pattern, known))
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -277,8 +277,9 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((key, ranks, pattern))
 
 
-def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars for every row; with_ids adds the ids themselves.
+def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, known: int = 160_000) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars for every row; with_ids adds the ids themselves. A worker
+    keeps the ids of up to twice `known` pieces that it has met: fewer take less memory and more time.
 
     The digests of the decoded bytes come from decoding the ids, chunk by chunk.
     """
@@ -306,7 +307,7 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab)
+        c = codec(vocab, known)
         for b in batches:
             yield one(c, b)
 
