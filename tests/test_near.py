@@ -60,3 +60,21 @@ def test_queries_shuffle_no_pairs(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join Inner" in line and "__bucket" in line for line in plan.splitlines())
+
+
+def test_close_pairs_are_the_pairs_that_score(spark):
+    """Scores from nearness and equal columns: no pair is lost or met twice, crowded buckets and nulls included, and far
+    fewer pairs are met than lie in the window."""
+    from evspark.operators import correlate
+
+    rng = random.Random(8)
+    some = [(i, T0 + timedelta(seconds=rng.choice([0, 120, 240, 360, 480, 600, rng.randint(0, 6000)]), microseconds=rng.choice([0, 0, 1])), rng.choice([None, *range(9)]), rng.choice([None, *"pqrst"]), rng.choice("xyz")) for i in range(400)]
+    df = spark.createDataFrame(some, "event_id long, ts timestamp, u long, k string, t string").cache()
+    score = correlate.pair_score("a_ts", "b_ts", 600, F.col("a_u") == F.col("b_u"), F.col("a_k") == F.col("b_k"), F.col("a_t") == F.col("b_t"))
+    of = lambda d: sorted((tuple(r) for r in d.select("a_event_id", "b_event_id", "a_ts", "b_k", "dt_s", "score").collect()), key=str)
+    want = of(joins.pair_scores(df, 600, score, 0.5))
+    for side in (10_000, 20):
+        assert of(joins.pair_scores(df, 600, score, 0.5, near=0.5, alike={"u": 0.2, "k": 0.2, "t": 0.1}, side=side)) == want, side
+    met = joins.close_pairs(df, 600, 0.5, "event_id", "ts", 0.5, {"u": 0.2, "k": 0.2, "t": 0.1})
+    every = joins.band_join(df.select(F.col("ts").alias("a")), df.select(F.col("ts").alias("b")), 600, "a", "b").count()
+    assert met.count() < every / 4
