@@ -1,7 +1,7 @@
 """RL-09: an inverted index of character trigrams that narrows rows down to those for which a rule can hold.
 
-Posting lists are a table (field, gram, key), sorted by gram in its files, so that a scan for a few grams skips the rest;
-beside it stands how many keys have each gram. A text that contains a value has all its trigrams, so a condition's
+Posting lists are a table (field, gram, n, keys): a row holds the keys of one gram in a block of some thousand rows. Blocks are
+sorted by gram where they are made, so that a scan for a few grams skips the rest and nothing is shuffled. A text that contains a value has all its trigrams, so a condition's
 candidates are the keys that have its rarest few. Nothing is lost: a condition that the index can't narrow (short
 values, patterns, comparisons, fields that aren't indexed) counts as met, and a rule asks for as many of its other
 conditions as its logic then still needs.
@@ -10,10 +10,12 @@ conditions as its logic then still needs.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.operators.rules import Condition, Rule
@@ -27,9 +29,51 @@ def grams_of(value: str) -> list[str]:
     return sorted({value[i : i + GRAM] for i in range(len(value) - GRAM + 1)})
 
 
-def text_grams(text: Column) -> Column:
-    """Distinct trigrams of a lower-cased text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text.cast("string")), F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1)))
+BITS = 21  # of a code point
+BLOCK = 1_000_000  # entries of a block: grams times keys
+
+
+def text_grams(text: str) -> np.ndarray:
+    """Distinct trigrams of a lower-cased text as numbers of three code points."""
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(p[:-2] << 2 * BITS | p[1:-1] << BITS | p[2:]) if len(p) >= GRAM else np.empty(0, np.int64)
+
+
+def gram_texts(grams: np.ndarray) -> pa.Array:
+    points = np.stack([grams >> 2 * BITS, grams >> BITS & (1 << BITS) - 1, grams & (1 << BITS) - 1], axis=1).astype(np.uint32).tobytes()
+    text = points.decode("utf-32-le", "surrogatepass")
+    return pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string())
+
+
+class Block:
+    """Rows of one task until they are a block of postings."""
+
+    def __init__(self, fields: Sequence[str]):
+        self.fields, self.keys, self.entries, self.n = fields, [], [[] for _ in fields], 0
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.keys.append(batch.column(0))
+        for held, column in zip(self.entries, batch.columns[1:], strict=True):
+            for at, text in enumerate(column.to_pylist(), self.rows):
+                if text is not None and len(grams := text_grams(text.decode("utf-8", "replace"))):
+                    held.append((at, grams))
+                    self.n += len(grams)
+        self.rows += batch.num_rows
+
+    def postings(self) -> Iterator[pa.RecordBatch]:
+        keys = pa.concat_arrays(self.keys)
+        for field, held in zip(self.fields, self.entries, strict=True):
+            if not held:
+                continue
+            grams = np.concatenate([g for _, g in held])
+            rows = np.repeat(np.array([at for at, _ in held]), [len(g) for _, g in held])
+            order = np.argsort(grams, kind="stable")
+            grams, rows = grams[order], rows[order]
+            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            ends = np.r_[first, len(grams)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys.take(pa.array(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(first), pa.string()), gram_texts(grams[first]), pa.array(np.diff(ends)), lists], ["field", "gram", "n", "keys"])
 
 
 def literals(c: Condition) -> list[str] | None:
@@ -57,24 +101,47 @@ class GramIndex:
     def build(df: DataFrame, key: str, fields: Sequence[str], path: str | None = None) -> GramIndex:
         """Index some columns of a table. The key tells rows apart; of repeated keys all rows stay or go together."""
         spark, path = df.sparkSession, path or fresh_path(df.sparkSession)
-        cells = F.array(*[F.struct(F.lit(f.lower()).alias("field"), text_grams(F.col(f)).alias("grams")) for f in fields])
-        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(cells).alias("c")).select("key", "c.field", F.explode("c.grams").alias("gram"))
-        # by key too: a gram of a third of all texts is spread over many files
-        rows.repartitionByRange("field", "gram", "key").sortWithinPartitions("field", "gram", "key").write.parquet(f"{path}/postings")
-        index = GramIndex(spark, path, key, tuple(f.lower() for f in fields))
-        index.postings().groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("field", "gram").sortWithinPartitions("field", "gram").write.parquet(f"{path}/grams")
-        return index
+        names = tuple(f.lower() for f in fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(names)
+            for b in batches:
+                block.add(b)
+                if block.n >= BLOCK:
+                    yield from block.postings()
+                    block = Block(names)
+            if block.n:
+                yield from block.postings()
+
+        # lower-cased by Spark, as the rules' operators do
+        texts = [F.lower(F.col(f).cast("string")).cast("binary").alias(f"t{i}") for i, f in enumerate(fields)]
+        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), *texts)
+        made = rows.mapInArrow(run, f"field string, gram string, n long, keys array<{df.schema[key].dataType.simpleString()}>")
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(batch)
+        spark.conf.set(batch, "1000")  # whole texts
+        try:
+            made.write.parquet(f"{path}/postings")
+        finally:
+            spark.conf.set(batch, before)
+        return GramIndex(spark, path, key, names)
 
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
     def grams(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/grams")
+        """How many keys have each gram."""
+        return self.postings().groupBy("field", "gram").agg(F.sum("n").alias("n"))
 
     def _counts(self, wanted: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Keys that have each wanted gram: at most one row a gram of the rules."""
-        asked = self.spark.createDataFrame(sorted(wanted), "field string, gram string")
-        return {(r["field"], r["gram"]): r["n"] for r in self.grams().join(F.broadcast(asked), ["field", "gram"]).collect()}
+        asked = F.broadcast(self.spark.createDataFrame(sorted(wanted), "field string, gram string"))
+        rows = self._only(sorted({g for _, g in wanted})).join(asked, ["field", "gram"])
+        return {(r["field"], r["gram"]): r["n"] for r in rows.groupBy("field", "gram").agg(F.sum("n").alias("n")).collect()}
+
+    def _only(self, grams: Sequence[str]) -> DataFrame:
+        """Postings narrowed in the scan where the grams are few."""
+        return self.postings().filter(F.col("gram").isin(grams)) if len(grams) <= 1000 else self.postings()
 
     def lookup(self, rules: Sequence[Rule], rarest: int = 4) -> list[tuple] | None:
         """What to look up: for each rule, condition and literal its rarest grams. None if some rule can't be narrowed."""
@@ -103,10 +170,10 @@ class GramIndex:
         if found is None:
             return None
         asked = F.broadcast(self.spark.createDataFrame(found, LOOKUP))  # the size of the rules
-        grams = sorted({f[-1] for f in found})
-        rows = self.postings().filter(F.col("gram").isin(grams)) if len(grams) <= 1000 else self.postings()
-        hits = rows.join(asked, ["field", "gram"]).groupBy("key", "rule", "part", "choice", "need", "n").agg(F.count(F.lit(1)).alias("has"))
-        met = hits.filter("has = n").groupBy("key", "rule", "need").agg(F.count_distinct("part").alias("parts"))
+        rows = self._only(sorted({f[-1] for f in found})).drop("n").join(asked, ["field", "gram"]).withColumn("key", F.explode("keys"))
+        hits = rows.groupBy("key", "rule", "part", "choice", "need", "n").agg(F.count(F.lit(1)).alias("has"))
+        # has > n: a key of several rows
+        met = hits.filter("has >= n").groupBy("key", "rule", "need").agg(F.count_distinct("part").alias("parts"))
         return met.filter("parts >= need").select("key").distinct()
 
     def prefilter(self, df: DataFrame, rules: Sequence[Rule], fall_back: bool = False) -> DataFrame:

@@ -63,6 +63,21 @@ def test_gram_scan_reads_few_files(spark):
     assert [x["key"] for x in index.candidates(r).collect()] == [1999]
 
 
+def test_postings_are_made_by_block(spark, monkeypatch):
+    """A row a gram and block instead of one a gram and key; texts of every plane, repeated keys, empty and null texts."""
+    texts = ["ababab word", "x\n𝔸𝔹c", "İSTANBUL ΣΑΣ", "ab", "", None, "\U0010ffffab"] * 40
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    index = gram_index.GramIndex.build(df, "id", ["text"])
+    got = {(r["gram"], k) for r in index.postings().collect() for k in r["keys"]}
+    lower = df.selectExpr("id", "lower(text) as t").collect()
+    assert got == {(g, r["id"]) for r in lower if r["t"] for g in gram_index.grams_of(r["t"])}
+    assert index.postings().count() == len({g for g, _ in got})
+    monkeypatch.setattr(gram_index, "BLOCK", 50)
+    twice = spark.createDataFrame([(1, "first word"), (1, "other word"), (2, "none")], "id long, text string")
+    r = rules.rules_of([{"rule_id": "a", "label": "A", "conditions": [{"field": "text", "operator": "contains", "value": "word"}]}])
+    assert gram_index.GramIndex.build(twice, "id", ["text"]).prefilter(twice, r).count() == 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_index_equals_columns(spark, seed):
     rng = random.Random(seed)
