@@ -28,7 +28,7 @@ classes, branches and leaves.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -49,6 +49,7 @@ WAYS = 16  # branches of a class, leaves of a branch
 LEAVES = CLASSES * WAYS * WAYS
 BRANCH_ROWS = CLASSES * WAYS * CLASSES
 STEP = 16_384
+LOT = 1 << 15  # bytes of text that are read at once
 EXTREME = 80.0  # logits beyond are cut, so that sums of their exponentials stay finite in single precision
 NAN = float("nan")
 FLUSH = 300_000
@@ -125,10 +126,14 @@ class Reader:
             self.log_c[first:last] = np.log10(n + 0.1)
         self.ids.fresh = []
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Leaf, hash and log10(count + 0.1) (NaN outside the head) of each token, and the tokens."""
-        words = text.lower().split()
-        words.append(END)
+    def tokens(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Leaf, hash and log10(count + 0.1) (NaN outside the head) of each token of some texts one after the other, the
+        tokens, and where each text starts."""
+        words, starts = [], []
+        for text in texts:
+            starts.append(len(words))
+            words += text.lower().split()
+            words.append(END)
         parts = []
         for i in range(0, len(words), self.PART):
             part = words[i : i + self.PART]
@@ -138,31 +143,50 @@ class Reader:
             if self.ids.fresh:
                 self._learn()
             parts.append((self.leaf[at], self.hash[at], self.log_c[at]))
-        if len(parts) == 1:
-            return *parts[0], words
-        return *(np.concatenate(x) for x in zip(*parts, strict=True)), words
-
-
-def features(cls: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The weight rows active at each token of one text, one line a feature: before the text stand end tokens."""
-    c = np.concatenate((np.zeros(2, np.int32), cls))
-    h = np.concatenate((np.zeros(3, np.uint32), hashes))
-    n = len(cls)
-    out = np.empty((4, n), np.uint16)
-    out[0] = c[1 : n + 1] * CLASSES + c[:n]
+        return *(parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))), words, np.array(starts)
+
+
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with their texts, cut so that a lot is some 32 kB of text or one longer text."""
+    for b in batches:
+        first, size, held = 0, 0, []
+        for at, text in enumerate(as_bytes(b.column(0)), 1):
+            held.append(text)
+            size += len(text)
+            if size >= LOT or at == b.num_rows:
+                yield b.slice(first, at - first), held
+                first, size, held = at, 0, []
+
+
+def before(x: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The value k tokens earlier in the same text; 0, as of an end token, before it."""
+    out = np.zeros_like(x)
+    out[k:] = x[: max(0, len(x) - k)]
+    for i in range(k):
+        at = starts + i
+        # a text of fewer tokens than k: its later places belong to the next one, whose own start is in starts too
+        out[at[at < len(x)]] = 0
+    return out
+
+
+ONE = np.zeros(1, np.int64)  # a single text
+
+
+def features(cls: np.ndarray, hashes: np.ndarray, starts: np.ndarray = ONE) -> np.ndarray:
+    """The weight rows active at each token of texts, one line a feature: before a text stand end tokens."""
+    out = np.empty((4, len(cls)), np.uint16)
+    out[0] = before(cls, starts, 1) * CLASSES + before(cls, starts, 2)
     for k in range(3):
         # an odd factor a feature, and the product's upper bits: neighbouring features don't collide alike
-        out[k + 1] = (h[2 - k : 2 - k + n] * FACTORS[k] >> np.uint32(20)) + np.uint32(CLASSES * CLASSES + k * HASHED)
+        out[k + 1] = (before(hashes, starts, k + 1) * FACTORS[k] >> np.uint32(20)) + np.uint32(CLASSES * CLASSES + k * HASHED)
     return out
 
 
-def inner_rows(leaf: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weight row of the branch factor and that of the leaf factor at each token of one text."""
-    before = np.concatenate((np.zeros(1, np.int32), leaf[:-1] // WAYS))
-    word = np.concatenate((np.zeros(1, np.uint32), hashes[:-1]))
+def inner_rows(leaf: np.ndarray, hashes: np.ndarray, bits: int, starts: np.ndarray = ONE) -> tuple[np.ndarray, np.ndarray]:
+    """The weight row of the branch factor and that of the leaf factor at each token of texts."""
     own = (leaf // WAYS).astype(np.uint32)
-    hashed = ((word * FACTORS[0]) ^ (own * FACTORS[1])) * FACTORS[2] >> np.uint32(32 - bits)
-    return (before * CLASSES + leaf // (WAYS * WAYS)).astype(np.uint16), hashed
+    hashed = ((before(hashes, starts, 1) * FACTORS[0]) ^ (own * FACTORS[1])) * FACTORS[2] >> np.uint32(32 - bits)
+    return (before(leaf // WAYS, starts, 1) * CLASSES + leaf // (WAYS * WAYS)).astype(np.uint16), hashed
 
 
 def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
@@ -244,9 +268,9 @@ class Trainer:
         self.held: list[tuple] = []
         self.ready = 0
 
-    def add(self, text: bytes) -> None:
-        leaf, h, _, _ = self.reader.tokens(text)
-        self.held.append((features(leaf // (WAYS * WAYS), h), leaf, *inner_rows(leaf, h, self.bits)))
+    def add(self, texts: Sequence[bytes]) -> None:
+        leaf, h, _, _, starts = self.reader.tokens(texts)
+        self.held.append((features(leaf // (WAYS * WAYS), h, starts), leaf, *inner_rows(leaf, h, self.bits, starts)))
         self.ready += len(leaf)
         if self.ready >= STEP:
             self.flush()
@@ -299,9 +323,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(held.value, rate)
-            for b in batches:
-                for text in as_bytes(b.column(0)):
-                    trainer.add(text)
+            for _, texts in lots(batches):
+                trainer.add(texts)
             trainer.flush()
             yield from trainer.changes()
 
@@ -331,27 +354,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column] |
         m = held.value
         reader = Reader(m)
         leaf_log, biases, bits = np.log10(m.leaf_mass), m.biases(), len(m.leaf_w).bit_length() - 1
-        for b in batches:
-            n, known, log_c, shift, tail = [], [], [], [], []
-            for text in as_bytes(b.column(0)):
-                leaf, h, c, words = reader.tokens(text)
-                s = -float(leaf_log[leaf].sum())
-                cls = leaf // (WAYS * WAYS)
-                rows, (branch, low) = features(cls, h), inner_rows(leaf, h, bits)
-                inner = np.flatnonzero(cls >= SINGLE)
-                for i in range(0, len(cls), STEP):
-                    s += float(log_prob(m.class_w, rows[:, i : i + STEP], cls[i : i + STEP]).sum(dtype=np.float64)) / LOG10
-                for i in range(0, len(inner), STEP):
-                    at = inner[i : i + STEP]
-                    x = leaf[at]
-                    s += float(log_prob(m.branch_w, branch[None, at], x // WAYS % WAYS, biases[0][cls[at]]).sum(dtype=np.float64)) / LOG10
-                    s += float(log_prob(m.leaf_w, low[None, at], x % WAYS, biases[1][x // WAYS]).sum(dtype=np.float64)) / LOG10
-                rare = np.isnan(c)
-                n.append(len(leaf))
-                known.append(int(len(leaf) - rare.sum()))
-                log_c.append(float(c[~rare].sum()))
-                shift.append(s)
-                tail.append(list(Counter([words[i] for i in np.flatnonzero(rare)]).items()))
+        for b, texts in lots(batches):
+            leaf, h, c, words, starts = reader.tokens(texts)
+            own = np.zeros(len(leaf))
+            cls = leaf // (WAYS * WAYS)
+            rows, (branch, low) = features(cls, h, starts), inner_rows(leaf, h, bits, starts)
+            inner = np.flatnonzero(cls >= SINGLE)
+            for i in range(0, len(cls), STEP):
+                own[i : i + STEP] = log_prob(m.class_w, rows[:, i : i + STEP], cls[i : i + STEP])
+            for i in range(0, len(inner), STEP):
+                at = inner[i : i + STEP]
+                x = leaf[at]
+                own[at] += log_prob(m.branch_w, branch[None, at], x // WAYS % WAYS, biases[0][cls[at]])
+                own[at] += log_prob(m.leaf_w, low[None, at], x % WAYS, biases[1][x // WAYS])
+            rare = np.isnan(c)
+            n = np.diff(np.r_[starts, len(leaf)])
+            known = n - np.add.reduceat(rare, starts, dtype=np.int64)
+            log_c, shift = np.add.reduceat(np.where(rare, 0.0, c), starts), np.add.reduceat(own / LOG10 - leaf_log[leaf], starts)
+            tail = [()] * len(texts)
+            at = np.flatnonzero(rare)
+            of = np.searchsorted(starts, at, "right") - 1
+            cut = np.flatnonzero(np.diff(of, prepend=-1))
+            for first, last in zip(cut, np.r_[cut, len(at)][1:], strict=True):
+                tail[of[first]] = list(Counter([words[i] for i in at[first:last]]).items())
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             cols = [pa.array(x, t) for x, t in zip((n, known, log_c, shift), kinds, strict=True)]
             offsets = np.cumsum([0, *map(len, tail)])

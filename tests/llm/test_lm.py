@@ -131,3 +131,15 @@ def test_hot_token_outside_the_head(spark, make, monkeypatch):
     got = {r["doc_id"]: r for r in lm.score(docs, model, counts, keep=[docs["doc_id"]]).collect()}
     assert len(got) == 60
     assert all(got[i]["n_known"] == (5 if i % 2 else 2) for i in got)
+
+
+def test_texts_read_at_once_are_apart():
+    """Weight rows of texts one after the other are those of each text alone, texts of one token included."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 1, 2, 5, 1, 3, 1]
+    starts, n = np.cumsum([0, *sizes[:-1]]), sum(sizes)
+    leaf, h = rng.integers(0, lm.LEAVES, n).astype(np.int32), rng.integers(0, 2**32, n).astype(np.uint32)
+    parts = [slice(s, s + k) for s, k in zip(starts, sizes, strict=True)]
+    assert (lm.features(leaf // 256, h, starts) == np.concatenate([lm.features(leaf[p] // 256, h[p]) for p in parts], axis=1)).all()
+    for got, want in zip(lm.inner_rows(leaf, h, 14, starts), zip(*(lm.inner_rows(leaf[p], h[p], 14) for p in parts), strict=True), strict=True):
+        assert (got == np.concatenate(want)).all()
