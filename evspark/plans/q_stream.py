@@ -78,16 +78,28 @@ def stream_open_close_late(spark, sf_dir):
     return arriving(spark, sf_dir, F.pmod(F.xxhash64("event_id"), F.lit(172_800)), 7)
 
 
+FILE_ROWS = 500_000
+
+
+def dealt(spark, sf_dir, delay_s, files):
+    """A folder of the events, dealt into steps by the time they arrive, and how many files a step has. All steps have the
+    same number, since a batch takes that many: a row of no kind lies in each file. Those of the last step are far in the
+    future and let the watermark pass all others; one more step of them gives the batch in which rows are taken."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_type", (F.unix_timestamp("ts") + delay_s).alias("came"), F.xxhash64("event_id").alias("part"))
+    lo, hi, first, last, rows = e.agg(F.min("came"), F.max("came"), F.min("ts"), F.max("ts"), F.count("came")).first()
+    path, step, parts = fresh_path(spark), -(-(hi + 1 - lo) // files), 1 + rows // (files * FILE_ROWS)
+    e = e.withColumn("part", F.pmod("part", F.lit(parts)))
+    for n in range(files + 1):
+        at = first if n < files - 1 else last + timedelta(days=30)
+        fill = spark.range(parts).select(F.lit(None).cast("long").alias("user_id"), F.lit(at).alias("ts"), F.lit("none").alias("event_type"), F.col("id").alias("part"))
+        some = e.filter(F.floor((F.col("came") - lo) / step) == n).drop("came").unionByName(fill) if n < files else fill
+        some.repartitionById(parts, F.col("part").cast("int")).drop("part").write.mode("append").parquet(path)
+    return path, parts
+
+
 def arriving(spark, sf_dir, delay_s, files):
-    """Closed sessions of the events, dealt into files by the time they arrive and read file by file. Last rows of no
-    kind, far in the future, let the watermark pass all others."""
-    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_type", (F.unix_timestamp("ts") + delay_s).alias("came"))
-    lo, hi, last = e.agg(F.min("came"), F.max("came"), F.max("ts")).first()
-    path, step = fresh_path(spark), -(-(hi + 1 - lo) // files)
-    for n in range(files):
-        e.filter(F.floor((F.col("came") - lo) / step) == n).drop("came").coalesce(1).write.mode("append").parquet(path)
-    for _ in range(2):  # the watermark rises after the first one's batch, and rows are taken in the next
-        spark.createDataFrame([(None, last + timedelta(days=30), "end")], e.drop("came").schema).coalesce(1).write.mode("append").parquet(path)
+    """Closed sessions of the events, read step by step."""
+    path, parts = dealt(spark, sf_dir, delay_s, files)
     kind = F.col("event_type")
-    found = stream.open_close_sessions(read_files(spark, path, 1), "ts", "user_id", kind == "signup", kind == "error", late="3 days")
+    found = stream.open_close_sessions(read_files(spark, path, parts), "ts", "user_id", kind == "signup", kind == "error", late="3 days")
     return plain(to_end(found).filter("end_kind = 'closed'"))
