@@ -28,16 +28,17 @@ classes, branches and leaves.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.shared import as_bytes, count_floor, join_group_facts, small_batches, written
+from evspark.llm.shared import count_floor, join_group_facts, small_batches, written
 
 END = b" "  # no word holds a space
 SINGLE, SUFFIX = 8, 16
@@ -49,13 +50,17 @@ WAYS = 16  # branches of a class, leaves of a branch
 LEAVES = CLASSES * WAYS * WAYS
 BRANCH_ROWS = CLASSES * WAYS * CLASSES
 STEP = 16_384
-LOT = 1 << 15  # bytes of text that are read at once
 EXTREME = 80.0  # logits beyond are cut, so that sums of their exponentials stay finite in single precision
 NAN = float("nan")
-FLUSH = 300_000
+FLUSH = 1 << 21  # tokens that a task counts at once
 LOG10 = float(np.log(10.0))
 
 
+def leaf_numbers(two: np.ndarray, three: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Leaves of tokens without a class of their own, from the hashes of their last two and three bytes and of the whole."""
+    return ((SINGLE + two % SUFFIX) * WAYS + (three >> 8) % WAYS) * WAYS + (whole >> 20) % WAYS
+
+
 @dataclass
 class Model:
     n: int  # training tokens
@@ -75,7 +80,7 @@ class Model:
     def leaves(tokens: list[bytes]) -> np.ndarray:
         """Leaf numbers of tokens that have no class of their own."""
         two, three, whole = (np.fromiter(map(crc32, x), np.uint32, len(tokens)) for x in ([t[-2:] for t in tokens], [t[-3:] for t in tokens], tokens))
-        return ((SINGLE + two % SUFFIX) * WAYS + (three >> 8) % WAYS) * WAYS + (whole >> 20) % WAYS
+        return leaf_numbers(two, three, whole)
 
     def biases(self) -> tuple[np.ndarray, np.ndarray]:
         """Log shares of the branches in each class and of the leaves in each branch."""
@@ -87,75 +92,90 @@ class Model:
         )
 
 
-class Ids(dict):
-    """word -> running number; new words wait in `fresh` for what is known of them."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(word)
-        return at
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC, LONG = _crc_table(), 64
+
+
+def word_crcs(words: pa.Array, last: int | None = None) -> np.ndarray:
+    """zlib's crc32 of each word of a binary array, or of its `last` bytes: a byte of all words at once, long words alone."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size, ends = np.diff(ends), ends[1:]
+    if last is not None:
+        size = np.minimum(size, last)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    most = np.where(size > LONG, 0, size)
+    order = np.argsort(-most)
+    at, active = (ends - size)[order], np.searchsorted(-most[order], -np.arange(most.max(initial=0)), "left")
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for i, k in enumerate(active):
+        x = crc[:k]
+        x[:] = np.take(CRC, (x ^ np.take(data, at[:k] + i)) & np.uint32(255)) ^ x >> np.uint32(8)
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in np.flatnonzero(size > LONG):
+        out[i] = crc32(data[ends[i] - size[i] : ends[i]])
+    return out
 
 
 class Reader:
-    """Texts -> arrays of leaves and hashes; what is known of a token is kept up to a bound."""
+    """Texts -> arrays of leaves and hashes."""
 
-    CAPACITY, PART = 250_000, 100_000
+    PART = 1 << 19
 
     def __init__(self, model: Model):
-        self.model = model
-        self.leaf = np.zeros(self.CAPACITY, np.int32)
-        self.hash = np.zeros(self.CAPACITY, np.uint32)
-        self.log_c = np.full(self.CAPACITY, NAN)
-        self.ids = Ids()
-
-    def _learn(self) -> None:
-        """Fill the arrays for the new words, all at once."""
-        new, m = self.ids.fresh, self.model
-        first, last = len(self.ids) - len(new), len(self.ids)
-        self.hash[first:last] = np.fromiter(map(crc32, new), np.uint32, len(new))
-        self.leaf[first:last] = m.leaves(new)
-        for w, c in m.single.items():
-            if self.ids.get(w, -1) >= first:
-                self.leaf[self.ids[w]] = c * WAYS * WAYS
-        if m.head:
-            n = np.fromiter((m.head.get(w, NAN) for w in new), float, len(new))
-            self.log_c[first:last] = np.log10(n + 0.1)
-        self.ids.fresh = []
-
-    def tokens(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Leaf, hash and log10(count + 0.1) (NaN outside the head) of each token of some texts one after the other, the
-        tokens, and where each text starts."""
-        words, starts = [], []
-        for text in texts:
-            starts.append(len(words))
-            words += text.lower().split()
-            words.append(END)
-        parts = []
-        for i in range(0, len(words), self.PART):
-            part = words[i : i + self.PART]
-            if len(self.ids) + len(part) > self.CAPACITY:
-                self.ids = Ids()
-            at = np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part))
-            if self.ids.fresh:
-                self._learn()
-            parts.append((self.leaf[at], self.hash[at], self.log_c[at]))
-        return *(parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))), words, np.array(starts)
-
-
-def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches with their texts, cut so that a lot is some 32 kB of text or one longer text."""
-    for b in batches:
-        first, size, held = 0, 0, []
-        for at, text in enumerate(as_bytes(b.column(0)), 1):
-            held.append(text)
-            size += len(text)
-            if size >= LOT or at == b.num_rows:
-                yield b.slice(first, at - first), held
-                first, size, held = at, 0, []
+        self.single = pa.array(model.single, pa.binary()), np.array(list(model.single.values()), np.int32)
+        self.head = model.head
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf, hash and log10(count + 0.1) of words."""
+        h = word_crcs(words)
+        leaf = leaf_numbers(word_crcs(words, 2), word_crcs(words, 3), h).astype(np.int32)
+        at = pc.index_in(words, value_set=self.single[0]).fill_null(-1).to_numpy()
+        own = at >= 0
+        leaf[own] = self.single[1][at[own]] * (WAYS * WAYS)
+        n = np.fromiter((self.head.get(w, NAN) for w in words.to_pylist()), float, len(words)) if self.head else np.full(len(words), NAN)
+        return leaf, h, np.log10(n + 0.1)
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]:
+        """Leaf, hash and log10(count + 0.1) (NaN outside the head) of each token of some texts one after the other, where
+        each text starts, and a function that gives the tokens of some places. A word is looked up once a part."""
+        flat, n = split(texts)
+        ends = np.cumsum(n + 1) - 1
+        total = int(ends[-1]) + 1 if len(ends) else 0
+        inside = np.ones(total, bool)
+        inside[ends] = False
+        leaf, h, log_c = np.empty(total, np.int32), np.empty(total, np.uint32), np.empty(total)
+        places = np.flatnonzero(inside)
+        for i in range(0, len(flat), self.PART):
+            part = flat.slice(i, self.PART).dictionary_encode()
+            codes, at = part.indices.to_numpy(), places[i : i + self.PART]
+            for to, known in zip((leaf, h, log_c), self.known(part.dictionary), strict=True):
+                to[at] = np.take(known, codes)
+        for to, known in zip((leaf, h, log_c), self.known(pa.array([END], pa.binary())), strict=True):
+            to[ends] = known
+
+        def words(at: np.ndarray) -> list[bytes]:
+            is_end = ~inside[at]
+            index = np.where(is_end, 0, at - np.searchsorted(ends, at))
+            return [x or END for x in flat.take(pa.array(index, mask=is_end)).to_pylist()]
+
+        return leaf, h, log_c, ends - n, words
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, A-Z in lower case, one after the other as binary, and how many each text has (null: none)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, bounds = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # blanks at a text's ends leave empty words
+    upto = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    n = np.diff(upto[bounds - bounds[0]])
+    return flat.filter(full).cast(pa.binary()), n
 
 
 def before(x: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -198,6 +218,12 @@ def _logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) ->
     return np.clip(z, -EXTREME, EXTREME, out=z)
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
+
+
 def log_prob(w: np.ndarray, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each token's class (branch, leaf)."""
     z = _logits(w, rows, bias)
@@ -211,38 +237,93 @@ class Adagrad:
         self.squares = np.full(weights.shape, 1e-2, np.float32)
         self.use = np.zeros(len(weights))
 
-    def step(self, rows: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> None:
-        z = _logits(self.w, rows, bias)
-        np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    def _move(self, hit: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
+        """Rows `hit` by their sums of gradients, of `counts` tokens each."""
+        total /= counts[:, None].astype(np.float32)
+        squares = np.take(self.squares, hit, axis=0)
+        squares += total * total
+        self.squares[hit] = squares
+        total *= self.rate
+        total /= np.sqrt(squares, out=squares)
+        self.w[hit] -= total
+        self.use[hit] += counts
+
+    def step(self, rows: np.ndarray, classes: np.ndarray) -> None:
+        z = _softmax(_logits(self.w, rows))
         z[np.arange(len(z)), classes] -= 1  # the gradient
+        columns = z.T.astype(float, order="C")
         for r in rows:  # features have rows of their own, so one after the other is all at once
-            order = np.argsort(r, kind="stable")
-            at = r[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            hit, counts = at[first], np.diff(np.r_[first, len(at)])
-            total = np.add.reduceat(np.take(z, order, axis=0), first, axis=0)
-            total /= counts[:, None].astype(np.float32)
-            squares = self.squares[hit] + total * total
-            self.squares[hit] = squares
-            self.w[hit] -= self.rate * total / np.sqrt(squares)
-            self.use[hit] += counts
+            low = int(r.min())
+            at = r.astype(np.intp) - low
+            counts = np.bincount(at)
+            hit = np.flatnonzero(counts)
+            total = np.stack([np.bincount(at, c)[hit] for c in columns], axis=1, dtype=np.float32, casting="same_kind")
+            self._move(hit + low, counts[hit], total)
+
+    def step_nodes(self, rows: np.ndarray, own: np.ndarray, nodes: np.ndarray, biases: np.ndarray) -> None:
+        """A step where one row and the bias of a node make the logits: tokens that have both in common are taken together."""
+        pairs, at = np.unique(rows.astype(np.int64) * len(biases) + nodes, return_inverse=True)
+        row, node = np.divmod(pairs, len(biases))
+        counts = np.bincount(at)
+        z = _softmax(_logits(self.w, row[None], np.take(biases, node, axis=0)))
+        z *= counts[:, None].astype(np.float32)
+        z -= np.bincount(at * z.shape[1] + own, minlength=z.size).reshape(z.shape)
+        first = np.r_[True, row[1:] != row[:-1]]
+        if not first.all():  # nodes that share a row
+            to, more = (np.cumsum(first) - 1)[~first], (counts[~first], z[~first])
+            counts, z = counts[first], z[first]
+            np.add.at(counts, to, more[0])
+            np.add.at(z, to, more[1])
+        self._move(row[first], counts, z)
+
+
+class Scorer:
+    """Natural log probabilities of tokens down to their leaves, from exponentials of the weights that are made once.
+    Weights are cut so that products of theirs stay finite; shares still sum to 1."""
+
+    def __init__(self, model: Model):
+        biases = model.biases()
+        cut = lambda w, most: np.exp(np.clip(w, -most, most))
+        self.classes = cut(model.class_w, EXTREME / 4)
+        branches = _softmax(_logits(model.branch_w, np.arange(BRANCH_ROWS)[None], np.tile(biases[0], (BRANCH_ROWS // CLASSES, 1))))
+        self.branches = np.log(np.maximum(branches, np.finfo(np.float32).tiny)).ravel()
+        self.leaves, self.shares = cut(model.leaf_w, EXTREME), np.exp(biases[1])
+
+    def log_prob(self, rows: np.ndarray, leaf: np.ndarray, branch: np.ndarray, low: np.ndarray) -> np.ndarray:
+        out = np.empty(len(leaf))
+        for i in range(0, len(leaf), STEP // 4):  # what is held at once stays in the processor's cache
+            at = slice(i, i + STEP // 4)
+            x, own = leaf[at], out[at]
+            z = np.take(self.classes, rows[0, at], axis=0)
+            for r in rows[1:, at]:
+                z *= np.take(self.classes, r, axis=0)
+            own[:] = np.log(z[np.arange(len(z)), x // (WAYS * WAYS)] / (z @ np.ones(CLASSES, np.float32)))
+            inner = np.flatnonzero(x >= SINGLE * WAYS * WAYS)
+            x, r = x[inner], low[at][inner]
+            z = np.take(self.leaves, r, axis=0)
+            z *= np.take(self.shares, x // WAYS, axis=0)
+            own[inner] += np.take(self.branches, branch[at][inner].astype(np.intp) * WAYS + x // WAYS % WAYS)
+            own[inner] += np.log(z[np.arange(len(z)), x % WAYS] / (z @ np.ones(WAYS, np.float32)))
+        return out
 
 
 def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """token (binary), n over all rows of docs; tasks sum first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
+        def out() -> pa.RecordBatch:
+            n = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([n.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([n.field("counts"), pa.array([ends], pa.int64())])], ["token", "n"])
+
+        held, size, ends = [], 0, 0
         for b in batches:
-            for text in as_bytes(b.column(0)):
-                held.update(text.lower().split())
-                held[END] += 1
-                if len(held) >= FLUSH:
-                    yield out()
-                    held.clear()
-        if held:
+            flat, _ = split(b.column(0))
+            held.append(flat)
+            size, ends = size + len(flat), ends + b.num_rows
+            if size >= FLUSH:
+                yield out()
+                held, size, ends = [], 0, 0
+        if ends:
             yield out()
 
     return small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -268,26 +349,29 @@ class Trainer:
         self.held: list[tuple] = []
         self.ready = 0
 
-    def add(self, texts: Sequence[bytes]) -> None:
-        leaf, h, _, _, starts = self.reader.tokens(texts)
+    def add(self, texts: pa.Array) -> None:
+        leaf, h, _, starts, _ = self.reader.tokens(texts)
         self.held.append((features(leaf // (WAYS * WAYS), h, starts), leaf, *inner_rows(leaf, h, self.bits, starts)))
         self.ready += len(leaf)
         if self.ready >= STEP:
-            self.flush()
+            self.flush(self.ready // STEP * STEP)
 
-    def flush(self) -> None:
+    def flush(self, most: int | None = None) -> None:
+        """The steps of the first `most` tokens, or of all."""
         if not self.ready:
             return
         rows, leaf, branch, low = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
-        self.held, self.ready = [], 0
-        for i in range(0, len(leaf), 2 * STEP):
-            x = leaf[i : i + 2 * STEP]
-            self.parts[0].step(rows[:, i : i + 2 * STEP], x // (WAYS * WAYS))
+        most = len(leaf) if most is None else most
+        self.held, self.ready = [(rows[:, most:], leaf[most:], branch[most:], low[most:])], len(leaf) - most
+        for i in range(0, most, STEP):
+            at = slice(i, min(i + STEP, most))
+            x = leaf[at]
+            self.parts[0].step(rows[:, at], x // (WAYS * WAYS))
             inner = np.flatnonzero(x >= SINGLE * WAYS * WAYS)
             x = x[inner]
             if len(x):
-                self.parts[1].step(branch[None, i + inner], x // WAYS % WAYS, self.biases[0][x // (WAYS * WAYS)])
-                self.parts[2].step(low[None, i + inner], x % WAYS, self.biases[1][x // WAYS])
+                self.parts[1].step_nodes(branch[i + inner], x // WAYS % WAYS, x // (WAYS * WAYS), self.biases[0])
+                self.parts[2].step_nodes(low[i + inner], x % WAYS, x // WAYS, self.biases[1])
 
     def changes(self) -> Iterator[pa.RecordBatch]:
         """row, use and the change times use of each weight row used; rows of the three parts are numbered on."""
@@ -323,8 +407,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = 2, rate: float
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(held.value, rate)
-            for _, texts in lots(batches):
-                trainer.add(texts)
+            for b in batches:
+                trainer.add(b.column(0))
             trainer.flush()
             yield from trainer.changes()
 
@@ -353,30 +437,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[Column] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         reader = Reader(m)
-        leaf_log, biases, bits = np.log10(m.leaf_mass), m.biases(), len(m.leaf_w).bit_length() - 1
-        for b, texts in lots(batches):
-            leaf, h, c, words, starts = reader.tokens(texts)
-            own = np.zeros(len(leaf))
-            cls = leaf // (WAYS * WAYS)
-            rows, (branch, low) = features(cls, h, starts), inner_rows(leaf, h, bits, starts)
-            inner = np.flatnonzero(cls >= SINGLE)
-            for i in range(0, len(cls), STEP):
-                own[i : i + STEP] = log_prob(m.class_w, rows[:, i : i + STEP], cls[i : i + STEP])
-            for i in range(0, len(inner), STEP):
-                at = inner[i : i + STEP]
-                x = leaf[at]
-                own[at] += log_prob(m.branch_w, branch[None, at], x // WAYS % WAYS, biases[0][cls[at]])
-                own[at] += log_prob(m.leaf_w, low[None, at], x % WAYS, biases[1][x // WAYS])
+        scorer, leaf_log, bits = Scorer(m), np.log10(m.leaf_mass), len(m.leaf_w).bit_length() - 1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            leaf, h, c, starts, words = reader.tokens(b.column(0))
+            own = scorer.log_prob(features(leaf // (WAYS * WAYS), h, starts), leaf, *inner_rows(leaf, h, bits, starts))
             rare = np.isnan(c)
             n = np.diff(np.r_[starts, len(leaf)])
             known = n - np.add.reduceat(rare, starts, dtype=np.int64)
             log_c, shift = np.add.reduceat(np.where(rare, 0.0, c), starts), np.add.reduceat(own / LOG10 - leaf_log[leaf], starts)
-            tail = [()] * len(texts)
+            tail = [()] * b.num_rows
             at = np.flatnonzero(rare)
-            of = np.searchsorted(starts, at, "right") - 1
+            of, found = np.searchsorted(starts, at, "right") - 1, words(at)
             cut = np.flatnonzero(np.diff(of, prepend=-1))
             for first, last in zip(cut, np.r_[cut, len(at)][1:], strict=True):
-                tail[of[first]] = list(Counter([words[i] for i in at[first:last]]).items())
+                tail[of[first]] = list(Counter(found[first:last]).items())
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             cols = [pa.array(x, t) for x, t in zip((n, known, log_c, shift), kinds, strict=True)]
             offsets = np.cumsum([0, *map(len, tail)])

@@ -143,3 +143,52 @@ def test_texts_read_at_once_are_apart():
     assert (lm.features(leaf // 256, h, starts) == np.concatenate([lm.features(leaf[p] // 256, h[p]) for p in parts], axis=1)).all()
     for got, want in zip(lm.inner_rows(leaf, h, 14, starts), zip(*(lm.inner_rows(leaf[p], h[p], 14) for p in parts), strict=True), strict=True):
         assert (got == np.concatenate(want)).all()
+
+
+def test_words_are_cut_and_hashed_as_bytes():
+    """Split, lower-cased and hashed column by column as bytes.split, bytes.lower and crc32 do it, empty and null texts included."""
+    from zlib import crc32
+
+    import pyarrow as pa
+
+    texts = ["", None, "  A b\t\tC\x0b\x0c\r\n", "É\x1cÀ x\x85y z", "a" * 65 + " " + "B" * 64 + " zz", " ", "the a THE"]
+    texts = [*texts, "cut off"]
+    column = pa.array(["cut off", *texts])[1:-1]
+    words = [tokens(t) for t in texts[:-1]]
+    flat, n = lm.split(column)
+    assert flat.to_pylist() == [x for w in words for x in w[:-1]] and n.tolist() == [len(w) - 1 for w in words]
+    assert all(lm.word_crcs(flat, k).tolist() == [crc32(x if k is None else x[-k:]) for x in flat.to_pylist()] for k in (None, 2, 3))
+    single, head = {b" ": 0, b"a": 1}, {b" ": 9, b"the": 3, b"a": 4}
+    model = lm.Model(9, 9, single, head, np.full(lm.LEAVES, 0.1), *(np.zeros((2, 2), np.float32),) * 3)
+    lm.Reader.PART, whole = 2, lm.Reader.PART  # a batch of several parts
+    try:
+        leaf, h, log_c, starts, at = lm.Reader(model).tokens(column)
+    finally:
+        lm.Reader.PART = whole
+    every = [x for w in words for x in w]
+    assert leaf.tolist() == [model.leaf_of(x) for x in every] and h.tolist() == [crc32(x) for x in every]
+    assert at(np.arange(len(every))) == every and starts.tolist() == np.cumsum([0, *map(len, words)])[:-1].tolist()
+    assert np.allclose(log_c, [math.log10(head.get(x, math.nan) + 0.1) for x in every], equal_nan=True)
+
+
+def test_step_of_shared_nodes_is_that_of_single_tokens():
+    """Tokens of one row and node are taken together; rows, own branches and nodes collide in every way."""
+    rng = np.random.default_rng(4)
+    rows, own, nodes = rng.integers(3, 9, 200), rng.integers(0, 16, 200), rng.integers(0, 4, 200)
+    w, biases = rng.normal(size=(12, 16)).astype(np.float32), rng.normal(size=(4, 16)).astype(np.float32)
+    got = lm.Adagrad(w, 0.3)
+    got.step_nodes(rows.astype(np.uint32), own, nodes, biases)
+    z = w[rows].astype(float) + biases[nodes]
+    z = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) - np.eye(16)[own]
+    for r in range(12):
+        mean = z[rows == r].mean(axis=0) if (rows == r).any() else np.zeros(16)
+        assert np.allclose(got.w[r], w[r] - 0.3 * mean / np.sqrt(0.01 + mean**2), atol=1e-4) and got.use[r] == (rows == r).sum()
+    classes, features = rng.integers(0, 16, 200), np.stack([rng.integers(0, 5, 200), rng.integers(7, 12, 200)]).astype(np.uint16)
+    got = lm.Adagrad(w, 0.3)
+    got.step(features, classes)
+    z = w[features[0]].astype(float) + w[features[1]]
+    z = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) - np.eye(16)[classes]
+    for r in range(12):
+        mine = (features == r).any(axis=0)
+        mean = z[mine].mean(axis=0) if mine.any() else np.zeros(16)
+        assert np.allclose(got.w[r], w[r] - 0.3 * mean / np.sqrt(0.01 + mean**2), atol=1e-4) and got.use[r] == mine.sum()
