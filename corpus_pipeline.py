@@ -43,7 +43,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of each row, checked by decoding them."""
     vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     # executors that have run the stages before have less memory left
-    coded = bpe.encode(docs, vocab, with_ids=True, known=40_000)
+    coded = bpe.encode(docs, vocab, with_ids=True, known=40_000, arcs=250_000)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("ids").alias("token_ids"))
 
 

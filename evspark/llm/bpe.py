@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
@@ -56,8 +57,8 @@ class State(dict):
 
     __slots__ = ("fst", "live")
 
-    def __init__(self, fst: Transducer, live: tuple[tuple[int, Node], ...]):
-        self.fst, self.live = fst, live  # live configurations, in order of their boundaries
+    def __init__(self, fst: Transducer, live: tuple[int | Node, ...]):
+        self.fst, self.live = fst, live  # live configurations, in order of their boundaries: token, node, token, node
 
     def __missing__(self, byte: int) -> tuple[State, int]:
         arc = self[byte] = self.fst.arc(self.live, byte)
@@ -65,11 +66,12 @@ class State(dict):
 
 
 class Transducer:
-    MAX_ARCS, MAX_FITS = 250_000, 100_000  # arcs exceed their bound by COMMIT at most
+    MAX_ARCS, MAX_FITS = 1_000_000, 100_000  # arcs exceed their bound by COMMIT at most
     COMMIT = 512
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], arcs: int | None = None):
         self.ranks = ranks
+        self.MAX_ARCS = arcs or self.MAX_ARCS
         self.bytes_of = {t: b for b, t in ranks.items()}
         self.length = {t: len(b) for b, t in ranks.items()}
         self.root = Node(0)
@@ -86,11 +88,14 @@ class Transducer:
             if len(b) > 1:
                 self.parts[t] = self._halves(b, t)
         self.fits: dict[int, bool] = {}
+        self.states: dict[tuple, State] = {}
         self._forget()
 
     def _forget(self) -> None:
+        for state in self.states.values():  # states lead to each other, and would stay until a collection
+            state.clear()
         self.n_arcs = 0
-        self.start = State(self, ((NONE, self.root),))
+        self.start = State(self, (NONE, self.root))
         self.states = {self.start.live: self.start}
 
     def _halves(self, word: bytes, rank: int) -> tuple[int, int]:
@@ -130,15 +135,15 @@ class Transducer:
         self.fits[a << TOKEN_BITS | b] = ok
         return ok
 
-    def arc(self, configurations: tuple[tuple[int, Node], ...], byte: int) -> tuple[State, int]:
+    def arc(self, configurations: tuple[int | Node, ...], byte: int) -> tuple[State, int]:
         """Determinise one transition: next state, and the last token of the encoding up to here."""
         last, live, fits = NONE, [], self.fits
-        for prev, node in configurations:
+        for prev, node in zip(configurations[::2], configurations[1::2], strict=True):
             nxt = node.get(byte)
             if nxt is None:
                 continue
             if nxt:  # a leaf can't be read further
-                live.append((prev, nxt))
+                live += prev, nxt
             token = nxt.token
             if last == NONE and token != NONE:
                 ok = fits.get(prev << TOKEN_BITS | token) if prev != NONE else True
@@ -146,8 +151,7 @@ class Transducer:
                     last = token
         if last == NONE:
             raise ValueError("the vocabulary lacks a byte, or its merges are out of order")
-        live.append((last, self.root))
-        key = tuple(live)
+        key = (*live, last, self.root)
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = State(self, key)
@@ -156,7 +160,16 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        state, ends = self.start, []  # ends: last token at each byte since the boundary up to which tokens are out
+        ends = []  # last token at each byte since the boundary up to which tokens are out
+        if len(piece) <= self.COMMIT:
+            if self.n_arcs > self.MAX_ARCS:
+                self._forget()
+            state = self.start
+            for byte in piece:
+                state, last = state[byte]
+                ends.append(last)
+            return self._chain(ends, len(ends))
+        state = self.start
         for i in range(0, len(piece), self.COMMIT):
             if self.n_arcs > self.MAX_ARCS:  # within a piece too: what is live goes on in a state made anew
                 live = state.live
@@ -184,7 +197,7 @@ class Transducer:
     def _settled(self, state: State, ends: list[int]) -> int:
         """The furthest boundary on the chains of all live configurations."""
         n, common = len(ends), None
-        for _, node in state.live:  # a live configuration's boundary is as many bytes back as its node is deep
+        for node in state.live[1::2]:  # a live configuration's boundary is as many bytes back as its node is deep
             at, chain = n - node.depth, set()
             while at > 0:
                 chain.add(at)
@@ -222,6 +235,42 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+class Splitter:
+    """Splits texts by a pattern of Unicode classes. `re` has no such classes, but is fast with explicit sets: the classes
+    are spelled out for the first plane, with the members that `regex` gives them. Texts with characters beyond it, and
+    patterns with anything that the two engines may read differently, are left to `regex`."""
+
+    SAME = re.compile(r"\\p\{\w+\}|\\[sS]|\(\?[!:=]|[^\\](?<!\()|\((?!\?)", re.DOTALL)
+
+    def __init__(self, pattern: str):
+        # \s means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
+        self.full = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.plane = self._spelled_out(pattern)
+
+    @classmethod
+    def _spelled_out(cls, pattern: str) -> re.Pattern | None:
+        letters = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+        runs = lambda kind: "".join(rf"\u{ord(m[0]):04x}-\u{ord(m[-1]):04x}" for m in regex.findall(rf"\p{{{kind}}}+", letters))
+        out, inside, read = [], False, 0
+        for part in cls.SAME.findall(pattern):
+            read += len(part)
+            if part in ("[", "]"):
+                if (part == "[") == inside:
+                    return None
+                inside = part == "["
+            if part == r"\S" and inside:
+                return None
+            if len(part) > 1 and part[0] == "\\":
+                members = runs("White_Space" if part in (r"\s", r"\S") else part[3:-1])
+                part = members if inside else f"[^{members}]" if part == r"\S" else f"[{members}]"
+            out.append(part)
+        return re.compile("".join(out)) if read == len(pattern) else None
+
+    def __call__(self, text: str) -> list[str]:
+        plane = self.plane is not None and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text))
+        return (self.plane if plane else self.full).findall(text)
+
+
 class Pieces(IdCache):
     """Ids of pieces met before; long pieces are encoded each time, so that the bound on pieces bounds memory."""
 
@@ -236,10 +285,9 @@ class Codec:
 
     PART = 100_000
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = 160_000):
-        self.fst = Transducer(ranks)
-        # \s of the pattern means Unicode white space, which is spelled out: engines differ on \x1c to \x1f
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = 160_000, arcs: int | None = None):
+        self.fst = Transducer(ranks, arcs)
+        self.split = Splitter(pattern)
         self.pieces = Pieces(self._piece, known)
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
 
@@ -251,7 +299,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode_chunks(self, ids: bytes) -> Iterable[bytes]:
         for i in range(0, len(ids), 4 * self.PART):
@@ -264,10 +312,10 @@ class Codec:
         yield stream.close()
 
 
-def codec(held: Broadcast, known: int = 160_000) -> Codec:
+def codec(held: Broadcast, known: int = 160_000, arcs: int | None = None) -> Codec:
     """The worker's codec, compiled once for a vocabulary; what it has met stays known, up to its bounds, from task to task."""
     key, ranks, pattern = held.value
-    return kept((key, known), lambda: Codec(ranks, pattern, known))
+    return kept((key, known, arcs), lambda: Codec(ranks, pattern, known, arcs))
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -277,9 +325,12 @@ def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((key, ranks, pattern))
 
 
-def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, known: int = 160_000) -> DataFrame:
+def encode(
+    docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, known: int = 160_000, arcs: int | None = None
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars for every row; with_ids adds the ids themselves. A worker
-    keeps the ids of up to twice `known` pieces that it has met: fewer take less memory and more time.
+    keeps the ids of up to twice `known` pieces that it has met and `arcs` transitions (Transducer.MAX_ARCS if none are
+    given), some 350 bytes each: fewer take less memory and more time.
 
     The digests of the decoded bytes come from decoding the ids, chunk by chunk.
     """
@@ -307,7 +358,7 @@ def encode(docs: DataFrame, vocab: Broadcast, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab, known)
+        c = codec(vocab, known, arcs)
         for b in batches:
             yield one(c, b)
 

@@ -77,6 +77,35 @@ def test_states_stay_within_their_bound_in_one_piece(ranks, library):
     assert fst.encode(piece[:30_000]) == library.encode_ordinary(piece[:30_000].decode())
 
 
+def test_forgotten_states_are_let_go(ranks, library):
+    fst = bpe.Transducer(ranks, arcs=20)
+    before = list(fst.states.values())
+    for t in ("internationalisation", "hello", "zz" * 600):
+        assert fst.encode(t.encode()) == library.encode_ordinary(t)
+        before += fst.states.values()
+    now = {id(s) for s in fst.states.values()}
+    assert fst.MAX_ARCS == 20 and not any(s for s in before if id(s) not in now)
+
+
+def test_classes_spelled_out_for_the_first_plane():
+    split = bpe.Splitter(P.PATTERN)
+    assert split.plane is not None
+    rng = random.Random(11)
+    letters = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x10000))]
+    some = [c for c in letters if c.isspace()] + list(" 'sdmtrevl" * 3) + ["\x1c", "²", "Ⅷ", "一", "́", "é", "Σ", "ſ"]
+    for t in ["".join(letters), " ".join(letters), "'".join(letters), *("".join(rng.choices(some, k=30)) for _ in range(3000))]:
+        assert split.plane.findall(t) == split.full.findall(t) == split(t)
+    for t in ("a😀b 𝒜x 𝟙2", "𐀀"):
+        assert split(t) == split.full.findall(t)
+    assert split("a😀b") == ["a", "😀", "b"] and split(" 𝒜x 𝟙") == [" 𝒜x", " 𝟙"]
+
+
+@pytest.mark.parametrize("pattern", [r"(?i:'s)|\p{L}+|.", r"[^\r\n]+|\p{L}", r"[\S]+|\s", r"(?<=a)b|\w"])
+def test_other_patterns_are_left_to_regex(pattern):
+    split = bpe.Splitter(pattern)
+    assert split.plane is None and split("it'S Ab ſ") == split.full.findall("it'S Ab ſ")
+
+
 def test_utf8_stream_splits_anywhere():
     data = "aé中😀́z".encode()
     for i in range(len(data) + 1):
