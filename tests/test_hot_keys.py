@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,30 @@ def test_crowded_second_is_spread(spark):
     assert len(sizes) == 14 * 17 and max(sizes) < 80
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_ordered_pairs_pack_into_runs(spark, tmp_path, broadcast):
+    """40 copies of each row: the same pairs in any order, in long runs of equal distances if both sides come in order."""
+    rng = random.Random(8)
+    at = [T0 + timedelta(microseconds=rng.randint(0, 7_200_000_000)) for _ in range(60)]
+    a = spark.createDataFrame([(1000 * k + i, t) for k in range(40) for i, t in enumerate(at[:20])], "a long, at timestamp")
+    b = spark.createDataFrame([(1000 * k + i, t) for k in range(40) for i, t in enumerate(at[20:])], "b long, bt timestamp")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {}
+        for name, order, side in (("plain", None, 10_000), ("runs", (["at", "a"], ["bt", "b"]), 10_000), ("cells", (["at", "a"], ["bt", "b"]), 300)):
+            joins.band_join(a, b, 900, "at", "bt", side=side, order=order).select("a", "b", "dt_s").coalesce(1).write.parquet(str(tmp_path / name))
+            t = spark.read.parquet(str(tmp_path / name))
+            got[name] = t.count(), t.distinct().count(), t.selectExpr("sum(xxhash64(a, b, dt_s) % 1000000007)").first()[0]
+            rows = [r for f in sorted((tmp_path / name).glob("*.parquet")) for r in pq.read_table(f)["dt_s"].to_pylist()]
+            got[name, "runs"] = 1 + sum(x != y for x, y in zip(rows, rows[1:], strict=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert got["plain"] == got["runs"] == got["cells"] and got["plain"][0] == got["plain"][1] > 100_000
+    pairs = got["plain"][0]
+    assert got["plain", "runs"] > pairs / 2 and got["runs", "runs"] <= pairs / 30 and got["cells", "runs"] < pairs / 3
+
+
 def test_long_intervals_meet_points_in_cells(spark):
     rng = random.Random(6)
     spans = [(i, T0 + timedelta(minutes=(s := rng.randint(0, 50_000))), T0 + timedelta(minutes=s + rng.choice([1, 30, 40_000, 2_000_000]))) for i in range(40)]
