@@ -35,6 +35,15 @@ def test_nearest_and_reach_equal_pairs(spark, seed):
     assert rows(near.reach(a, b, 300, "a", "a_ts", "b_ts"), "a", "n", "spread_s") == rows(far, "a", "n", "spread_s")
 
 
+def test_nearest_row_without_a_key_keeps_its_columns(spark):
+    """It is found like any other, with its source; of rows equally near it is the last."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    a = spark.createDataFrame([(1, at(0)), (2, at(1000)), (None, at(2000))], "a long, a_ts timestamp")
+    b = spark.createDataFrame([(None, at(5), "x"), (None, at(1010), "x"), (8, at(990), "x"), (9, at(1010), "y"), (None, at(1010), "y"), (None, at(2000), "z")], "b long, b_ts timestamp, kind string")
+    got = {tuple(r) for r in near.nearest_rows(a, b, 300, "a", "a_ts", "b", "b_ts", "kind").select("a", "kind", "b", "dt_s").collect()}
+    assert got == {(1, "x", None, 5.0), (2, "x", 8, 10.0), (2, "y", 9, 10.0), (None, "z", None, 0.0)}
+
+
 @pytest.mark.parametrize(("most", "crowd"), [(100, 500_000), (7, 500_000), (7, 20)])
 def test_combinations_equal_pairs(spark, most, crowd):
     for seed in (1, 2):
