@@ -18,6 +18,10 @@ lower end are scored. The second meets chunks with all blocks and finds, for eac
 with a score within its window: rows whose interval meets the window and reaches the k-th best lower end of those that
 are certainly in it are scored. A large label or copies of one vector are dealt over as many blocks as they fill.
 
+Chunks and blocks meet by parts, runs of blocks of some megabytes: a chunk is copied once for each part it meets and then
+read beside all of the part's blocks, so the copies grow with the parts and not with the blocks. They are merged, never
+broadcast: all copies would go through the driver.
+
 Rows with a null id, label or vector, or a null or non-finite component, take no part; shorter vectors count as padded
 with 0, zero vectors score 0. Ties go to the smaller id. A row's own id is neither its positive nor its negative; rows that share an
 id are candidates each and one anchor together, with the least label and vector. Positives of score 0 have the window 0,
@@ -44,6 +48,7 @@ LAYERS = 6  # one-bit codes of a vector
 PLANES = 8  # bits of a rounded component of an anchor
 AT_ONCE = 64  # anchors compared with a block in one step
 WORD = 64  # bits of a code are held in words of 64
+PART_BYTES = 16 << 20  # of blocks that a chunk meets at once
 
 
 class Rotation:
@@ -200,12 +205,13 @@ def floor_div(a: Column, b: int) -> Column:
     return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
 
 
-def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low: Fraction = Fraction(50, 100), high: Fraction = Fraction(95, 100), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", scale: float = 256.0, block: int = 2048, chunk: int = 512, scored: list | None = None) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low: Fraction = Fraction(50, 100), high: Fraction = Fraction(95, 100), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", scale: float = 256.0, block: int = 2048, chunk: int = 512, scored: list | None = None, parts: int | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: for each anchor (is_anchor is a condition
     on vec_id) and each of its `positives` best rows of the same label the first `negatives` rows of other labels whose
     score is from low to high times the positive's.
 
-    Blocks hold about `block` rows, chunks about `chunk` anchors. scored, if given, gets (products taken, pairs met) for
+    Blocks hold about `block` rows, chunks about `chunk` anchors; blocks form `parts` parts at least (four a core), if there
+    are as many, and more where these would be over PART_BYTES. scored, if given, gets (products taken, pairs met) for
     each pass; tasks that ran twice count twice."""
     spark = vectors.sparkSession
     counted = [(spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)) for _ in range(2)]
@@ -227,6 +233,9 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     for g in bins:
         first[g], before = before, before + bins[g]
     blocks = before
+    row_bytes = dim * np.dtype(store).itemsize + LAYERS * (rotation.dim // 8 + 8) + 100
+    together = max(1, min(PART_BYTES // (block * row_bytes), blocks // (parts or 4 * spark.sparkContext.defaultParallelism)))  # blocks of a part
+    part_of = lambda c: F.floor(c / together).cast("int")
     of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("grp"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +248,11 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
 
     names = ["vec_id", "label", "row_no", "vec", "bits", "align", "norm", "left"]
     coded = rows.select("vec_id", "label", "q", "row_no").mapInArrow(code, f"vec_id {ids}, label {labels}, row_no long, vec binary, bits binary, align binary, norm double, left double")
-    coded = written(coded.withColumn("grp", group).withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id", "row_no"), of(bins))).cast("int")))
-    packed = written(coded.groupBy("block").agg(F.collect_list(F.struct("vec_id", "label", "vec", "bits", "align", "norm", "left")).alias("rows")))
+    coded = coded.withColumn("grp", group).withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id", "row_no"), of(bins))).cast("int"))
+    packed = coded.groupBy("block").agg(F.collect_list(F.struct("vec_id", "label", "vec", "bits", "align", "norm", "left")).alias("rows"))
+    packed = written(packed.withColumn("part", part_of(F.col("block"))))
     chunks = {r["grp"]: -(-r["anchors"] // chunk) for r in facts if r["anchors"]}
-    anchors = coded.filter(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("a")).select("vec_id", "a.label", "a.vec").withColumn("grp", group)
+    anchors = packed.select(F.explode("rows").alias("r")).select("r.vec_id", "r.label", "r.vec").filter(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("a")).select("vec_id", "a.label", "a.vec").withColumn("grp", group)
     anchors = written(anchors.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), of(chunks)).cast("int")))
 
     def unpacked(rows: pa.Array) -> tuple[Block, pa.StructArray]:
@@ -290,8 +300,10 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
             yield pa.RecordBatch.from_arrays(cols, ["anchor_id", "place", "positive_id", "positive_score", "negative_id", "negative_score"])
 
     own = anchors.groupBy("grp", "chunk").agg(F.collect_list(F.struct("vec_id", "label", "vec")).alias("asked"))
-    own = own.withColumn("block", F.explode(F.sequence(of(first), of(first) + of(bins) - 1))).select("block", "asked")
-    best = written(own.join(packed, "block").select("asked", "rows").mapInArrow(find_positives, f"anchor_id {ids}, positive_id {ids}, positive_score long"))
+    own = own.withColumn("low", of(first)).withColumn("high", of(first) + of(bins) - 1).drop("grp", "chunk")
+    own = own.withColumn("part", F.explode(F.sequence(part_of(F.col("low")), part_of(F.col("high")))))
+    met = own.hint("merge").join(packed, "part").filter(F.col("block").between(F.col("low"), F.col("high"))).select("asked", "rows")
+    best = written(met.mapInArrow(find_positives, f"anchor_id {ids}, positive_id {ids}, positive_score long"))
     ranked = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.col("positive_score").desc(), "positive_id"))
     # rows that share an id are one positive each; the place tells them apart
     taken = best.withColumn("place", ranked).filter(F.col("place") <= positives)
@@ -299,10 +311,10 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     least, top = -floor_div(-score * low.numerator, low.denominator), floor_div(score * high.numerator, high.denominator)
     windows = taken.select("anchor_id", F.struct("place", F.col("positive_id").alias("id"), score.alias("score"), least.alias("least"), top.alias("most")).alias("w"))
     windows = windows.groupBy("anchor_id").agg(F.array_sort(F.collect_list("w")).alias("windows"))  # at most `positives` each
-    asked = anchors.join(windows.withColumnRenamed("anchor_id", "vec_id"), "vec_id")
+    asked = anchors.hint("merge").join(windows.withColumnRenamed("anchor_id", "vec_id"), "vec_id")
     asked = written(asked.groupBy("grp", "chunk").agg(F.collect_list(F.struct("vec_id", "label", "vec", "windows")).alias("asked")))
-    every = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "asked")
-    found = written(every.join(packed, "block").select("asked", "rows").mapInArrow(find_negatives, f"anchor_id {ids}, place int, positive_id {ids}, positive_score long, negative_id {ids}, negative_score long"))
+    every = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // together)))).select("part", "asked")
+    found = written(every.hint("merge").join(packed, "part").select("asked", "rows").mapInArrow(find_negatives, f"anchor_id {ids}, place int, positive_id {ids}, positive_score long, negative_id {ids}, negative_score long"))
     if scored is not None:
         scored += [(done.value, met.value) for done, met in counted]
     order = Window.partitionBy("anchor_id", "place").orderBy(F.col("negative_score").desc(), "negative_id")

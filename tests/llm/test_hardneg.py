@@ -46,6 +46,24 @@ def test_equals_brute_force(spark, seed, block, chunk, dim):
     assert len(got) > 300
 
 
+def test_nothing_is_broadcast_and_parts_lose_no_pair(spark, monkeypatch):
+    """Copies of a chunk, one a block, grew with the square of the rows and went through the driver: now one a part of
+    blocks, merged."""
+    plans, write = [], hardneg.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(hardneg, "written", noted)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0.05, 0.2) for _ in range(16)], rng.choice([0, 0, 0, 1, 2, 3])) for i in range(200)]
+    for parts in (1, 3, 1000):
+        got = mined(spark, rows, block=16, chunk=8, parts=parts)
+        assert len(got) == len(set(got)) and set(got) == brute(rows), parts
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_few_rows(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(0, [1.0], 1)]) == []
