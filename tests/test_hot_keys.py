@@ -90,6 +90,38 @@ def test_ordered_pairs_pack_into_runs(spark, tmp_path, broadcast):
     assert got["plain", "runs"] > pairs / 2 and got["runs", "runs"] <= pairs / 30 and got["cells", "runs"] < pairs / 3
 
 
+def test_pairs_by_way_of_lists(spark, tmp_path):
+    """The rows of band_join, each as often, on ties, nulls, crowded instants and repeated rows; copies come out in longer runs."""
+    rng = random.Random(9)
+    at = lambda: rng.choice([T0, None, *[T0 + timedelta(seconds=60 * rng.randint(0, 90), microseconds=rng.randint(0, 1)) for _ in range(4)]])
+    a = spark.createDataFrame([(rng.choice([None, *range(50)]), f"x{i % 3}", at()) for i in range(150)], "a long, ax string, at timestamp").cache()
+    b = spark.createDataFrame([(at(), i // 2, rng.choice("xyz")) for i in range(300)], "bt timestamp, b long, kind string").cache()
+    of = lambda df: sorted(map(str, df.collect()))
+    want = joins.band_join(a, b, 300, "at", "bt")
+    for how in ({}, {"side": 20}, {"task_rows": 10}, {"side": 20, "task_rows": 10}):
+        got = joins.band_join_lists(a, b, 300, "at", "bt", **how)
+        assert got.columns == want.columns and of(got) == of(want), how
+    assert joins.band_join_lists(a.filter("a < 0"), b, 300, "at", "bt").count() == 0 == joins.band_join_lists(a, b.limit(0), 300, "at", "bt").count()
+    times = [T0 + timedelta(microseconds=rng.randint(0, 7_200_000_000)) for _ in range(60)]
+    a = spark.createDataFrame([(1000 * k + i, t) for k in range(60) for i, t in enumerate(times[:20])], "a long, at timestamp")
+    b = spark.createDataFrame([(1000 * k + i, t) for k in range(60) for i, t in enumerate(times[20:])], "b long, bt timestamp")
+    tables = {"order": joins.band_join(a, b, 900, "at", "bt", order=(["at", "a"], ["bt", "b"])), "lists": joins.band_join_lists(a, b, 900, "at", "bt")}
+    pairs, runs = {}, {}
+    for name, df in tables.items():
+        df.select("a", "b", "dt_s").write.parquet(str(tmp_path / name))
+        gaps = [pq.read_table(f)["dt_s"].to_pylist() for f in sorted((tmp_path / name).glob("*.parquet"))]
+        pairs[name], runs[name] = sum(map(len, gaps)), sum(1 + sum(x != y for x, y in zip(g, g[1:], strict=False)) for g in gaps if g)
+    assert pairs["lists"] == pairs["order"] > 100_000
+    assert runs["order"] > pairs["order"] / 100 and runs["lists"] < pairs["lists"] / 2000  # 60 pairs a run, and 60 times 60
+
+
+def test_the_query_of_all_pairs_goes_by_lists(spark):
+    from evspark.plans import registry
+
+    plan = registry.QUERIES["band_join_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("collect_list") == 2 and "Broadcast" not in plan.executedPlan().toString()
+
+
 def test_long_intervals_meet_points_in_cells(spark):
     rng = random.Random(6)
     spans = [(i, T0 + timedelta(minutes=(s := rng.randint(0, 50_000))), T0 + timedelta(minutes=s + rng.choice([1, 30, 40_000, 2_000_000]))) for i in range(40)]
